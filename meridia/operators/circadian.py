@@ -305,7 +305,9 @@ def circadian_profile(minutes: DataFrame, channel: str) -> DataFrame:
     )
     fit = cosinor_fit(minutes.withColumn(S, F.lit(0)), channel, "c")
     spine = minutes.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    turn = F.lit(OMEGA) * (F.col("hour") - F.col("c_acrophase_h"))
-    return spine.join(by_hour, "hour", "left").join(F.broadcast(fit)).select(  # fit is one row
-        "hour", "mean", "sem", (F.col("c_mesor") + F.col("c_amplitude") * F.cos(turn)).alias("fitted")
+    curve = fit.first()  # one row of three numbers
+    turn = F.lit(OMEGA) * (F.col("hour") - F.lit(curve["c_acrophase_h"]))
+    return spine.join(by_hour, "hour", "left").select(
+        "hour", "mean", "sem",
+        (F.lit(curve["c_mesor"]) + F.lit(curve["c_amplitude"]) * F.cos(turn)).alias("fitted"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.columns import micros, ratio, to_number, to_utc
-from meridia.operators.ordered import ordered, quantiles
+from meridia.operators.ordered import ordered, quantiles, spread_join
 from meridia.session import durable
 
 # Fixed values of the metric definitions.
@@ -126,10 +126,10 @@ def mage(placed: DataFrame) -> DataFrame:
         (F.col("pos") == 1) | (F.col("pos") == F.col("n")) | ((g - before) * (after - g) < 0)
     ).where(F.col("n") >= 3).select("subject_id", "pos", "g")
     swings = ordered(turning, ["subject_id"], ["pos"], lag={"g_turn": "g"}).select(
-        "subject_id", F.abs(F.col("g") - F.col("g_turn")).alias("swing")
+        "subject_id", "pos", F.abs(F.col("g") - F.col("g_turn")).alias("swing")
     ).where(F.col("swing").isNotNull())
     sd = per_subject(placed, moment_aggs()[1:2])
-    kept = swings.join(sd, "subject_id").where(F.col("swing") > F.col("sd_glucose"))
+    kept = spread_join(swings, sd, ["subject_id"], ["pos"]).where(F.col("swing") > F.col("sd_glucose"))
     return sd.select("subject_id").join(
         kept.groupBy("subject_id").agg(F.avg("swing").alias("mage")), "subject_id", "left"
     ).select("subject_id", F.coalesce("mage", F.lit(0.0)).alias("mage"))
@@ -149,7 +149,9 @@ def lag_differences(placed: DataFrame, lags_hours: dict[str, float]) -> DataFram
         "subject_id", F.col("w.lag").alias("lag"),
         F.bround(F.col("w.minutes") / F.col("interval_min")).cast("bigint").alias("k"),
     ).where(F.col("k") >= 1)
-    start = placed.select("subject_id", "pos", "g").join(steps, "subject_id").select(
+    start = spread_join(
+        placed.select("subject_id", "pos", "g"), steps, ["subject_id"], ["pos"]
+    ).select(
         "subject_id", "lag", "k", "pos", F.col("g").alias("g0"), (F.col("pos") + F.col("k")).alias("at")
     )
     later = placed.select("subject_id", F.col("pos").alias("at"), F.col("g").alias("g1"))

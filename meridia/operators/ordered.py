@@ -155,3 +155,17 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
         *keys, value, "n_tied",
         (F.col("__cum") - F.col("n_tied") + (F.col("n_tied") + 1) / F.lit(2.0)).alias(name),
     )
+
+
+def spread_join(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], ways: int = 16, how: str = "inner"
+) -> DataFrame:
+    """Join rows to a table with one row per key when one key may hold most rows.
+
+    Each key is cut into ``ways`` by a hash of the ``spread`` columns, and the
+    small side is repeated that many times, so no task gets a whole hot key even
+    without run-time skew handling.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int"))
+    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

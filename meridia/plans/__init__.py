@@ -1,6 +1,6 @@
 """Registered queries, grouped by topic."""
 
-from meridia.plans import glucose_queries, wearable_queries
+from meridia.plans import cleaning_queries, glucose_queries, store_queries, wearable_queries
 
-ALL = [glucose_queries.catalog, wearable_queries.catalog]
+ALL = [cleaning_queries.catalog, store_queries.catalog, glucose_queries.catalog, wearable_queries.catalog]
 flagship = glucose_queries.glucose_matrix

@@ -51,3 +51,63 @@ spine AS (SELECT subject_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS
    FROM (SELECT subject_id, min(hour) AS lo, max(hour) AS hi FROM hourly GROUP BY 1)),
 grid AS (SELECT s.subject_id, date_diff('hour', s.lo, s.hour) AS idx, s.hour, h.hr, h.accel
    FROM spine s LEFT JOIN hourly h ON h.subject_id = s.subject_id AND h.hour = s.hour)"""
+
+
+def subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as subjects: class = market segment, continuous label = balance (missing when negative)."""
+    bal = F.col("c_acctbal")
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("iris"),
+        F.when(bal >= 0, bal).alias("sspg"), F.col("c_nationkey").alias("nation"),
+    )
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as subjects with long features: panel = return flag, analyte = part bucket, mean quantity."""
+    return table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("subject_id"), F.col("l_returnflag").alias("panel"),
+        F.concat(F.lit("a"), F.pmod("l_partkey", F.lit(20)).cast("string")).alias("analyte"),
+    ).agg(F.avg("l_quantity").alias("value"))
+
+
+def holed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Users x (event type, slot) mean values; a mean of 50 or more counts as missing."""
+    m = F.avg("value")
+    return table(spark, sf, "events").groupBy(
+        F.col("user_id").alias("subject_id"),
+        F.concat("event_type", F.lit("_"), F.pmod("event_id", F.lit(8)).cast("string")).alias("analyte"),
+    ).agg(F.when(m < 50, m).alias("value"))
+
+
+def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as links between id systems; every fiftieth points to no subject."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.when(key % 50 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("omics_subject_id"),
+        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("1636-"), key.cast("string"))).alias("cgm_subject_id"),
+        key.cast("string").alias("site_code"), F.col("o_orderpriority").alias("wearable_subject_id"),
+    )
+
+
+STORE_SQL = """
+subjects AS (SELECT c_custkey AS subject_id, c_mktsegment AS iris, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS sspg, c_nationkey AS nation FROM customer),
+cells AS (SELECT l_suppkey AS subject_id, l_returnflag AS panel, 'a' || (l_partkey % 20) AS analyte, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3),
+holed AS (SELECT user_id AS subject_id, event_type || '_' || (event_id % 8) AS analyte,
+  CASE WHEN avg(value) < 50 THEN avg(value) END AS value FROM events GROUP BY 1, 2),
+crosswalk AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS omics_subject_id,
+  CASE WHEN o_orderstatus <> 'P' THEN '1636-' || o_orderkey END AS cgm_subject_id, o_orderkey::VARCHAR AS site_code,
+  o_orderpriority AS wearable_subject_id FROM orders)"""
+
+
+def traits(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide per-subject matrix from order totals: two panels' worth of columns and a ratio-safe pair."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(
+        F.avg("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("TGL"),
+        F.avg("l_discount").alias("HDL"), F.avg("l_tax").alias("tax"),
+        F.max(F.lit(1.0)).alias("constant"),
+    )
+
+
+TRAITS_SQL = """
+traits AS (SELECT l_suppkey AS subject_id, avg(l_quantity) AS quantity, avg(l_extendedprice) AS TGL, avg(l_discount) AS HDL,
+  avg(l_tax) AS tax, 1.0::DOUBLE AS constant FROM lineitem GROUP BY 1)"""
