@@ -72,3 +72,8 @@ def hour_of_day(col: Column | str) -> Column:
     """Decimal UTC hour: hour + minute/60 + whole second/3600."""
     c = F.col(col) if isinstance(col, str) else col
     return F.hour(c) + F.minute(c) / F.lit(60.0) + F.second(c) / F.lit(3600.0)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation, NULL when either side is constant (the built-in raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

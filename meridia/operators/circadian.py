@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.functions.columns import finite_or_zero, hour_of_day, micros, ratio
+from meridia.functions.columns import correlation, finite_or_zero, hour_of_day, micros, ratio
 from meridia.operators.ordered import quantiles
 
 # Fixed values of the feature definitions.
@@ -264,7 +264,7 @@ def profile_regularity(minutes: DataFrame) -> DataFrame:
     overall = cells.groupBy(S, "h").agg(F.avg("v").alias("o"))
     varied = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("v") > 0) & (F.stddev_samp("o") > 0)
     per_day = cells.join(overall, [S, "h"]).groupBy(S, "day").agg(
-        F.when(varied, F.corr("v", "o")).alias("c")
+        F.when(varied, correlation("v", "o")).alias("c")
     )
     per_subject = per_day.groupBy(S).agg(
         F.when(F.count(F.lit(1)) >= 2, F.avg("c")).alias("c")

@@ -1,6 +1,6 @@
 """Registered queries, grouped by topic."""
 
-from meridia.plans import cleaning_queries, glucose_queries, store_queries, wearable_queries
+from meridia.plans import cleaning_queries, glucose_queries, model_queries, store_queries, wearable_queries
 
-ALL = [cleaning_queries.catalog, store_queries.catalog, glucose_queries.catalog, wearable_queries.catalog]
+ALL = [m.catalog for m in (cleaning_queries, store_queries, glucose_queries, wearable_queries, model_queries)]
 flagship = glucose_queries.glucose_matrix

@@ -111,3 +111,45 @@ def traits(spark: SparkSession, sf: str) -> DataFrame:
 TRAITS_SQL = """
 traits AS (SELECT l_suppkey AS subject_id, avg(l_quantity) AS quantity, avg(l_extendedprice) AS TGL, avg(l_discount) AS HDL,
   avg(l_tax) AS tax, 1.0::DOUBLE AS constant FROM lineitem GROUP BY 1)"""
+
+
+def order_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """One feature, one label per order: total quantity and total price."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(
+        F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("y")
+    ).select("key", F.pmod("key", F.lit(5)).alias("fold"), F.array("q").alias("x"), "y")
+
+
+ORDER_SQL = """
+t AS (SELECT l_orderkey AS key, l_orderkey % 5 AS fold, sum(l_quantity) AS x, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2)"""
+
+
+def vectors(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """Embeddings as a feature matrix with two sets of folds; the label mixes three of its entries and the class."""
+    from meridia.operators.models import hash_fold
+
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("key"), e.alias("x"), (e[0] * 10.0 - e[1] * 6.0 + e[2] * 4.0 + F.col("label") * 0.1).alias("y"),
+        hash_fold("vec_id", k).alias("fold"), hash_fold("vec_id", k, 1).alias("inner"),
+    )
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regression predictions: price by quantity, one group per return flag."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("target"), F.col("l_extendedprice").alias("y_true"),
+        (F.col("l_quantity") * 1500.0 + F.col("l_discount") * 10000.0).alias("y_pred"),
+    )
+
+
+def risks(spark: SparkSession, sf: str) -> DataFrame:
+    """Binary outcome with a score in [0, 1]: document quality and clipped length."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return table(spark, sf, "labels").join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("y_true"), F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("y_pred"))
+
+
+SCORE_SQL = """
+preds AS (SELECT l_returnflag AS target, l_extendedprice AS y_true, l_quantity * 1500.0::DOUBLE + l_discount * 10000.0::DOUBLE AS y_pred FROM lineitem),
+risks AS (SELECT l.doc_id, l.quality AS y_true, least(d.n_chars / 4000.0::DOUBLE, 1) AS y_pred FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
