@@ -45,8 +45,11 @@ def _merge(batches: Iterator[pd.DataFrame], cells: list[str]) -> Iterator[pd.Dat
         yield out
 
 
-def summed(df: DataFrame, cells: list[str], each: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Sum ``each(block of z rows)`` (a flat vector) per cell: at most MERGE_WAYS rows per cell, cells + v."""
+def summed(df: DataFrame, cells: list[str], each: Callable[..., np.ndarray], keyed: bool = False) -> DataFrame:
+    """Sum ``each(block of z rows)`` (a flat vector) per cell: at most MERGE_WAYS rows per cell, cells + v.
+
+    With ``keyed`` the function also gets the cell's key tuple.
+    """
     dtypes = dict(df.dtypes)
     head = ", ".join(f"{c} {dtypes[c]}" for c in cells)
 
@@ -54,7 +57,8 @@ def summed(df: DataFrame, cells: list[str], each: Callable[[np.ndarray], np.ndar
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, part in pdf.groupby(cells, sort=False, dropna=False):
-                got = each(np.stack(part["z"].to_numpy()).astype(float))
+                z = np.stack(part["z"].to_numpy()).astype(float)
+                got = each(z, key) if keyed else each(z)
                 sums[key] = sums[key] + got if key in sums else got
         if sums:
             out = pd.DataFrame(list(sums), columns=cells)

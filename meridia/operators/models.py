@@ -20,7 +20,7 @@ from meridia.operators import gram as G
 from meridia.operators.ordered import ordered
 from meridia.session import durable
 
-# The penalty grids of the reference models.
+# The penalty grids of the ridge and elastic-net models.
 RIDGE_ALPHAS = np.logspace(-3, 3, 25)
 EN_ALPHAS = np.logspace(-3, 1, 20)
 EN_L1 = np.array([0.1, 0.3, 0.5, 0.7, 0.9, 1.0])
@@ -241,7 +241,7 @@ def with_features(df: DataFrame, x: str) -> DataFrame:
 
 
 def tree_model(kind: str, task: str = "regression", label: str = "label", **params):
-    """'forest' or 'boosted' estimator with the reference's light defaults, overridable."""
+    """'forest' or 'boosted' estimator with light defaults, overridable."""
     if kind == "forest":
         cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
         base = {"numTrees": 50, "maxDepth": 4, "seed": 0}
