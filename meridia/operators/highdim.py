@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 from meridia.operators import gram as G
 from meridia.operators.clean import medians
 from meridia.operators.metrics import regression_metrics
-from meridia.operators.models import ridge_loo_errors, RIDGE_ALPHAS, fold_grams, score_folds, train_moments
+from meridia.operators.models import FIT_THREADS, RIDGE_ALPHAS, fold_grams, ridge_loo_errors, score_folds, train_moments
 from meridia.operators.ordered import ordered
 from meridia.operators.series import principal_axes
 from meridia.session import durable
 
 BLOCK = 256
 MAX_DENSE = 4096
+MIN_VARIANCE = 1e-8
 
 
 def prevalence(cells: DataFrame, n_subjects: int) -> DataFrame:
@@ -38,7 +41,7 @@ def prevalence_filter(cells: DataFrame, max_missing: float = 0.5) -> DataFrame:
     return cells.join(kept, "analyte", "left_semi")
 
 
-def variance_filter(cells: DataFrame, min_var: float = 1e-8) -> DataFrame:
+def variance_filter(cells: DataFrame, min_var: float = MIN_VARIANCE) -> DataFrame:
     kept = cells.groupBy("analyte").agg(F.var_samp("value").alias("v")).where(F.col("v") > min_var).select("analyte")
     return cells.join(kept, "analyte", "left_semi")
 
@@ -86,13 +89,8 @@ def block_products(cells: DataFrame, stats: DataFrame, block: int = BLOCK) -> Da
         lambda it: G._merge(it, ["b1", "b2"]), "b1 int, b2 int, v array<double>")
 
 
-def correlation_pairs(cells: DataFrame, stats: DataFrame, n: int, above: float = -1.0, block: int = BLOCK) -> DataFrame:
+def correlation_pairs(products: DataFrame, base: np.ndarray, n: int, above: float = -1.0, block: int = BLOCK) -> DataFrame:
     """Feature pairs a < b (column indexes) with absolute correlation above a threshold."""
-    base = np.zeros(0)
-    rows = stats.select("idx", "base").collect()  # one number per feature
-    base = np.zeros(len(rows))
-    for row in rows:
-        base[row["idx"]] = row["base"]
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,7 +103,16 @@ def correlation_pairs(cells: DataFrame, stats: DataFrame, n: int, above: float =
                 ok = a < b
                 yield pd.DataFrame({"a": a[ok], "b": b[ok], "r": r[i[ok], j[ok]]})
 
-    return block_products(cells, stats, block).mapInPandas(edges, "a bigint, b bigint, r double")
+    return products.mapInPandas(edges, "a bigint, b bigint, r double")
+
+
+def base_values(stats: DataFrame) -> np.ndarray:
+    """Base of every feature by column index: one number per feature."""
+    rows = stats.select("idx", "base").collect()
+    out = np.zeros(len(rows))
+    for row in rows:
+        out[row["idx"]] = row["base"]
+    return out
 
 
 def greedy_drop(edges: DataFrame) -> DataFrame:
@@ -128,7 +135,7 @@ def correlation_prune(cells: DataFrame, threshold: float = 0.95) -> tuple[DataFr
     """(kept, dropped) analytes; earlier names win."""
     n = cells.agg(F.countDistinct("subject_id")).first()[0]
     stats = durable(feature_stats(cells, n), "stats")
-    gone = greedy_drop(correlation_pairs(cells, stats, n, threshold))
+    gone = greedy_drop(correlation_pairs(block_products(cells, stats), base_values(stats), n, threshold))
     return stats.join(gone, "idx", "left_anti").select("analyte"), stats.join(gone, "idx", "left_semi").select("analyte")
 
 
@@ -160,21 +167,24 @@ class Reducer:
 def fit_reduction(cells: DataFrame, max_missing: float = 0.5, threshold: float = 0.95, k: int = 20) -> Reducer:
     """Prevalence, variance, median imputation, correlation prune and principal components of train cells."""
     n, start = cells.agg(F.countDistinct("subject_id"), F.countDistinct("analyte")).first()
-    prev = prevalence_filter(cells, max_missing)
-    kept = durable(variance_filter(prev), "kept")
-    after_prev = prev.select("analyte").distinct().count()
+    table = durable(cells.groupBy("analyte").agg(F.count("value").alias("m"), F.var_samp("value").alias("v")), "features")
+    common = 1.0 - F.col("m") / F.lit(float(n)) <= max_missing
+    good = common & (F.col("v") > MIN_VARIANCE)
+    after_prev, after_var = table.agg(F.count_if(common), F.count_if(good)).first()
+    if not after_var:
+        raise ValueError("no feature passes the prevalence and variance filters")
+    kept = durable(cells.join(table.where(good).select("analyte"), "analyte", "left_semi"), "kept")
     stats = durable(feature_stats(kept, n), "stats")
-    after_var = stats.count()
-    gone = durable(greedy_drop(correlation_pairs(kept, stats, n, threshold)), "gone")
-    lean = ordered(stats.join(gone, "idx", "left_anti").drop("idx"), [], ["analyte"], pos="idx")
-    lean = durable(lean.withColumn("idx", F.col("idx") - 1), "lean")
-    info = lean.select("idx", "base").orderBy("idx").collect()
-    p, base = len(info), np.array([row["base"] for row in info])
+    base = base_values(stats)
+    products = durable(block_products(kept, stats), "products")
+    gone = durable(greedy_drop(correlation_pairs(products, base, n, threshold)), "gone")
+    lean = stats.join(gone, "idx", "left_anti")
+    keep = np.array(sorted(row["idx"] for row in lean.select("idx").collect()))
+    p = len(keep)
     if p > MAX_DENSE and n > MAX_DENSE:
         raise ValueError(f"{p} features and {n} subjects: prune further before taking components")
-    body = kept.join(lean.select("analyte"), "analyte", "left_semi")
     k = int(min(k, n, p))
-    loadings, share = _primal(body, lean, n, base, k) if p <= MAX_DENSE else _dual(body, lean, n, base, k)
+    loadings, share = _primal(products, keep, n, base, k) if p <= MAX_DENSE else _dual(kept, lean, n, k)
     params = durable(lean.join(loadings, "idx").select("analyte", "median", "sd", "base", "loading"), "params")
     zero = params.select([F.sum(F.col("base") * F.col("loading")[i]) for i in range(k)]).first()
     trace = {
@@ -185,20 +195,22 @@ def fit_reduction(cells: DataFrame, max_missing: float = 0.5, threshold: float =
     return Reducer(params.drop("base"), np.array([float(v) for v in zero]), trace, share)
 
 
-def _primal(cells: DataFrame, lean: DataFrame, n: int, base: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
-    p = len(base)
-    full = np.zeros((-(-p // BLOCK) * BLOCK,) * 2)
-    for row in block_products(cells, lean).toLocalIterator():
+def _primal(products: DataFrame, keep: np.ndarray, n: int, base: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Components of at most MAX_DENSE features: only their entries of the block matrices are kept."""
+    sub = np.zeros((len(keep), len(keep)))
+    for row in products.toLocalIterator():
         m = np.asarray(row["v"]).reshape(BLOCK, BLOCK)
-        i, j = row["b1"] * BLOCK, row["b2"] * BLOCK
-        full[i:i + BLOCK, j:j + BLOCK] = m
-        full[j:j + BLOCK, i:i + BLOCK] = m.T
-    axes, share = principal_axes(full[:p, :p] / n - np.outer(base, base), k)
-    rows = [(i, [float(v) for v in axes[:, i]]) for i in range(p)]
-    return cells.sparkSession.createDataFrame(rows, "idx bigint, loading array<double>"), share
+        at1, at2 = np.flatnonzero(keep // BLOCK == row["b1"]), np.flatnonzero(keep // BLOCK == row["b2"])
+        part = m[np.ix_(keep[at1] % BLOCK, keep[at2] % BLOCK)]
+        sub[np.ix_(at1, at2)] = part
+        sub[np.ix_(at2, at1)] = part.T
+    b = base[keep]
+    axes, share = principal_axes(sub / n - np.outer(b, b), k)
+    rows = [(int(i), [float(v) for v in axes[:, pos]]) for pos, i in enumerate(keep)]
+    return products.sparkSession.createDataFrame(rows, "idx bigint, loading array<double>"), share
 
 
-def _dual(cells: DataFrame, lean: DataFrame, n: int, base: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+def _dual(cells: DataFrame, lean: DataFrame, n: int, k: int) -> tuple[DataFrame, np.ndarray]:
     """Few subjects, many features: components from the n x n products, features as rows."""
     ids = ordered(cells.select("subject_id").distinct(), [], ["subject_id"], pos="s")
     d = cells.where(F.col("value").isNotNull()).join(lean, "analyte").join(ids, "subject_id").groupBy("idx", "base").agg(
@@ -243,32 +255,35 @@ def highdim_cv(cells: DataFrame, labels: DataFrame, fold: str, leak: bool = Fals
         raise ValueError("every labelled subject needs feature cells")
     folds = [row[0] for row in labels.select(fold).distinct().orderBy(fold).collect()]
     shared = fit_reduction(cells, max_missing, threshold, k) if leak else None
-    preds, traces = None, []
-    for f in folds:
+
+    def one_fold(f) -> tuple[DataFrame, tuple, list[str]]:
         train = labels.where(F.col(fold) != f)
         reducer = shared or fit_reduction(cells.join(train, "subject_id", "left_semi"), max_missing, threshold, k)
         names = [f"omics_pc{i}" for i in range(len(reducer.base))]
         scored = durable(reducer.apply(cells).join(labels, "subject_id").select(
             "subject_id", "y", (F.col(fold) == f).cast("int").alias("held"), F.array(*names).alias("x")), "scores")
         g = fold_grams(scored, "x", ["y"], "held")
-        errs = ridge_loo_errors(scored, "x", "y", "held", g)
+        errs = ridge_loo_errors(scored, "x", "y", "held", g, folds=[1])
         alpha = float(RIDGE_ALPHAS[int(np.argmin(errs[1]))])
         coef = {1: G.ridge(train_moments(g, 1), alpha)[:, 0]}
         part = score_folds(scored.where("held = 1"), "x", "held", coef, ["subject_id", F.col("y").alias("y_true")])
-        part = part.withColumn("fold", F.lit(f))
-        preds = part if preds is None else preds.unionByName(part)
-        traces.append((int(f), alpha, *[float(v) for v in reducer.trace.values()]))
-        names_of = list(reducer.trace)
-    trace = cells.sparkSession.createDataFrame(traces, "fold int, alpha double, " + ", ".join(f"{c} double" for c in names_of))
-    return preds, trace
+        return part.withColumn("fold", F.lit(f)), (int(f), alpha, *map(float, reducer.trace.values())), list(reducer.trace)
+
+    with ThreadPool(min(FIT_THREADS, len(folds))) as pool:  # folds are independent Spark jobs
+        parts = pool.map(one_fold, folds)
+    preds = reduce(DataFrame.unionByName, [part for part, _, _ in parts])
+    columns = "fold int, alpha double, " + ", ".join(f"{c} double" for c in parts[0][2])
+    return preds, cells.sparkSession.createDataFrame([t for _, t, _ in parts], columns)
 
 
 def optimism_gap(cells: DataFrame, labels: DataFrame, fold: str, **kw) -> DataFrame:
     """Three rows: honest, leaky, and leaky minus honest."""
-    scores = {}
-    for name, leak in (("honest", False), ("leaky", True)):
+    def run(leak: bool) -> dict:
         preds, _ = highdim_cv(cells, labels, fold, leak, **kw)
-        scores[name] = regression_metrics(durable(preds, "preds"), "y_true", "y_pred").first().asDict()
+        return regression_metrics(durable(preds, "preds"), "y_true", "y_pred").first().asDict()
+
+    with ThreadPool(2) as pool:
+        scores = dict(zip(("honest", "leaky"), pool.map(run, (False, True))))
     gap = {k: scores["leaky"][k] - scores["honest"][k] for k in scores["honest"]}
     rows = [(n, *[float(s[k]) for k in gap]) for n, s in (*scores.items(), ("gap", gap))]
     return cells.sparkSession.createDataFrame(rows, "variant string, " + ", ".join(f"{k} double" for k in gap))

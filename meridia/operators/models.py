@@ -120,14 +120,15 @@ def r2(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
 # ---- ridge with the penalty chosen by leave-one-out error on the training rows
 
 def ridge_loo_errors(
-    df: DataFrame, x: str, y: str, fold: str, g: G.Grams, use: dict | None = None, alphas: np.ndarray = RIDGE_ALPHAS
+    df: DataFrame, x: str, y: str, fold: str, g: G.Grams, use: dict | None = None, alphas: np.ndarray = RIDGE_ALPHAS,
+    folds: list | None = None,
 ) -> dict:
     """Per outer fold: summed squared leave-one-out error of each alpha over that fold's training rows.
 
     All folds and alphas are scored in one pass; standardization is fixed per training set.
     """
     plans = {}
-    for f in g.cells:
+    for f in g.cells if folds is None else folds:
         mo = train_moments(g, f)
         idx = np.arange(mo.p) if use is None else np.asarray(use[f], dtype=int)
         a, b = mo.standardized()
@@ -161,7 +162,7 @@ def ridge_loo_errors(
         errors, f"f {kind}, sse array<double>"
     )
     merged = parts.select("f", F.posexplode("sse").alias("i", "e")).groupBy("f", "i").agg(F.sum("e").alias("e"))
-    got = {f: np.full(n_alpha, np.inf) for f in g.cells}
+    got = {f: np.full(n_alpha, np.inf) for f in plans}
     for row in merged.collect():  # folds x alphas
         got[row["f"]][row["i"]] = row["e"]
     return got

@@ -51,9 +51,8 @@ def fit_scoring_model(df: DataFrame, features: list[str], label: str, name: str
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).alias("y"), F.lit(0).alias("fold"))
     g = fold_grams(rows, "x", ["y"])
     if alpha is None:
-        # fold -1 has no rows, so its training set is every row
-        whole = G.Grams({0: g.total, -1: np.zeros_like(g.total)}, g.centre, g.p)
-        errs = ridge_loo_errors(rows, "x", "y", "fold", whole)
+        # no row carries fold -1, so its training set is every row
+        errs = ridge_loo_errors(rows, "x", "y", "fold", g, folds=[-1])
         alpha = float(RIDGE_ALPHAS[int(np.argmin(errs[-1]))])
     coef = G.ridge(G.moments(g.total, g.p, g.centre), alpha)[:, 0]
     return ScoringModel(name, list(features), [float(c) for c in coef])

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators import gram as G
 from meridia.operators.models import dot
+from meridia.session import durable
 
 LENGTH = 512
 
@@ -44,18 +45,15 @@ def resample_to_length(placed: DataFrame, everyone: DataFrame | None = None, len
     return out
 
 
-def as_vectors(resampled: DataFrame) -> DataFrame:
-    """One array per subject; ``length`` elements each."""
+def as_vectors(resampled: DataFrame, scaled: bool = False) -> DataFrame:
+    """One array ``x`` per subject (``length`` elements); ``scaled``: z-scored, a flat series becoming zeros."""
     packed = F.sort_array(F.collect_list(F.struct("t", "v")))
-    return resampled.groupBy("subject_id").agg(F.transform(packed, lambda s: s["v"]).alias("x"))
-
-
-def zscore(x: Column) -> Column:
-    """(x - mean) / population sd of the array's own values; a flat array becomes zeros."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    sd = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-    return F.transform(x, lambda v: F.when(sd > 0, (v - mean) / sd).otherwise(F.lit(0.0)))
+    got = resampled.groupBy("subject_id").agg(packed.alias("p"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    if not scaled:
+        return got.select("subject_id", F.transform("p", lambda c: c["v"]).alias("x"))
+    flat = F.col("s") <= 0
+    return got.select("subject_id", F.transform(
+        "p", lambda c: F.when(flat, 0.0).otherwise((c["v"] - F.col("m")) / F.col("s"))).alias("x"))
 
 
 @dataclass
@@ -90,16 +88,16 @@ def fit_vector_reduction(df: DataFrame, x: str, k: int) -> VectorReduction:
     return VectorReduction(np.column_stack([-raw @ mo.mean[: mo.p], raw]), share)
 
 
-def series_embedding(vectors: DataFrame, k: int = 8, scorer: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Deterministic subject vectors: z-scored series reduced to ``k`` components ``ts0..``.
+def series_embedding(resampled: DataFrame, k: int = 8, scorer: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Deterministic subject vectors: z-scored fixed-length series reduced to ``k`` components ``ts0..``.
 
     ``scorer`` may replace the reduction by any (rows x length) -> (rows x k) model,
     applied to Arrow batches.
     """
-    scaled = vectors.select("subject_id", zscore(F.col("x")).alias("x"))
+    scaled = durable(as_vectors(resampled, scaled=True), "vectors")
     if scorer is None:
         return fit_vector_reduction(scaled, "x", k).transform(scaled, "x", "ts").drop("x")
-    kind = dict(vectors.dtypes)["subject_id"]
+    kind = dict(scaled.dtypes)["subject_id"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

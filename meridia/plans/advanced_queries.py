@@ -68,19 +68,18 @@ def _series(spark, sf):
 
 @add("series_embedding")
 def _embedding(spark, sf):
-    got = Z.as_vectors(Z.resample_to_length(user_trace(spark, sf), length=64))
-    return Z.series_embedding(durable(got), 8)
+    return Z.series_embedding(Z.resample_to_length(user_trace(spark, sf), length=64), 8)
 
 
 @add("feature_set_benchmark")
 def _feature_sets(spark, sf):
     """The same cross-validated ridge on hand-made features, series embedding, and both."""
     hand = durable(G.glucose_matrix(user_rows(spark, sf), "user_id", "value", "ts", "event_id"))
-    emb = durable(Z.series_embedding(durable(Z.as_vectors(Z.resample_to_length(user_trace(spark, sf), length=64))), 8))
+    emb = durable(Z.series_embedding(Z.resample_to_length(user_trace(spark, sf), length=64), 8))
     target = hand.select("subject_id", F.col("mean_glucose").alias("y"))  # the probe: it leaves the predictors
-    hand_cols = [c for c in G.FEATURES if c not in ("mean_glucose", "gmi", "j_index")]
+    hand_cols = [c for c in G.FEATURES if c not in ("mean_glucose", "gmi", "j_index", "conga1", "modd")]
     emb_cols = [c for c in emb.columns if c != "subject_id"]
-    both = durable(hand.drop("mean_glucose").join(emb, "subject_id").join(target, "subject_id").na.drop().withColumn(
+    both = durable(hand.drop("mean_glucose").join(emb, "subject_id").join(target, "subject_id").na.drop(subset=["y", *hand_cols, *emb_cols]).withColumn(
         "fold", M.hash_fold("subject_id", 5)))
     out = None
     for name, cols in (("handmade", hand_cols), ("embedding", emb_cols), ("both", hand_cols + emb_cols)):
@@ -137,7 +136,7 @@ def _correlation(spark, sf):
     cells = durable(filtered(spark, sf))
     n = cells.agg(F.countDistinct("subject_id")).first()[0]
     stats = durable(H.feature_stats(cells, n), "stats")
-    pairs = H.correlation_pairs(cells, stats, n)
+    pairs = H.correlation_pairs(H.block_products(cells, stats), H.base_values(stats), n)
     names = stats.select("idx", "analyte")
     return rounded(pairs.join(names.toDF("a", "name_a"), "a").join(names.toDF("b", "name_b"), "b").select(
         F.col("name_a").alias("a"), F.col("name_b").alias("b"), "r"))
