@@ -44,12 +44,12 @@ p1 AS (SELECT s.c_custkey AS subject_id, s.c_mktsegment AS iris, t.quantity, t.t
 p2 AS (SELECT s.c_custkey AS subject_id, s.c_acctbal AS sspg, t.TGL, t.HDL FROM customer s JOIN traits t ON t.subject_id = s.c_custkey WHERE s.c_nationkey >= 10)"""
 
 
-def panels(spark, sf):
+def panel_frames(spark, sf):
     both = traits(spark, sf).join(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), "c_mktsegment", "c_acctbal", "c_nationkey"), "subject_id")
     one = both.where("c_nationkey < 15").select("subject_id", F.col("c_mktsegment").alias("iris"), "quantity", "tax")
     two = both.where("c_nationkey >= 10").select("subject_id", F.col("c_acctbal").alias("sspg"), "TGL", "HDL")
-    return P.ingest_panels({"S9": (one, ["quantity", "tax"]), "S8": (two, ["TGL", "HDL"])})
+    return {"S9": (one, ["quantity", "tax"]), "S8": (two, ["TGL", "HDL"])}
 
 
 @add("ingest_panels", report_sql(PANELS, """SELECT c.subject_id, s.sspg, s.iris, c.panel, c.analyte, c.value FROM (
@@ -58,7 +58,7 @@ def panels(spark, sf):
  JOIN (SELECT coalesce(p1.subject_id, p2.subject_id) AS subject_id, sspg, iris FROM p1 FULL JOIN p2 ON p1.subject_id = p2.subject_id) s
   ON s.subject_id = c.subject_id""", "sspg value"))
 def _ingest(spark, sf):
-    subs, long = panels(spark, sf)
+    subs, long = P.ingest_panels(panel_frames(spark, sf))
     return rounded(long.join(subs, "subject_id").select("subject_id", "sspg", "iris", "panel", "analyte", "value"))
 
 
