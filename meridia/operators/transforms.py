@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from meridia.operators.ordered import ordered, quantiles
 
+COLUMNS_PER_PASS = 8
 DEFAULT_FOR_FAMILY = {"tree": "none", "linear": "standard", "kernel": "standard"}
 
 
@@ -47,37 +49,37 @@ def log(df: DataFrame, columns: list[str]) -> DataFrame:
     return standard(_replace(df, {c: F.log1p(c) for c in columns}), columns)
 
 
-def yeo_johnson(x: Column, lam: Column) -> Column:
-    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
+def yeo_johnson(x: Column, lam: float) -> Column:
+    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
     rest = 2.0 - lam
-    down = F.when(F.abs(rest) < 1e-12, -F.log1p(-x)).otherwise(
-        -(F.pow(1 - x, rest) - 1) / F.when(F.abs(rest) < 1e-12, 1.0).otherwise(rest))
+    down = -F.log1p(-x) if abs(rest) < 1e-12 else -(F.pow(1 - x, F.lit(rest)) - 1) / rest
     return F.when(x >= 0, up).otherwise(down)
 
 
-def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 17, rounds: int = 6) -> dict[str, float]:
-    """Maximum-likelihood exponents: each round scores a grid for every column in one aggregate."""
-    long = _long(df, columns)
+def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 9, rounds: int = 9) -> dict[str, float]:
+    """Maximum-likelihood exponents: each round scores a grid for every column in one aggregate
+    (a few columns per aggregate when there are many)."""
     width, centre = (hi - lo) / 2, {c: (hi + lo) / 2 for c in columns}
     for _ in range(rounds):
-        spots = [(c, float(m + width * t)) for c, m in centre.items() for t in np.linspace(-1, 1, points)]
-        grid = df.sparkSession.createDataFrame(spots, "column string, lam double")
-        per = grid.groupBy("column").agg(F.collect_list("lam").alias("lams"))  # ``points`` values per column
-        tried = long.join(per, "column").withColumn("lam", F.explode("lams"))
-        x, lam = F.col("x"), F.col("lam")
-        scored = tried.groupBy("column", "lam").agg(
-            F.count(F.lit(1)).alias("n"), F.var_pop(yeo_johnson(x, lam)).alias("v"),
-            F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"))
-        fit = scored.where(F.col("v") > 0).withColumn("ll", -F.col("n") / 2.0 * F.log("v") + (lam - 1) * F.col("j"))
-        best = fit.groupBy("column").agg(F.max_by("lam", F.struct("ll", -F.col("lam"))).alias("lam")).collect()
-        centre.update({row["column"]: row["lam"] for row in best})
+        grids = {c: [float(m + width * t) for t in np.linspace(-1, 1, points)] for c, m in centre.items()}
+        for at in range(0, len(columns), COLUMNS_PER_PASS):
+            some, aggs = columns[at: at + COLUMNS_PER_PASS], []
+            for c in some:
+                x = F.col(c).cast("double")
+                aggs += [F.count(c), F.sum(F.signum(x) * F.log1p(F.abs(x)))]
+                aggs += [F.var_pop(yeo_johnson(x, lam)) for lam in grids[c]]
+            row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+            for i, c in enumerate(some):
+                n, j, *v = row[i * (points + 2): (i + 1) * (points + 2)]
+                scores = [-n / 2 * math.log(s) + (lam - 1) * j if s and s > 0 else -math.inf for lam, s in zip(grids[c], v)]
+                centre[c] = grids[c][int(np.argmax(scores))]
         width *= 2.0 / (points - 1)
     return centre
 
 
 def power(df: DataFrame, columns: list[str]) -> DataFrame:
     lams = power_lambdas(df, columns)
-    return standard(_replace(df, {c: yeo_johnson(F.col(c), F.lit(lams[c])) for c in columns}), columns)
+    return standard(_replace(df, {c: yeo_johnson(F.col(c).cast("double"), lams[c]) for c in columns}), columns)
 
 
 def reference_quantiles(df: DataFrame, columns: list[str], n_max: int = 1000) -> dict[str, np.ndarray]:

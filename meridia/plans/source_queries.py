@@ -41,28 +41,44 @@ def _keyed(spark, sf):
     return R.read_keyed_csv(spark, path).select(F.col("SubjectID").cast("bigint"), "IRIS", "SSPG")
 
 
-@add("src_parquet_by_stem", "SELECT 'events' AS subject_id, count(*) AS n FROM events UNION ALL SELECT 'labels', count(*) FROM labels")
+def name_files(spark, written, folder, suffix, name):
+    """Rename the part files of a write: part i of ``written`` becomes ``folder/<name(i)><suffix>``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(folder))
+    for i, status in enumerate(fs.globStatus(hadoop(f"{written}/part-*{suffix}"))):
+        fs.rename(status.getPath(), hadoop(f"{folder}/{name(i)}{suffix}"))
+
+
+def subject_events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "value", F.pmod("user_id", F.lit(8)).alias("s"))
+
+
+@add("src_parquet_by_stem", "SELECT user_id % 8 AS s, count(*) AS n, max(value) AS high FROM events GROUP BY 1")
 def _stem(spark, sf):
-    """The table files themselves, recognised by their names."""
-    n = R.read_by_stem(spark, sf).groupBy("subject_id").agg(F.count("*").alias("n"))
-    return n.where(F.col("subject_id").isin("events", "labels"))
+    """Files named Basis_<subject>-<part>; a CSV next to them is ignored."""
+    path = scratch_path(spark, "stems")
+    rows = subject_events(spark, sf)
+    for s in range(8):
+        rows.where(F.col("s") == s).drop("s").write.parquet(f"{path}/parts/{s}")
+        name_files(spark, f"{path}/parts/{s}", f"{path}/series", ".parquet", lambda i: f"Basis_{s}-{i}")
+    rows.groupBy("s").count().write.csv(f"{path}/sidecar", header=True)
+    name_files(spark, f"{path}/sidecar", f"{path}/series", ".csv", lambda i: f"_wear_summary{i}")
+    stem = F.regexp_extract("subject_id", r"^Basis_(\d+)-", 1).cast("bigint")
+    return R.read_by_stem(spark, f"{path}/series").groupBy(stem.alias("s")).agg(
+        F.count("*").alias("n"), F.max("value").alias("high"))
 
 
-@add("src_select_members", "SELECT 'Basis_' || (user_id % 4) AS subject_id, count(*) AS n FROM events WHERE user_id % 8 < 4 GROUP BY 1")
+@add("src_select_members", "SELECT user_id % 8 AS s, count(*) AS n FROM events WHERE user_id % 8 < 4 GROUP BY 1")
 def _members(spark, sf):
     """Half of the subjects under primary names, the others under secondary ones that must be skipped."""
     path = scratch_path(spark, "archive")
-    rows = table(spark, sf, "events").select("event_id", "value", F.pmod("user_id", F.lit(8)).alias("s"))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    rows = subject_events(spark, sf)
     for s in range(8):
-        part = f"{path}/parts/{s}"
-        rows.where(F.col("s") == s).drop("s").coalesce(1).write.csv(part, header=True)
-        fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(hadoop(f"{path}/Basis_Watch_Data"))
-        made = fs.globStatus(hadoop(f"{part}/*.csv"))[0].getPath()
-        name = f"Basis_{s}.csv" if s < 4 else f"Basis_{s - 4}b.csv"
-        fs.rename(made, hadoop(f"{path}/Basis_Watch_Data/{name}"))
-    return R.read_members(spark, path).groupBy("subject_id").agg(F.count("*").alias("n"))
+        rows.where(F.col("s") == s).write.csv(f"{path}/parts/{s}", header=True)
+        tail = "" if s < 4 else "b"
+        name_files(spark, f"{path}/parts/{s}", f"{path}/Basis_Watch_Data", ".csv", lambda i: f"Basis_{s}{i:05d}{tail}")
+    return R.read_members(spark, path).groupBy(F.col("s").cast("bigint").alias("s")).agg(F.count("*").alias("n"))
 
 
 @add("src_embeddings_split", "SELECT vec_id, label, list_count(embedding) AS dims FROM embeddings WHERE vec_id % 5 = 4")
