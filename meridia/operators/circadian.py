@@ -9,11 +9,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meridia.functions.columns import correlation, finite_or_zero, hour_of_day, micros, ratio
 from meridia.operators.ordered import quantiles
@@ -24,6 +21,7 @@ VIGOROUS_ABOVE = 800.0
 NIGHT_ROWS = 30
 MINUTES_PER_DAY = 1440
 OMEGA = 2.0 * math.pi / 24.0
+TINY = 1e-12
 FEATURES = [
     "worn_minutes", "worn_days", "span_days", "coverage_fraction",
     "hr_mean", "hr_std", "skin_temp_mean", "accel_mean",
@@ -63,118 +61,122 @@ def hour_grid(minutes: DataFrame, channels: list[str]) -> DataFrame:
     return spine.join(means, [S, "hour"], "left").select(S, "idx", "hour", *channels)
 
 
-def wear_coverage(minutes: DataFrame) -> DataFrame:
+def coverage_aggs() -> list[Column]:
     worn = F.count("hr")
-    days = worn / F.lit(float(MINUTES_PER_DAY))
     span = (F.max(micros("ts")) - F.min(micros("ts"))) / F.lit(86400e6)
-    return minutes.groupBy(S).agg(
-        worn.alias("worn_minutes"), days.alias("worn_days"), span.alias("span_days"),
+    return [
+        worn.alias("worn_minutes"), (worn / F.lit(float(MINUTES_PER_DAY))).alias("worn_days"), span.alias("span_days"),
         (worn / (span * float(MINUTES_PER_DAY) + 1.0)).alias("coverage_fraction"),
-    )
+    ]
+
+
+def sensor_aggs() -> list[Column]:
+    return [
+        finite_or_zero(F.avg("hr")).alias("hr_mean"), finite_or_zero(F.stddev_samp("hr")).alias("hr_std"),
+        finite_or_zero(F.avg("skin_temp")).alias("skin_temp_mean"), finite_or_zero(F.avg("accel")).alias("accel_mean"),
+    ]
+
+
+def activity_aggs() -> list[Column]:
+    worn = F.count("hr") / F.lit(float(MINUTES_PER_DAY))
+    days = F.when(worn > 0, worn).otherwise(1.0)
+    return [
+        (F.count_if(F.col("accel") > VIGOROUS_ABOVE) / days).alias("mvpa_min_per_day"),
+        (F.count_if(F.col("accel") < SEDENTARY_BELOW) / days).alias("sedentary_min_per_day"),
+    ]
+
+
+def wear_coverage(minutes: DataFrame) -> DataFrame:
+    return minutes.groupBy(S).agg(*coverage_aggs())
 
 
 def sensor_means(minutes: DataFrame) -> DataFrame:
-    return minutes.groupBy(S).agg(
-        finite_or_zero(F.avg("hr")).alias("hr_mean"),
-        finite_or_zero(F.stddev_samp("hr")).alias("hr_std"),
-        finite_or_zero(F.avg("skin_temp")).alias("skin_temp_mean"),
-        finite_or_zero(F.avg("accel")).alias("accel_mean"),
-    )
+    return minutes.groupBy(S).agg(*sensor_aggs())
 
 
-def cosinor_fit(minutes: DataFrame, channel: str, prefix: str) -> DataFrame:
-    """Least squares on [1, cos wt, sin wt] from one pass of sums; mesor, amplitude, peak hour."""
-    w = F.lit(OMEGA) * hour_of_day("ts")
-    sums = minutes.where(F.col(channel).isNotNull()).select(
-        S, F.col(channel).alias("y"), F.cos(w).alias("c"), F.sin(w).alias("s")
-    ).groupBy(S).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("c").alias("mc"), F.avg("s").alias("ms"),
-        F.covar_pop("c", "c").alias("vcc"), F.covar_pop("s", "s").alias("vss"),
-        F.covar_pop("c", "s").alias("vcs"), F.covar_pop("c", "y").alias("vcy"),
-        F.covar_pop("s", "y").alias("vsy"),
-    )
-    c = F.col
-    sums = sums.withColumn("det", c("vcc") * c("vss") - c("vcs") * c("vcs"))
-    solvable = c("det") > 1e-12
-    direct = sums.where(solvable & (c("n") >= 3)).select(
-        S, "n", "my", "mc", "ms",
-        ((c("vss") * c("vcy") - c("vcs") * c("vsy")) / c("det")).alias("bc"),
-        ((c("vcc") * c("vsy") - c("vcs") * c("vcy")) / c("det")).alias("bs"),
-    ).withColumn("mesor", c("my") - c("bc") * c("mc") - c("bs") * c("ms"))
-    # time points that do not pin the curve down: the minimum-norm solution of the same sums
-    flat = sums.where(~solvable & (c("n") >= 3)).withColumn(
-        "b", _minimum_norm("my", "mc", "ms", "vcc", "vss", "vcs", "vcy", "vsy")
-    ).select(S, c("b")[1].alias("bc"), c("b")[2].alias("bs"), c("b")[0].alias("mesor"))
-    short = sums.where(c("n") < 3).select(
-        S, F.lit(0.0).alias("bc"), F.lit(0.0).alias("bs"), c("my").alias("mesor")
-    )
-    fits = direct.select(S, "bc", "bs", "mesor").unionByName(flat).unionByName(short)
-    peak = F.atan2("bs", "bc")
-    peak = F.when(peak < 0, peak + 2.0 * math.pi).otherwise(peak) / F.lit(OMEGA)
-    return minutes.select(S).distinct().join(fits, S, "left").select(
-        S, finite_or_zero(c("mesor")).alias(f"{prefix}_mesor"),
-        finite_or_zero(F.hypot("bc", "bs")).alias(f"{prefix}_amplitude"),
-        finite_or_zero(peak).alias(f"{prefix}_acrophase_h"),
-    )
+def activity_minutes(minutes: DataFrame) -> DataFrame:
+    return minutes.groupBy(S).agg(*activity_aggs())
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _minimum_norm(
-    my: pd.Series, mc: pd.Series, ms: pd.Series, vcc: pd.Series, vss: pd.Series,
-    vcs: pd.Series, vcy: pd.Series, vsy: pd.Series,
-) -> pd.Series:
-    one = np.ones(len(my))
-    gram = np.array([
-        [one, mc, ms],
-        [mc, vcc + mc * mc, vcs + mc * ms],
-        [ms, vcs + mc * ms, vss + ms * ms],
-    ]).transpose(2, 0, 1)
-    rhs = np.array([my, vcy + mc * my, vsy + ms * my]).T[:, :, None]
-    return pd.Series(list((np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ rhs)[:, :, 0]))
+def cosinor_aggs(channel: str, prefix: str) -> list[Column]:
+    """The sums a least-squares fit on [1, cos wt, sin wt] needs, rows without the channel left out."""
+    y, w = F.col(channel), F.lit(OMEGA) * hour_of_day("ts")
+    c, s = F.when(y.isNotNull(), F.cos(w)), F.when(y.isNotNull(), F.sin(w))
+    sums = {
+        "n": F.count(y), "my": F.avg(y), "mc": F.avg(c), "ms": F.avg(s), "vcc": F.var_pop(c), "vss": F.var_pop(s),
+        "vcs": F.covar_pop(c, s), "vcy": F.covar_pop(c, y), "vsy": F.covar_pop(s, y),
+    }
+    return [e.alias(f"__{prefix}_{k}") for k, e in sums.items()]
 
 
-def rhythm(grid: DataFrame, channel: str, prefix: str) -> DataFrame:
-    """Interdaily stability and intradaily variability from the hour grid.
+def cosinor_solution(prefix: str) -> list[Column]:
+    """Mesor, amplitude and peak hour from :func:`cosinor_aggs`; minimum-norm where the times do not pin the curve.
 
-    The bin is the position in the grid modulo 24, counted from the subject's first hour.
+    Times of day lie on the unit circle, so a singular system has at most two distinct
+    times: the second and third branches are its minimum-norm solutions for two and one.
     """
-    x = F.col(channel)
-    base = grid.groupBy(S).agg(
-        F.count(x).alias("n"), F.avg(x).alias("xbar"), (F.var_pop(x) * F.count(x)).alias("tss")
-    )
-    profile = grid.groupBy(S, F.pmod("idx", F.lit(24)).alias("bin")).agg(F.avg(x).alias("m")).join(
-        base, S
-    ).groupBy(S).agg(F.sum(F.pow(F.col("m") - F.col("xbar"), F.lit(2.0))).alias("between"))
-    step = x - F.lag(x).over(Window.partitionBy(S).orderBy("idx"))
-    moves = grid.select(S, step.alias("d")).groupBy(S).agg(
-        F.sum(F.col("d") * F.col("d")).alias("dd"), F.count("d").alias("nd")
-    )
-    usable = (F.col("n") >= 24) & (F.col("tss") > 0)
-    joined = base.join(profile, S, "left").join(moves, S, "left")
-    is_ = ratio(F.col("n") * F.col("between"), F.col("tss") * 24.0)
-    iv = ratio(F.col("n") * F.col("dd"), F.col("nd") * F.col("tss"))
-    return joined.select(
-        S,
-        finite_or_zero(F.when(usable, is_)).alias(f"{prefix}_is"),
-        finite_or_zero(F.when(usable, iv)).alias(f"{prefix}_iv"),
-    )
+    n, my, mc, ms, vcc, vss, vcs, vcy, vsy = (
+        F.col(f"__{prefix}_{k}") for k in ("n", "my", "mc", "ms", "vcc", "vss", "vcs", "vcy", "vsy"))
+    det, spread = vcc * vss - vcs * vcs, vcc + vss
+    wide = vcc >= vss
+    u1, u2 = F.when(wide, vcc).otherwise(vcs), F.when(wide, vcs).otherwise(vss)
+    size = F.hypot(u1, u2)
+    u1, u2 = F.try_divide(u1, size), F.try_divide(u2, size)
+    k = F.try_divide(u1 * vcy + u2 * vsy, spread)
+    q = u1 * ms - u2 * mc  # the mean point across the line
+    t = (my - k * (u1 * mc + u2 * ms)) * q / (q * q + 1.0)
+    bc = F.when(det > TINY, F.try_divide(vss * vcy - vcs * vsy, det)).when(spread > TINY, k * u1 - t * u2).otherwise(my * mc / 2.0)
+    bs = F.when(det > TINY, F.try_divide(vcc * vsy - vcs * vcy, det)).when(spread > TINY, k * u2 + t * u1).otherwise(my * ms / 2.0)
+    bc, bs = F.when(n >= 3, bc).otherwise(0.0), F.when(n >= 3, bs).otherwise(0.0)
+    mesor = F.when((n >= 3) & (spread <= TINY), my / 2.0).otherwise(my - bc * mc - bs * ms)
+    peak = F.atan2(bs, bc)
+    peak = F.when(peak < 0, peak + 2.0 * math.pi).otherwise(peak) / F.lit(OMEGA)
+    return [
+        finite_or_zero(mesor).alias(f"{prefix}_mesor"), finite_or_zero(F.hypot(bc, bs)).alias(f"{prefix}_amplitude"),
+        finite_or_zero(peak).alias(f"{prefix}_acrophase_h"),
+    ]
 
 
-def relative_amplitude(grid: DataFrame, channel: str, name: str, most: int = 10, least: int = 5) -> DataFrame:
-    """(M - L) / (M + L) of the largest ``most`` and smallest ``least`` of the 24 profile bins."""
-    prof = grid.groupBy(S, F.pmod("idx", F.lit(24)).alias("bin")).agg(F.avg(channel).alias("m"))
-    bins = prof.groupBy(S).agg(F.sort_array(F.collect_list("m")).alias("p"))  # 24 values at most
+def cosinor_fit(minutes: DataFrame, channel: str, prefix: str) -> DataFrame:
+    return minutes.groupBy(S).agg(*cosinor_aggs(channel, prefix)).select(S, *cosinor_solution(prefix))
 
-    def mean(arr: Column, n: int) -> Column:
-        return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / n
 
-    low = mean(F.slice("p", 1, least), least)
-    high = mean(F.slice("p", -most, most), most)
-    enough = F.size("p") >= most + least
-    return bins.select(
-        S,
-        finite_or_zero(F.when(enough & (high + low > 0), ratio(high - low, high + low))).alias(name),
-    )
+def rhythm(grid: DataFrame, channels: dict[str, str], amplitude: str | None = None, most: int = 10, least: int = 5) -> DataFrame:
+    """Interdaily stability and intradaily variability per channel (channel -> output prefix), from the hour grid.
+
+    The bin is the position in the grid modulo 24, counted from the subject's first hour.
+    With ``amplitude`` also (M - L) / (M + L) of that channel's largest ``most`` and
+    smallest ``least`` profile bins.
+    """
+    w = Window.partitionBy(S).orderBy("idx")
+    stepped = grid.select("*", *[(F.col(c) - F.lag(c).over(w)).alias(f"__d_{c}") for c in channels])
+    base = stepped.groupBy(S).agg(*[a for c in channels for a in (
+        F.count(c).alias(f"__n_{c}"), F.avg(c).alias(f"__x_{c}"), (F.var_pop(c) * F.count(c)).alias(f"__t_{c}"),
+        F.sum(F.col(f"__d_{c}") * F.col(f"__d_{c}")).alias(f"__dd_{c}"), F.count(f"__d_{c}").alias(f"__nd_{c}"))])
+    bins = grid.groupBy(S, F.pmod("idx", F.lit(24)).alias("bin")).agg(*[F.avg(c).alias(f"__m_{c}") for c in channels])
+    aggs = [F.sum(F.pow(F.col(f"__m_{c}") - F.col(f"__x_{c}"), F.lit(2.0))).alias(f"__b_{c}") for c in channels]
+    if amplitude:
+        aggs.append(F.sort_array(F.collect_list(f"__m_{amplitude}")).alias("__p"))  # 24 values at most
+    joined = bins.join(base, S).groupBy(S, *[c for c in base.columns if c != S]).agg(*aggs)
+    out = []
+    for c, prefix in channels.items():
+        n, tss = F.col(f"__n_{c}"), F.col(f"__t_{c}")
+        usable = (n >= 24) & (tss > 0)
+        out.append(finite_or_zero(F.when(usable, ratio(n * F.col(f"__b_{c}"), tss * 24.0))).alias(f"{prefix}_is"))
+        out.append(finite_or_zero(F.when(usable, ratio(n * F.col(f"__dd_{c}"), F.col(f"__nd_{c}") * tss))).alias(f"{prefix}_iv"))
+    if amplitude:
+        low, high = _mean(F.slice("__p", 1, least), least), _mean(F.slice("__p", -most, most), most)
+        enough = (F.size("__p") >= most + least) & (high + low > 0)
+        out.append(finite_or_zero(F.when(enough, ratio(high - low, high + low))).alias(f"{channels[amplitude]}_ra"))
+    return joined.select(S, *out)
+
+
+def _mean(values: Column, n: int) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+
+
+def relative_amplitude(grid: DataFrame, channel: str) -> DataFrame:
+    return rhythm(grid, {channel: channel}, channel).select(S, f"{channel}_ra")
 
 
 def resting_rate(minutes: DataFrame) -> DataFrame:
@@ -191,69 +193,85 @@ def rolling_mean(minutes: DataFrame, value: str, name: str, rows: int = NIGHT_RO
     return minutes.withColumn(name, F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
 
 
+def day_table(minutes: DataFrame) -> DataFrame:
+    """Per subject and day: sd and mean of heart rate, lowest rolling mean."""
+    return rolling_mean(minutes, "hr", "roll").groupBy(S, F.to_date("ts").alias("day")).agg(
+        F.stddev_samp("hr").alias("sd"), F.avg("hr").alias("m"), F.sum("hr").alias("total"), F.count("hr").alias("n"),
+        F.min("roll").alias("low"))
+
+
+def dip_aggs() -> list[Column]:
+    """Nightly low and its distance from the mean, over :func:`day_table`."""
+    mean = finite_or_zero(ratio(F.sum("total"), F.sum("n")))
+    low = finite_or_zero(F.avg("low"))
+    return [low.alias("nightly_min_hr"), (mean - low).alias("hr_dip"),
+            F.when(mean > 0, ratio(mean - low, mean)).otherwise(0.0).alias("hr_dip_frac")]
+
+
+def day_aggs() -> list[Column]:
+    cv = F.when((F.count(F.lit(1)) > 1) & (F.avg("m") > 0), ratio(F.stddev_samp("m"), F.avg("m")))
+    return [finite_or_zero(F.avg("sd")).alias("hr_within_day_std"), finite_or_zero(cv).alias("hr_day_to_day_cv")]
+
+
 def nightly_dip(minutes: DataFrame) -> DataFrame:
-    rolled = rolling_mean(minutes, "hr", "roll")
-    lows = rolled.groupBy(S, F.to_date("ts").alias("day")).agg(F.min("roll").alias("low"))
-    low = lows.groupBy(S).agg(finite_or_zero(F.avg("low")).alias("nightly_min_hr"))
-    mean = minutes.groupBy(S).agg(finite_or_zero(F.avg("hr")).alias("m"))
-    dip = F.col("m") - F.col("nightly_min_hr")
-    return mean.join(low, S).select(
-        S, "nightly_min_hr", dip.alias("hr_dip"),
-        F.when(F.col("m") > 0, dip / F.col("m")).otherwise(0.0).alias("hr_dip_frac"),
-    )
+    return day_table(minutes).groupBy(S).agg(*dip_aggs())
 
 
-def activity_minutes(minutes: DataFrame) -> DataFrame:
-    worn = F.count("hr") / F.lit(float(MINUTES_PER_DAY))
-    days = F.when(worn > 0, worn).otherwise(1.0)
-    return minutes.groupBy(S).agg(
-        (F.count_if(F.col("accel") > VIGOROUS_ABOVE) / days).alias("mvpa_min_per_day"),
-        (F.count_if(F.col("accel") < SEDENTARY_BELOW) / days).alias("sedentary_min_per_day"),
-    )
+def day_variability(minutes: DataFrame) -> DataFrame:
+    return day_table(minutes).groupBy(S).agg(*day_aggs())
 
 
-def runs(minutes: DataFrame, flag: Column, *, name: str) -> DataFrame:
-    """Runs of a boolean in row order: how many, and their mean length (rows / runs)."""
-    w = Window.partitionBy(S).orderBy("ts")
-    marked = minutes.select(S, "ts", flag.alias("f")).where(F.col("f").isNotNull())
-    opens = F.col("f") & ~F.coalesce(F.lag("f").over(w), F.lit(False))
-    n, k = F.count_if("f"), F.count_if("open")
-    return marked.withColumn("open", opens).groupBy(S).agg(
-        n.alias(f"{name}_rows"), k.alias(f"{name}_runs"),
-        F.coalesce(ratio(n, k), F.lit(0.0)).alias(f"{name}_mean_run"),
-    )
+def with_runs(minutes: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Marks the rows opening a run of true (``<name>_open``); NULL flags neither open nor end a run."""
+    before = Window.partitionBy(S).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    was = F.last(flag, ignorenulls=True).over(before)
+    return minutes.withColumn(f"{name}_open", flag & ~F.coalesce(was, F.lit(False)))
 
 
-def activity_bouts(minutes: DataFrame) -> DataFrame:
-    still = runs(minutes, F.col("accel") < SEDENTARY_BELOW, name="still")
-    active = runs(minutes, F.col("accel") >= SEDENTARY_BELOW, name="active")
-    return minutes.select(S).distinct().join(still, S, "left").join(active, S, "left").select(
-        S,
-        F.coalesce("still_mean_run", F.lit(0.0)).alias("sedentary_bout_mean_min"),
+def run_aggs(flag: Column, name: str) -> list[Column]:
+    """Rows and runs of true, and the mean run length (rows / runs)."""
+    n, k = F.count_if(flag), F.count_if(f"{name}_open")
+    return [n.alias(f"{name}_rows"), k.alias(f"{name}_runs"), F.coalesce(ratio(n, k), F.lit(0.0)).alias(f"{name}_mean_run")]
+
+
+def runs(minutes: DataFrame, flag: Column, name: str) -> DataFrame:
+    return with_runs(minutes, flag, name).groupBy(S).agg(*run_aggs(flag, name))
+
+
+def _still() -> Column:
+    return F.col("accel") < SEDENTARY_BELOW
+
+
+def _active() -> Column:
+    return F.col("accel") >= SEDENTARY_BELOW
+
+
+def bout_columns() -> list[Column]:
+    return [
+        F.col("still_mean_run").alias("sedentary_bout_mean_min"),
         finite_or_zero(ratio(F.col("active_runs"), F.col("active_rows"))).alias("activity_fragmentation"),
-    )
+    ]
 
 
-def beat_variability(minutes: DataFrame) -> DataFrame:
-    """Root mean square of heart-rate steps of exactly 60 s, and the overall sd."""
+def activity_bouts(minutes: DataFrame) -> DataFrame:
+    marked = with_runs(with_runs(minutes, _still(), "still"), _active(), "active")
+    return marked.groupBy(S).agg(*run_aggs(_still(), "still"), *run_aggs(_active(), "active")).select(S, *bout_columns())
+
+
+def with_steps(minutes: DataFrame) -> DataFrame:
+    """Heart-rate change from the previous row where that is exactly 60 s earlier."""
     w = Window.partitionBy(S).orderBy("ts")
-    step = (micros("ts") - micros(F.lag("ts").over(w))) == 60_000_000
-    moved = F.when(step, F.col("hr") - F.lag("hr").over(w))
-    return minutes.select(S, "hr", moved.alias("d")).groupBy(S).agg(
-        F.coalesce(F.sqrt(F.avg(F.col("d") * F.col("d"))), F.lit(0.0)).alias("hr_rmssd"),
-        finite_or_zero(F.stddev_samp("hr")).alias("hr_sdnn"),
-    )
+    minute = (micros("ts") - micros(F.lag("ts").over(w))) == 60_000_000
+    return minutes.withColumn("hr_step", F.when(minute, F.col("hr") - F.lag("hr").over(w)))
 
 
-def day_variability(minutes: DataFrame) -> DataFrame:
-    days = minutes.groupBy(S, F.to_date("ts").alias("day")).agg(
-        F.stddev_samp("hr").alias("sd"), F.avg("hr").alias("m")
-    )
-    cv = F.when((F.count(F.lit(1)) > 1) & (F.avg("m") > 0), F.stddev_samp("m") / F.avg("m"))
-    return days.groupBy(S).agg(
-        finite_or_zero(F.avg("sd")).alias("hr_within_day_std"),
-        finite_or_zero(cv).alias("hr_day_to_day_cv"),
-    )
+def beat_aggs() -> list[Column]:
+    d = F.col("hr_step")
+    return [F.coalesce(F.sqrt(F.avg(d * d)), F.lit(0.0)).alias("hr_rmssd"), finite_or_zero(F.stddev_samp("hr")).alias("hr_sdnn")]
+
+
+def beat_variability(minutes: DataFrame) -> DataFrame:
+    return with_steps(minutes).groupBy(S).agg(*beat_aggs())
 
 
 def profile_regularity(minutes: DataFrame) -> DataFrame:
@@ -275,18 +293,21 @@ def profile_regularity(minutes: DataFrame) -> DataFrame:
 
 
 def wearable_matrix(minutes: DataFrame) -> DataFrame:
-    """All features in contract order from the one-minute series (store the series first)."""
-    grid = hour_grid(minutes, ["hr", "accel"])
-    blocks = [
-        wear_coverage(minutes), sensor_means(minutes), cosinor_fit(minutes, "hr", "hr"),
-        cosinor_fit(minutes, "skin_temp", "temp"), rhythm(grid, "hr", "hr"),
-        rhythm(grid, "accel", "accel"), relative_amplitude(grid, "accel", "accel_ra"),
-        resting_rate(minutes), nightly_dip(minutes), activity_minutes(minutes),
-        activity_bouts(minutes), beat_variability(minutes), day_variability(minutes),
-        profile_regularity(minutes),
-    ]
-    out = blocks[0]
-    for block in blocks[1:]:
+    """All features in contract order from the one-minute series (store the series first).
+
+    Row-order columns are added in one sort per subject and aggregated in one pass;
+    days, the hour grid, the profile and the percentile are one pass each.
+    """
+    marked = with_steps(with_runs(with_runs(minutes, _still(), "still"), _active(), "active"))
+    simple = marked.groupBy(S).agg(
+        *coverage_aggs(), *sensor_aggs(), *activity_aggs(), *beat_aggs(), *run_aggs(_still(), "still"),
+        *run_aggs(_active(), "active"), *cosinor_aggs("hr", "hr"), *cosinor_aggs("skin_temp", "temp"),
+    ).select("*", *bout_columns(), *cosinor_solution("hr"), *cosinor_solution("temp"))
+    out = simple
+    for block in (
+        rhythm(hour_grid(minutes, ["hr", "accel"]), {"hr": "hr", "accel": "accel"}, "accel"), resting_rate(minutes),
+        day_table(minutes).groupBy(S).agg(*dip_aggs(), *day_aggs()), profile_regularity(minutes),
+    ):
         out = out.join(block, S, "left")
     return out.select(S, *FEATURES)
 

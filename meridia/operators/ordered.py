@@ -1,11 +1,13 @@
-"""Row-ordered work per key that stays balanced when one key holds most rows.
-
-A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Here rows
-are range-partitioned on (key, order columns), so Spark's sampling cuts a hot
-key across as many partitions as it needs.  The layout is written once and its
-partition number kept as a column; windows then run on (key, partition) and
-only the *seams* (one row per partition and key that continues in another
-partition, so at most two per partition) are combined across partitions.
+"""Row-ordered work per key, safe when one key holds most rows.
+
+A plain ``Window.partitionBy(key)`` puts a whole key into one task, so it is used
+only after counting: when every key has at most ``max_group_rows`` rows (one
+map-side-combined count of the key column alone).  Otherwise rows are
+range-partitioned on (key, order columns), so Spark's sampling cuts a hot key
+across as many partitions as it needs.  That layout is written once with its
+partition number; windows then run on (key, partition) and only the *seams* (one
+row per partition and key that continues in another partition, so at most two
+per partition) are combined across partitions.
 """
 
 from __future__ import annotations
@@ -17,6 +19,17 @@ from meridia.session import durable
 
 PART = "__part"
 TILE_ROWS = 65536
+GROUP_CONF = "spark.meridia.maxGroupRows"
+GROUP_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, keys: list[str]) -> bool:
+    """Every key's rows are few enough for one task."""
+    limit = int(df.sparkSession.conf.get(GROUP_CONF, str(GROUP_ROWS)))
+    if not keys:
+        return df.limit(limit + 1).count() <= limit
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= limit
 
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
@@ -54,6 +67,8 @@ def ordered(
     lag, lead = dict(lag or {}), dict(lead or {})
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
+    if not laid and not parts and fits(df, [k for k in keys if k != "__all"]):
+        return _windowed(df, keys, order, sums, totals, lag, lead).drop("__all")
     base = df if laid else lay_out(df, keys, order, parts)
     where = F.struct(*order) if len(order) > 1 else F.struct(F.col(order[0]), F.lit(0).alias("__z"))
     near = sorted(set(lag.values()) | set(lead.values()))
@@ -106,6 +121,20 @@ def ordered(
     return result if laid else result.drop(PART)
 
 
+def _windowed(df, keys, order, sums, totals, lag, lead) -> DataFrame:
+    """The same columns by plain windows, for keys known to be small."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = [F.col(c) for c in df.columns]
+    for n, e in sums.items():
+        out.append(F.sum(e).over(upto).alias(n))
+        if totals:
+            out.append(F.sum(e).over(Window.partitionBy(*keys)).alias(f"{n}_total"))
+    out += [F.lag(c).over(w).alias(n) for n, c in lag.items()]
+    out += [F.lead(c).over(w).alias(n) for n, c in lead.items()]
+    return df.select(*out)
+
+
 def tiles(df: DataFrame, keys: list[str], pos: str, before: int, rows: int = TILE_ROWS) -> DataFrame:
     """Cut positions into tiles of ``rows`` rows, each repeating the last ``before`` rows of the previous one.
 
@@ -124,10 +153,16 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, NULL values skipped.
 
-    Equal values are counted before the shuffle, then located by running counts,
-    so neither a hot key nor a hot value lands in one task (the built-in
-    ``percentile`` keeps a key's distinct values in one buffer).
+    Keys of few rows use the built-in ``percentile`` (which keeps a key's distinct
+    values in one buffer).  Otherwise equal values are counted before the shuffle
+    and located by running counts, so neither a hot key nor a hot value lands in
+    one task.
     """
+    rows = df.where(F.col(value).isNotNull())
+    if fits(rows, keys):
+        p = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(v)) for v in probs.values()]))
+        got = rows.groupBy(*keys).agg(p.alias("__q"), F.count(F.lit(1)).alias(n or "__n"))
+        return got.select(*keys, *([n] if n else []), *[F.col("__q")[i].alias(c) for i, c in enumerate(probs)])
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__c")
     )

@@ -119,7 +119,7 @@ _minute_query("rolling_mean_rows", ROLLED.replace("ts, CASE", "epoch_us(ts) AS t
 _minute_query("nightly_low_dip", DIP, "nightly_min_hr hr_dip hr_dip_frac", C.nightly_dip)
 _minute_query("activity_minutes", ACTIVITY, "mvpa_min_per_day sedentary_min_per_day", C.activity_minutes)
 _minute_query("run_length_islands", runs_sql("accel < 100", "still"), "still_mean_run",
-              lambda m: C.runs(m, F.col("accel") < C.SEDENTARY_BELOW, name="still"))
+              lambda m: C.runs(m, F.col("accel") < C.SEDENTARY_BELOW, "still"))
 _minute_query("activity_bouts", BOUTS, "sedentary_bout_mean_min activity_fragmentation", C.activity_bouts)
 _minute_query("hr_rmssd", BEATS, "hr_rmssd hr_sdnn", C.beat_variability)
 _minute_query("hr_day_variability", DAYS, "hr_within_day_std hr_day_to_day_cv", C.day_variability)
@@ -136,18 +136,18 @@ FROM (SELECT unnest(range(24))::INT AS hour) h LEFT JOIN (
 @catalog.add("interdaily_stability", report_sql(
     GRID, f"SELECT subject_id, hr_is FROM ({rhythm_sql('hr', 'hr')})", "hr_is"))
 def _is(spark, sf):
-    return rounded(C.rhythm(grid(spark, sf), "hr", "hr").select("subject_id", "hr_is"))
+    return rounded(C.rhythm(grid(spark, sf), {"hr": "hr"}).select("subject_id", "hr_is"))
 
 
 @catalog.add("intradaily_variability", report_sql(
     GRID, f"SELECT subject_id, hr_iv FROM ({rhythm_sql('hr', 'hr')})", "hr_iv"))
 def _iv(spark, sf):
-    return rounded(C.rhythm(grid(spark, sf), "hr", "hr").select("subject_id", "hr_iv"))
+    return rounded(C.rhythm(grid(spark, sf), {"hr": "hr"}).select("subject_id", "hr_iv"))
 
 
 @catalog.add("relative_amplitude", report_sql(GRID, AMPLITUDE, "accel_ra"))
 def _ra(spark, sf):
-    return rounded(C.relative_amplitude(grid(spark, sf), "accel", "accel_ra"))
+    return rounded(C.relative_amplitude(grid(spark, sf), "accel"))
 
 
 @catalog.add("wearable_matrix", report_sql(
