@@ -109,36 +109,46 @@ def cosinor_aggs(channel: str, prefix: str) -> list[Column]:
     return [e.alias(f"__{prefix}_{k}") for k, e in sums.items()]
 
 
-def cosinor_solution(prefix: str) -> list[Column]:
-    """Mesor, amplitude and peak hour from :func:`cosinor_aggs`; minimum-norm where the times do not pin the curve.
+def solve_cosinor(sums: DataFrame, prefix: str) -> DataFrame:
+    """Adds mesor, amplitude and peak hour to the sums of :func:`cosinor_aggs`; minimum-norm where the
+    times do not pin the curve.
 
     Times of day lie on the unit circle, so a singular system has at most two distinct
     times: the second and third branches are its minimum-norm solutions for two and one.
+    Built in steps, so no step repeats a large expression.
     """
-    n, my, mc, ms, vcc, vss, vcs, vcy, vsy = (
-        F.col(f"__{prefix}_{k}") for k in ("n", "my", "mc", "ms", "vcc", "vss", "vcs", "vcy", "vsy"))
-    det, spread = vcc * vss - vcs * vcs, vcc + vss
-    wide = vcc >= vss
-    u1, u2 = F.when(wide, vcc).otherwise(vcs), F.when(wide, vcs).otherwise(vss)
-    size = F.hypot(u1, u2)
-    u1, u2 = F.try_divide(u1, size), F.try_divide(u2, size)
-    k = F.try_divide(u1 * vcy + u2 * vsy, spread)
-    q = u1 * ms - u2 * mc  # the mean point across the line
-    t = (my - k * (u1 * mc + u2 * ms)) * q / (q * q + 1.0)
-    bc = F.when(det > TINY, F.try_divide(vss * vcy - vcs * vsy, det)).when(spread > TINY, k * u1 - t * u2).otherwise(my * mc / 2.0)
-    bs = F.when(det > TINY, F.try_divide(vcc * vsy - vcs * vcy, det)).when(spread > TINY, k * u2 + t * u1).otherwise(my * ms / 2.0)
-    bc, bs = F.when(n >= 3, bc).otherwise(0.0), F.when(n >= 3, bs).otherwise(0.0)
-    mesor = F.when((n >= 3) & (spread <= TINY), my / 2.0).otherwise(my - bc * mc - bs * ms)
-    peak = F.atan2(bs, bc)
-    peak = F.when(peak < 0, peak + 2.0 * math.pi).otherwise(peak) / F.lit(OMEGA)
-    return [
-        finite_or_zero(mesor).alias(f"{prefix}_mesor"), finite_or_zero(F.hypot(bc, bs)).alias(f"{prefix}_amplitude"),
-        finite_or_zero(peak).alias(f"{prefix}_acrophase_h"),
-    ]
+    def c(name: str) -> Column:
+        return F.col(f"__{prefix}_{name}")
+
+    def add(df: DataFrame, **exprs: Column) -> DataFrame:
+        return df.withColumns({f"__{prefix}_{k}": e for k, e in exprs.items()})
+
+    wide = c("vcc") >= c("vss")
+    out = add(sums, det=c("vcc") * c("vss") - c("vcs") * c("vcs"), var=c("vcc") + c("vss"),
+              a=F.when(wide, c("vcc")).otherwise(c("vcs")), b=F.when(wide, c("vcs")).otherwise(c("vss")))
+    # direction of the line through the two times, slope along it, and the mean point across it
+    out = add(out, size=F.hypot(c("a"), c("b")))
+    out = add(out, u=F.try_divide(c("a"), c("size")), w=F.try_divide(c("b"), c("size")))
+    out = add(out, k=F.try_divide(c("u") * c("vcy") + c("w") * c("vsy"), c("var")), q=c("u") * c("ms") - c("w") * c("mc"))
+    out = add(out, t=(c("my") - c("k") * (c("u") * c("mc") + c("w") * c("ms"))) * c("q") / (c("q") * c("q") + 1.0))
+    full, line, few = c("det") > TINY, c("var") > TINY, c("n") < 3
+
+    def pick(direct: Column, on_line: Column, single: Column) -> Column:
+        return F.when(few, 0.0).when(full, F.try_divide(direct, c("det"))).when(line, on_line).otherwise(single)
+
+    out = add(out, bc=pick(c("vss") * c("vcy") - c("vcs") * c("vsy"), c("k") * c("u") - c("t") * c("w"), c("my") * c("mc") / 2.0),
+              bs=pick(c("vcc") * c("vsy") - c("vcs") * c("vcy"), c("k") * c("w") + c("t") * c("u"), c("my") * c("ms") / 2.0))
+    mesor = F.when(~few & ~line, c("my") / 2.0).otherwise(c("my") - c("bc") * c("mc") - c("bs") * c("ms"))
+    out = add(out, angle=F.atan2(c("bs"), c("bc")))
+    peak = F.when(c("angle") < 0, c("angle") + 2.0 * math.pi).otherwise(c("angle")) / F.lit(OMEGA)
+    kept = [x for x in out.columns if not x.startswith(f"__{prefix}_")]
+    return out.select(
+        *kept, finite_or_zero(mesor).alias(f"{prefix}_mesor"), finite_or_zero(F.hypot(c("bc"), c("bs"))).alias(f"{prefix}_amplitude"),
+        finite_or_zero(peak).alias(f"{prefix}_acrophase_h"))
 
 
 def cosinor_fit(minutes: DataFrame, channel: str, prefix: str) -> DataFrame:
-    return minutes.groupBy(S).agg(*cosinor_aggs(channel, prefix)).select(S, *cosinor_solution(prefix))
+    return solve_cosinor(minutes.groupBy(S).agg(*cosinor_aggs(channel, prefix)), prefix)
 
 
 def rhythm(grid: DataFrame, channels: dict[str, str], amplitude: str | None = None, most: int = 10, least: int = 5) -> DataFrame:
@@ -302,8 +312,8 @@ def wearable_matrix(minutes: DataFrame) -> DataFrame:
     simple = marked.groupBy(S).agg(
         *coverage_aggs(), *sensor_aggs(), *activity_aggs(), *beat_aggs(), *run_aggs(_still(), "still"),
         *run_aggs(_active(), "active"), *cosinor_aggs("hr", "hr"), *cosinor_aggs("skin_temp", "temp"),
-    ).select("*", *bout_columns(), *cosinor_solution("hr"), *cosinor_solution("temp"))
-    out = simple
+    ).select("*", *bout_columns())
+    out = solve_cosinor(solve_cosinor(simple, "hr"), "temp")
     for block in (
         rhythm(hour_grid(minutes, ["hr", "accel"]), {"hr": "hr", "accel": "accel"}, "accel"), resting_rate(minutes),
         day_table(minutes).groupBy(S).agg(*dip_aggs(), *day_aggs()), profile_regularity(minutes),
