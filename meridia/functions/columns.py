@@ -28,8 +28,8 @@ def to_utc(col: Column | str) -> Column:
 
 
 def finite(col: Column) -> Column:
-    """NULL for NaN and infinities."""
-    return F.when(F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), None).otherwise(col)
+    """NULL for NaN and infinities (Spark orders NaN above infinity)."""
+    return F.when(F.abs(col) < F.lit(float("inf")), col)
 
 
 def finite_or_zero(col: Column) -> Column:

@@ -62,7 +62,7 @@ def attach_target(features: DataFrame, targets: DataFrame, key: str, target: str
 
 
 def subjects_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def join_key(col: str, prefix: str = "1636-") -> list[Column]:
@@ -183,7 +183,7 @@ def dq_assertions(subjects: DataFrame, cells: DataFrame, crosswalk: DataFrame) -
 
 
 def orphan_rows(crosswalk: DataFrame, subjects: DataFrame) -> DataFrame:
-    ids = subjects.select(F.col("subject_id").alias("omics_subject_id")).distinct()
+    ids = subjects.select(F.col("subject_id").alias("omics_subject_id"))
     return crosswalk.join(ids, "omics_subject_id", "left_anti")
 
 

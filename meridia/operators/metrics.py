@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.columns import correlation, ratio
 from meridia.operators.ordered import average_ranks, ordered, spread_join
+from meridia.session import durable
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -15,9 +16,9 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 
 def spearman(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     """Correlation of average ranks, on counted (y, p) pairs."""
-    pairs = df.groupBy(*keys, y, p).agg(F.count(F.lit(1)).alias("c"))
+    pairs = durable(df.groupBy(*keys, y, p).agg(F.count(F.lit(1)).alias("c")), "pairs")
     for col, rank in ((y, "ry"), (p, "rp")):
-        ranks = average_ranks(df, keys, col, rank).drop("n_tied")
+        ranks = average_ranks(pairs, keys, col, rank, F.col("c")).drop("n_tied")
         pairs = spread_join(pairs, ranks, [*keys, col], [p if col == y else y])
     c, a, b = F.col("c"), F.col("ry"), F.col("rp")
     n = F.sum(c)

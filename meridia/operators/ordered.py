@@ -12,7 +12,7 @@ per partition) are combined across partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.session import durable
@@ -23,9 +23,14 @@ GROUP_CONF = "spark.meridia.maxGroupRows"
 GROUP_ROWS = 1_000_000
 
 
+def group_limit(spark: SparkSession) -> int:
+    """Most rows of one key a single task may get."""
+    return int(spark.conf.get(GROUP_CONF, str(GROUP_ROWS)))
+
+
 def fits(df: DataFrame, keys: list[str]) -> bool:
     """Every key's rows are few enough for one task."""
-    limit = int(df.sparkSession.conf.get(GROUP_CONF, str(GROUP_ROWS)))
+    limit = group_limit(df.sparkSession)
     if not keys:
         return df.limit(limit + 1).count() <= limit
     most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
@@ -182,9 +187,12 @@ def quantiles(
     return got.select(*out)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Rank of each distinct value (ties share their mean rank): keys, value, ``name``, ``n_tied``."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_tied"))
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """Rank of each distinct value (ties share their mean rank): keys, value, ``name``, ``n_tied``.
+
+    ``weight`` is the number of rows a row stands for.
+    """
+    counted = df.groupBy(*keys, value).agg(F.sum(F.lit(1).cast("bigint") if weight is None else weight).alias("n_tied"))
     placed = ordered(counted, keys, [value], sums={"__cum": F.col("n_tied")})
     return placed.select(
         *keys, value, "n_tied",
@@ -193,14 +201,22 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 
 
 def spread_join(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], ways: int = 16, how: str = "inner"
+    rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], ways: int = 64, how: str = "inner"
 ) -> DataFrame:
     """Join rows to a table with one row per key when one key may hold most rows.
 
-    Each key is cut into ``ways`` by a hash of the ``spread`` columns, and the
-    small side is repeated that many times, so no task gets a whole hot key even
-    without run-time skew handling.
+    Keys above the one-task limit are counted out first (at most rows / limit of
+    them); only those are cut into ``ways`` by a hash of the ``spread`` columns and
+    repeated on the other side.  Without such keys it is a plain join.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int"))
-    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    limit = group_limit(rows.sparkSession)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(
+        *keys, F.lit(True).alias("__hot"))
+    hot = durable(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(per_key, keys, how)
+    is_hot, salt = F.coalesce("__hot", F.lit(False)), F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(is_hot, salt).otherwise(0)).drop("__hot")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

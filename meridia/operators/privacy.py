@@ -93,23 +93,26 @@ def dp_summary(long: DataFrame, eps: float, delta: float, bounds: dict[str, tupl
 
     Observed bounds depend on the data, so ``bounds_source`` says where they came from.
     """
-    spark = long.sparkSession
-    observed = long.where(F.col("value").isNotNull()).groupBy("feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
-    d = observed.count()
+    v, present = F.col("value"), long.where(F.col("value").isNotNull())
+    if bounds is None:  # clipping to observed bounds changes nothing, so one aggregate has it all
+        stats = present.groupBy("feature").agg(
+            F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n"), F.avg(v).alias("true_mean")
+        ).withColumn("m", F.col("true_mean"))
+    else:
+        given = long.sparkSession.createDataFrame(
+            [(k, float(a), float(b)) for k, (a, b) in bounds.items()], "feature string, lo double, hi double")
+        stats = present.join(given, "feature", "left").groupBy("feature", "lo", "hi").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(v).alias("true_mean"), F.avg(clip(v, F.col("lo"), F.col("hi"))).alias("m"))
+    stats = durable(stats, "stats")  # one row per feature
+    d, bounded = stats.agg(F.count(F.lit(1)), F.count("lo")).first()
     if d == 0:
         raise ValueError("at least one feature is needed")
+    if bounded != d or (bounds is not None and len(bounds) != d):
+        raise ValueError(f"bounds must name all {d} features")
     unit = _unit_sigma(calibration, eps if math.isinf(eps) else eps / d, delta / d)
-    if bounds is not None:
-        if len(bounds) != d:
-            raise ValueError(f"bounds must name all {d} features")
-        given = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in bounds.items()], "feature string, lo double, hi double")
-        observed = observed.drop("lo", "hi").join(given, "feature")
-    v = F.col("value")
-    stats = long.join(observed, "feature").groupBy("feature", "lo", "hi", "n").agg(
-        F.avg(v).alias("true_mean"), F.avg(clip(v, F.col("lo"), F.col("hi"))).alias("m"))
-    sigma = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("n") * unit).otherwise(0.0)
-    dp = F.when(F.col("hi") > F.col("lo"), F.col("m") + sigma * gaussian("feature", seed=seed)).otherwise(F.col("true_mean"))
+    open_ = F.col("hi") > F.col("lo")
+    sigma = F.when(open_, (F.col("hi") - F.col("lo")) / F.col("n") * unit).otherwise(0.0)
+    dp = F.when(open_, F.col("m") + sigma * gaussian("feature", seed=seed)).otherwise(F.col("true_mean"))
     return stats.select("feature", "true_mean", dp.alias("dp_mean"), F.abs(dp - F.col("true_mean")).alias("abs_error"),
                         sigma.alias("sigma"), "lo", "hi", F.lit("given" if bounds else "observed").alias("bounds_source"))
 

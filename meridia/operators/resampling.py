@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from meridia.functions.columns import gaussian, ratio
 from meridia.operators import gram as G
-from meridia.operators.metrics import auroc
 from meridia.operators.models import fold_grams, hash_fold, nested_ridge, train_moments
 from meridia.operators.ordered import PART, lay_out, ordered
+from meridia.session import durable
 
 GREATER_IS_BETTER = {"R2": True, "Pearson": True, "Spearman": True, "AUROC": True, "F1": True,
                      "Accuracy": True, "RMSE": False, "MAE": False}
@@ -178,7 +178,7 @@ def permutation_scores(df: DataFrame, key: str, x: str, y: str, fold: str, perms
 
     The permuted labels are extra label columns of the same matrices, so x'x is formed once.
     """
-    shuffled = df.join(permuted_labels(df, key, y, perms, seed), key)
+    shuffled = durable(df.join(permuted_labels(df, key, y, perms, seed), key), "permuted")
     ys = [F.col(y).cast("double")] + [F.col("y_perm")[i] for i in range(perms)]
     g = G.grams(G.design(shuffled, F.col(x), ys, [fold]), [fold], perms + 1)
     pooled = np.zeros((6, perms + 1))
@@ -209,6 +209,7 @@ def baseline_scores(df: DataFrame, key: str, x: str, y: str, outer: int = 5, inn
         key, F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
         hash_fold(key, outer, seed).alias("fold"), hash_fold(key, inner, seed + 1).alias("inner"))
     shuffled = rows.join(permuted_labels(rows, key, "y", 1, seed), key).withColumn("y_mixed", F.col("y_perm")[0])
+    shuffled = durable(shuffled, "permuted")
     both = fold_grams(shuffled, "x", ["y", "y_mixed"], "fold", ("inner",))
     noise = rows.withColumn("x", F.transform(F.sequence(F.lit(1), F.size("x")), lambda j: gaussian(F.col(key), j, seed=seed + 7)))
     random = fold_grams(noise, "x", ["y"], "fold", ("inner",))

@@ -63,7 +63,7 @@ def panel_matrix(
 
 
 def feature_wide(long: DataFrame, features: list[str], ids: DataFrame | None = None) -> DataFrame:
-    kept = long if ids is None else long.join(ids.select("subject_id").distinct(), "subject_id", "left_semi")
+    kept = long if ids is None else long.join(ids.select("subject_id"), "subject_id", "left_semi")
     return kept.groupBy("subject_id").pivot("feature", features).agg(F.first("value"))
 
 

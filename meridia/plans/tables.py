@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.session import durable
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -114,10 +116,10 @@ traits AS (SELECT l_suppkey AS subject_id, avg(l_quantity) AS quantity, avg(l_ex
 
 
 def order_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """One feature, one label per order: total quantity and total price."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(
+    """One feature, one label per order: total quantity and total price; written once, as fits read it again."""
+    return durable(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(
         F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("y")
-    ).select("key", F.pmod("key", F.lit(5)).alias("fold"), F.array("q").alias("x"), "y")
+    ).select("key", F.pmod("key", F.lit(5)).alias("fold"), F.array("q").alias("x"), "y"), "orders")
 
 
 ORDER_SQL = """

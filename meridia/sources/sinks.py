@@ -9,14 +9,18 @@ MANY_SUBJECTS = 10_000
 BUCKETS = 10
 
 
-def write_by_subject(df: DataFrame, path: str, key: str = "subject_id") -> None:
-    """One folder per subject, or per hash bucket when there are too many subjects for folders.
+def _spread(df: DataFrame, keys: list[str], ways: int) -> DataFrame:
+    """Gather each key in at most ``ways`` tasks: few files per key, yet no task holds a whole hot key."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(ways))
+    return df.withColumn("__s", salt).repartition(*keys, "__s").drop("__s")
 
-    Rows of a hot subject spread over several files of its folder.
-    """
+
+def write_by_subject(df: DataFrame, path: str, key: str = "subject_id", spread: int = 8) -> None:
+    """One folder per subject, or per hash bucket when there are too many subjects for folders."""
     many = df.select(key).distinct().limit(MANY_SUBJECTS + 1).count() > MANY_SUBJECTS
     out = df.withColumn("bucket", bucket_of(key, 256)) if many else df
-    out.write.mode("overwrite").partitionBy("bucket" if many else key).parquet(path)
+    part = "bucket" if many else key
+    _spread(out, [part], spread).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, label: str) -> None:
@@ -41,6 +45,5 @@ def write_bucketed(df: DataFrame, path: str, key: str = "subject_id", cluster: s
     Each bucket is written by up to ``spread`` tasks, so one hot subject does not fill one task.
     """
     rows = df.where(F.col("value").isNotNull()).withColumn("part_bucket", bucket_of(key, buckets))
-    salted = rows.withColumn("__s", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
-    salted.repartition("part_bucket", "__s").drop("__s").sortWithinPartitions("part_bucket", cluster, key).write.mode(
+    _spread(rows, ["part_bucket"], spread).sortWithinPartitions("part_bucket", cluster, key).write.mode(
         "overwrite").partitionBy("part_bucket").parquet(path)
