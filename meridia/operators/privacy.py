@@ -247,7 +247,7 @@ def fit_sites(rows: DataFrame, site: str, p: int, *, max_iter: int = 30, tol: fl
 
 def site_partitioned_fit(df: DataFrame, key: str, site: str, x: str, y: str, rounds: int = 5, test_share: float = 0.3,
                          task: str = "classification", seed: int = 0) -> DataFrame:
-    """round, metric, central_metric, gap: size-weighted averaging of site models against one central fit.
+    """round, score, central_score, gap: size-weighted averaging of site models against one central fit.
 
     Same split and train-only scaling for both.  A site with one class sends the
     global parameters back.  The local optimum does not depend on the starting
@@ -297,4 +297,4 @@ def site_partitioned_fit(df: DataFrame, key: str, site: str, x: str, y: str, rou
     n, sy, syy = v[:3]
     scores = v[3:] / n if task == "classification" else 1 - v[3:] / (syy - sy * sy / n)
     out = [(i + 1, float(s), float(scores[-1]), float(scores[-1] - s)) for i, s in enumerate(scores[:-1])]
-    return df.sparkSession.createDataFrame(out, "round int, metric double, central_metric double, gap double")
+    return df.sparkSession.createDataFrame(out, "round int, score double, central_score double, gap double")

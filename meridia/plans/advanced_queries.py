@@ -163,11 +163,22 @@ def _funnel(spark, sf):
     return H.fit_reduction(durable(wide_cells(spark, sf)), k=10).trace_frame()
 
 
-@add("fit_apply_reduction")
-def _fit_apply(spark, sf):
-    """Learned on two thirds of the subjects, replayed on the rest."""
+def train_reduction(spark, sf):
+    """Learned on two thirds of the subjects."""
     cells = durable(wide_cells(spark, sf))
-    fitted = H.fit_reduction(cells.where("subject_id % 3 <> 0"), k=10)
+    return cells, H.fit_reduction(cells.where("subject_id % 3 <> 0"), k=10)
+
+
+@add("fit_reduction")
+def _fit_reduction(spark, sf):
+    """The learned state: surviving analytes with median, scale and first loading."""
+    return rounded(train_reduction(spark, sf)[1].params.select("analyte", "median", "sd", F.col("loading")[0].alias("loading0")))
+
+
+@add("apply_reduction")
+def _apply_reduction(spark, sf):
+    """The state replayed on the remaining third."""
+    cells, fitted = train_reduction(spark, sf)
     return fitted.apply(cells.where("subject_id % 3 = 0"))
 
 

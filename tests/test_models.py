@@ -326,7 +326,7 @@ def test_site_average_and_fit(spark):
     site = np.where(y[:] * (np.arange(240) % 7 == 0) == 1, 9, np.arange(240) % 3)  # site 9 has one class
     df = spark.createDataFrame(pd.DataFrame({"key": np.arange(240), "site": site, "x": list(x), "y": y}))
     got = V.site_partitioned_fit(df, "key", "site", "x", "y", rounds=3).orderBy("round").collect()
-    assert len(got) == 3 and got[-1]["central_metric"] > 0.85 and abs(got[-1]["gap"]) < 0.1
+    assert len(got) == 3 and got[-1]["central_score"] > 0.85 and abs(got[-1]["gap"]) < 0.1
     z = durable(df.select("site", F.concat(F.array(F.lit(1.0)), "x", F.array(F.col("y").cast("double"))).alias("z")))
     local, pooled = V.fit_sites(z, "site", 3)
     for s, coef in [*local.items(), (None, pooled)]:
