@@ -1,9 +1,11 @@
-"""Session settings and the one place that cuts lineage."""
+"""Session settings, shipping of the package, and the one place that cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,20 +28,35 @@ def build_session(app: str = "meridia", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="meridia-")) / "meridia_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, a fresh one in local mode."""
+    """Folder every executor can reach: the one the session names; in local mode, if unset, a fresh one.
+
+    The choice is stored in the session, so later callers and Spark itself see the same folder.
+    """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL_DIRS[context.applicationId]
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
+        configured = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(CHECKPOINT_CONF, configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
