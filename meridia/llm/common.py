@@ -39,3 +39,24 @@ def partitions(spark: SparkSession) -> int:
 def pieces(total: int, each: int, least: int) -> int:
     """How many pieces of about ``each`` units hold ``total``, not fewer than ``least``."""
     return max(least, math.ceil(total / each))
+
+
+def map_slices(df: DataFrame, step, schema: str, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows, so that a task holds few Python objects at once.
+
+    ``step()`` is called once per task and returns a function from a pyarrow table to a dict of columns.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        one = step()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = one(batch.slice(at, rows))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, schema)

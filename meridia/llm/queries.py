@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from meridia.llm import exact_dedup, line_dedup
+from meridia.llm import byte_bpe, exact_dedup, line_dedup, mixing
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
 
@@ -13,6 +14,47 @@ catalog = Catalog()
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@catalog.add("op1_byte_bpe")
+def op1(spark, sf_dir):
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@catalog.add("op3_mixing", """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+slots AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS slot, 2.0::DOUBLE * source_size AS most FROM totals),
+leveled AS (SELECT *, [3.0, 1.0, 2.0][slot + 1]::DOUBLE AS w, most / w AS full_at FROM slots),
+ahead AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS demand,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM leveled WINDOW before AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (SELECT source, source_size, slot, demand,
+    least(most, coalesce(first_value(CASE WHEN level <= full_at THEN level END IGNORE NULLS) OVER (ORDER BY full_at, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, most)) AS target FROM ahead),
+placed AS (SELECT doc_id, size, source_size, slot, demand, target,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ran
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+timed AS (SELECT *, least(ran / target, 1.0::DOUBLE) AS u FROM placed)
+SELECT doc_id, size, source_size, target,
+  size * ((ran + size / 2.0::DOUBLE < target)::BIGINT + (source_size + ran + size / 2.0::DOUBLE < target)::BIGINT) AS taken,
+  CASE WHEN ran + size / 2.0::DOUBLE < target THEN floor(demand * CASE slot
+    WHEN 0 THEN 2.0::DOUBLE * u / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 2.0::DOUBLE * u))
+    WHEN 1 THEN u
+    ELSE CASE WHEN u * 0.875::DOUBLE < 0.25::DOUBLE THEN 2.0::DOUBLE * (u * 0.875::DOUBLE) / 1.0::DOUBLE
+      ELSE 0.5::DOUBLE + 2.0::DOUBLE * (u * 0.875::DOUBLE - 0.25::DOUBLE) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 6.0::DOUBLE * (u * 0.875::DOUBLE - 0.25::DOUBLE))) END
+    END)::BIGINT END AS first_position
+FROM timed""")
+def op3(spark, sf_dir):
+    mixed = mixing.plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
+        F.floor(F.get("positions", F.lit(0))).cast("bigint").alias("first_position"))
+
+
 @catalog.add("op6_line_dedup", f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, pos, line, translate(trim(line, {BLANKS_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
