@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from meridia.llm import byte_bpe, exact_dedup, line_dedup, mixing
+from meridia.llm import byte_bpe, exact_dedup, line_dedup, mixing, token_files, topk
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
+from meridia.session import scratch_path
 
 catalog = Catalog()
 
@@ -55,6 +56,14 @@ def op3(spark, sf_dir):
         F.floor(F.get("positions", F.lit(0))).cast("bigint").alias("first_position"))
 
 
+@catalog.add("op5_token_files")
+def op5(spark, sf_dir):
+    folder = scratch_path(spark, "ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_ids(spark, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @catalog.add("op6_line_dedup", f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, pos, line, translate(trim(line, {BLANKS_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -69,6 +78,17 @@ def op6(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@catalog.add("op9_topk", """
+WITH vectors AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5""")
+def op9(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 @catalog.add("op10_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256
