@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from meridia.llm import byte_bpe, exact_dedup, line_dedup, mixing, token_files, topk
+from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, token_files, topk, toxicity
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
 from meridia.session import scratch_path
@@ -78,6 +78,28 @@ def op6(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@catalog.add("op7_language")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    model = language.fit(docs.where(~held), bound=3000)
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def toxicity_model(spark, sf_dir, docs):
+    """Fitted on the documents that the labels table covers; repeated labels count by their highest grade."""
+    labels = table(spark, sf_dir, "labels")
+    graded = labels.groupBy("doc_id").agg(F.max(toxicity.grade_of(F.col("toxic"), F.col("quality"))).alias("grade"))
+    return toxicity.fit(docs.select("doc_id", "text").join(graded, "doc_id"), bound=8000)
+
+
+@catalog.add("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.scored(docs, toxicity_model(spark, sf_dir, docs))
+    return rated.select("doc_id", "severity.severity", "severity.grade", "severity.p_toxic", "severity.toxic")
+
+
 @catalog.add("op9_topk", """
 WITH vectors AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
