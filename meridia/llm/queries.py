@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, token_files, topk, toxicity
+from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, token_files, topk, toxicity
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
 from meridia.session import scratch_path
@@ -56,6 +56,12 @@ def op3(spark, sf_dir):
         F.floor(F.get("positions", F.lit(0))).cast("bigint").alias("first_position"))
 
 
+@catalog.add("op4_near_dedup")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, shingle=4, threshold=0.8).drop("row")
+
+
 @catalog.add("op5_token_files")
 def op5(spark, sf_dir):
     folder = scratch_path(spark, "ids")
