@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, token_files, topk, toxicity
+from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, passage_dedup, token_files, topk, toxicity
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
 from meridia.session import scratch_path
@@ -24,6 +24,12 @@ def op1(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@catalog.add("op2_passage_dedup")
+def op2(spark, sf_dir):
+    left = passage_dedup.dedup_passages(table(spark, sf_dir, "documents"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @catalog.add("op3_mixing", """
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
