@@ -76,11 +76,11 @@ def dp_mean(df: DataFrame, value: str, eps: float, delta: float, lo: float, hi:
             keys: list[str] | None = None, seed: int = 0, calibration: str = "analytic") -> DataFrame:
     """Clipped mean per key + Gaussian noise keyed on (key, seed); eps = inf releases the clipped mean."""
     if hi <= lo:
-        raise ValueError("bounds must satisfy hi > lo")
+        raise ValueError("the clipping range is empty")
     unit = _unit_sigma(calibration, eps, delta)
     keys = keys or []
     if not keys and df.where(F.col(value).isNotNull()).isEmpty():
-        raise ValueError("no values to release")
+        raise ValueError("nothing but NULL in the column to average")
     stats = df.groupBy(*keys).agg(F.avg(clip(F.col(value), lo, hi)).alias("m"), F.count(value).alias("n")).where("n > 0")
     sigma = ratio(F.lit((hi - lo) * unit), F.col("n"))
     noise = gaussian(*(keys or [F.lit("all")]), seed=seed)
@@ -106,9 +106,9 @@ def dp_summary(long: DataFrame, eps: float, delta: float, bounds: dict[str, tupl
     stats = durable(stats, "stats")  # one row per feature
     d, bounded = stats.agg(F.count(F.lit(1)), F.count("lo")).first()
     if d == 0:
-        raise ValueError("at least one feature is needed")
+        raise ValueError("the table names no feature")
     if bounded != d or (bounds is not None and len(bounds) != d):
-        raise ValueError(f"bounds must name all {d} features")
+        raise ValueError(f"each of the {d} features needs its clipping range, and no other")
     unit = _unit_sigma(calibration, eps if math.isinf(eps) else eps / d, delta / d)
     open_ = F.col("hi") > F.col("lo")
     sigma = F.when(open_, (F.col("hi") - F.col("lo")) / F.col("n") * unit).otherwise(0.0)
@@ -184,11 +184,11 @@ def weighted_param_average(sites: DataFrame, params: str = "params", size: str =
     n, low, total, short, long = sites.agg(
         F.count(F.lit(1)), F.min(size), F.sum(size), F.min(F.size(params)), F.max(F.size(params))).first()
     if not n:
-        raise ValueError("at least one site is needed")
+        raise ValueError("there is no site to average over")
     if short != long:
-        raise ValueError("all sites must share one parameter shape")
+        raise ValueError("parameter arrays differ in length between sites")
     if low < 0 or total <= 0:
-        raise ValueError("site sizes must be non-negative with a positive sum")
+        raise ValueError("sizes cannot serve as weights: one is negative or all are zero")
     w = F.col(size).cast("double")
     return sites.select(w.alias("w"), F.posexplode(params).alias("pos", "p")).groupBy("pos").agg(
         ratio(F.sum(F.col("w") * F.col("p")), F.sum("w")).alias("value"))

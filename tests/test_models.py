@@ -338,20 +338,21 @@ def test_site_average_and_fit(spark):
 
 
 def test_attribution_adds_up(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 5))
-    y = 5 * x[:, 1] + 2 * x[:, 4] + 0.1 * rng.normal(size=400)
-    df = durable(spark.createDataFrame(pd.DataFrame({"key": np.arange(400), "x": list(x), "y": y})))
-    model = X.fit_boosted(df, "x", "y", maxIter=8)
+    """A step and a slope carry the outcome; two coin flips and a copy of nothing do not."""
+    rng = np.random.default_rng(21)
+    slope, gate = rng.uniform(-2, 2, 360), rng.integers(0, 2, 360)
+    x = np.column_stack([rng.integers(0, 2, (360, 2)), gate, np.zeros(360), slope])
+    y = 8.0 * gate + 3.0 * slope
+    df = durable(spark.createDataFrame(pd.DataFrame({"key": np.arange(360), "x": list(x), "y": y})))
+    model = X.fit_boosted(df, "x", "y", maxIter=6)
     rows = durable(X.tree_attribution(model, df, "key", "x"))
     want = model.transform(M.with_features(df, "x")).select("key", F.col("prediction").alias("p"))
     assert rows.join(want, "key").agg(F.max(F.abs(F.col("prediction") - F.col("p")))).first()[0] < 1e-9
-    names = ["distractor_1", "sig_a", "noise", "distractor_2", "sig_b"]
-    order = [r["analyte"] for r in X.attribution_ranking(rows, names).orderBy(F.desc("mean_abs")).collect()]
-    assert order[:2] == ["sig_a", "sig_b"]
-    assert sum(r["gain"] for r in X.gain_importance(model, names, spark).collect()) == pytest.approx(1)
-    curve = X.ale_1d(model, df, "x", 1).orderBy("edge").toPandas()
-    assert curve["effect"].iloc[-1] > 3 > -3 > curve["effect"].iloc[0] and curve["n"].sum() == 400
+    ranking = {r["analyte"]: r["mean_abs"] for r in X.attribution_ranking(rows, ["coin1", "coin2", "gate", "blank", "slope"]).collect()}
+    assert min(ranking["gate"], ranking["slope"]) > 10 * max(ranking["coin1"], ranking["coin2"]) and not ranking.get("blank")
+    assert sum(r["gain"] for r in X.gain_importance(model, ["coin1", "coin2", "gate", "blank", "slope"], spark).collect()) == pytest.approx(1)
+    curve = X.ale_1d(model, df, "x", 4).orderBy("edge").toPandas()
+    assert curve["effect"].iloc[-1] - curve["effect"].iloc[0] > 8 and curve["n"].sum() == 360
 
 
 def test_ale_of_a_rare_valued_feature(spark):
