@@ -98,17 +98,10 @@ def op7(spark, sf_dir):
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def toxicity_model(spark, sf_dir, docs):
-    """Fitted on the documents that the labels table covers; repeated labels count by their highest grade."""
-    labels = table(spark, sf_dir, "labels")
-    graded = labels.groupBy("doc_id").agg(F.max(toxicity.grade_of(F.col("toxic"), F.col("quality"))).alias("grade"))
-    return toxicity.fit(docs.select("doc_id", "text").join(graded, "doc_id"), bound=8000)
-
-
 @catalog.add("op8_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = toxicity.scored(docs, toxicity_model(spark, sf_dir, docs))
+    rated = toxicity.scored(docs, toxicity.fit_labels(docs, table(spark, sf_dir, "labels")))
     return rated.select("doc_id", "severity.severity", "severity.grade", "severity.p_toxic", "severity.toxic")
 
 

@@ -61,13 +61,15 @@ class Model:
         return 1 / (1 + np.exp(gap))
 
 
-def sample(docs: DataFrame, bound: int, text_col: str, grade_col: str, key_col: str):
-    """Collected rows (grade, columns, weight, apart) of at most about ``bound`` graded texts."""
-    graded = docs.select(
-        docs[text_col].alias("text"), docs[grade_col].cast("int").alias("grade"),
-        docs[key_col].alias("key")).where(F.col("grade").isNotNull() & F.col("text").isNotNull())
-    picked = stratified(graded, "grade", bound, ["key", "text"]).select(
-        "text", "grade", "weight", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("apart"))
+def sample(docs: DataFrame, grades: DataFrame, bound: int, id_col: str, text_col: str):
+    """Collected rows (grade, columns, weight, apart) of at most about ``bound`` graded texts.
+
+    The grades are sampled first; being bounded, they are sent to the texts.
+    """
+    graded = grades.select(F.col("doc_id").alias("g_id"), F.col("grade").cast("int").alias("grade")).where("grade IS NOT NULL")
+    few = stratified(graded, "grade", bound, ["g_id"]).withColumn("apart", F.pmod(F.xxhash64("g_id"), F.lit(5)) == 0)
+    texts = docs.select(docs[id_col].alias("g_id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
+    picked = texts.join(F.broadcast(few), "g_id").select("text", "grade", "weight", "apart")
 
     def step():
         import numpy as np
@@ -83,10 +85,10 @@ def sample(docs: DataFrame, bound: int, text_col: str, grade_col: str, key_col:
 
 
 def fit(
-    docs: DataFrame, bound: int = 8000, penalties: tuple[float, ...] = (4e-3, 2e-3, 1e-3, 5e-4), rounds: int = 200,
-    text_col: str = "text", grade_col: str = "grade", key_col: str = "doc_id",
+    docs: DataFrame, grades: DataFrame, bound: int = 8000, penalties: tuple[float, ...] = (4e-3, 2e-3, 1e-3, 5e-4),
+    rounds: int = 200, id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
-    """Train on at most about ``bound`` graded rows, chosen by hash and spread evenly over the grades.
+    """Train on at most about ``bound`` rows of ``grades`` (doc_id, grade), chosen by hash and spread evenly over the grades.
 
     The penalty is the one of ``penalties`` that does best on the held-back fifth.  Rows
     without a text or grade are skipped; with fewer than two grades left the model
@@ -94,7 +96,7 @@ def fit(
     """
     import numpy as np
 
-    got = sample(docs, bound, text_col, grade_col, key_col).sort_values(["grade", "cols"]).reset_index(drop=True)
+    got = sample(docs, grades, bound, id_col, text_col).sort_values(["grade", "cols"]).reset_index(drop=True)
     grades = sorted(got["grade"].unique().tolist())
     if len(grades) < 2:
         return Model(grades=grades or [0])
@@ -249,3 +251,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 def grade_of(toxic: Column, quality: Column) -> Column:
     """Grades of the labels table: 0 clean, 1 toxic, 2 toxic and of low quality; NULL if not labelled."""
     return F.when(toxic == 0, 0).when((toxic == 1) & (quality == 0), 2).when(toxic == 1, 1)
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model:
+    """Fitted on the documents that a table (doc_id, quality, toxic) covers; repeated labels count by their highest grade."""
+    graded = labels.groupBy("doc_id").agg(F.max(grade_of(F.col("toxic"), F.col("quality"))).alias("grade"))
+    return fit(docs, graded, bound=bound)
