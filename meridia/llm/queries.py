@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, passage_dedup, token_files, topk, toxicity
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
@@ -122,3 +123,6 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op10(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+catalog.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
