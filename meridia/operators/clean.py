@@ -71,9 +71,14 @@ def join_key(col: str, prefix: str = "1636-") -> list[Column]:
     return [F.element_at(parts, 1).alias("site_code"), F.try_element_at(parts, F.lit(2)).alias("zcode")]
 
 
+OTHER = {"analyte": "subject_id", "subject_id": "analyte"}
+
+
 def missing_by(cells: DataFrame, key: str) -> DataFrame:
-    """Missing share of each ``key`` over the long cells (NULL value = missing)."""
-    return cells.groupBy(key).agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_fraction"))
+    """Missing share of each ``key`` over the full grid: a cell that is absent is as missing as a NULL one."""
+    other = cells.agg(F.count_distinct(OTHER[key])).scalar()
+    return cells.groupBy(key).agg(F.count("value").alias("present")).select(
+        key, (F.lit(1.0) - ratio(F.col("present"), other)).alias("missing_fraction"))
 
 
 def missingness_profile(cells: DataFrame) -> DataFrame:
@@ -85,26 +90,21 @@ def missingness_profile(cells: DataFrame) -> DataFrame:
 
 
 def missingness_summary(cells: DataFrame) -> DataFrame:
-    """One row: totals, how many analytes exceed 50 % and 20 %, and the spread over patients."""
-    total = cells.agg(
-        F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("value").isNull()).alias("n_missing")
-    )
-    over = missing_by(cells, "analyte").agg(
-        F.count_if(F.col("missing_fraction") > 0.5).alias("analytes_over_50"),
-        F.count_if(F.col("missing_fraction") > 0.2).alias("analytes_over_20"),
-    )
-    per = missing_by(cells, "subject_id").withColumn("one", F.lit(1))
-    spread = per.agg(
-        F.count(F.lit(1)).alias("n_patients"), F.avg("missing_fraction").alias("mean"),
-        F.stddev_samp("missing_fraction").alias("sd"), F.min("missing_fraction").alias("min"),
-        F.max("missing_fraction").alias("max"),
-        F.count_if(F.col("missing_fraction") > 0.5).alias("patients_over_50"),
-    )
-    mid = quantiles(per, ["one"], "missing_fraction", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    out = total.withColumn("one", F.lit(1))
-    for piece in (over, spread):
-        out = out.join(piece.withColumn("one", F.lit(1)), "one")
-    return out.join(mid, "one").drop("one")
+    """One row: totals of the full grid, how many analytes exceed 50 % and 20 %, and the spread over patients."""
+    gone = F.col("missing_fraction")
+    total = cells.agg(F.count_distinct("subject_id").alias("p"), F.count_distinct("analyte").alias("a"), F.count("value").alias("v"))
+    over = missing_by(cells, "analyte").agg(F.struct(F.count_if(gone > 0.5).alias("half"), F.count_if(gone > 0.2).alias("fifth")))
+    per = missing_by(cells, "subject_id")
+    spread = per.agg(F.struct(
+        F.count(F.lit(1)).alias("n_patients"), F.avg(gone).alias("mean"), F.stddev_samp(gone).alias("sd"),
+        F.min(gone).alias("min"), F.max(gone).alias("max"), F.count_if(gone > 0.5).alias("patients_over_50")))
+    mid = quantiles(per, [], "missing_fraction", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(F.struct("p25", "p50", "p75"))
+    row = total.select(
+        (F.col("p") * F.col("a")).alias("n_cells"), (F.col("p") * F.col("a") - F.col("v")).alias("n_missing"),
+        over.scalar().alias("over"), spread.scalar().alias("spread"), mid.scalar().alias("mid"))
+    return row.select(
+        "n_cells", "n_missing", F.col("over.half").alias("analytes_over_50"), F.col("over.fifth").alias("analytes_over_20"),
+        "spread.*", "mid.*")
 
 
 def worst_missing(cells: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -137,9 +137,15 @@ def medians(cells: DataFrame) -> DataFrame:
 
 
 def impute(cells: DataFrame, fill: DataFrame | None = None) -> DataFrame:
-    """Fill missing cells with their analyte's median, learned here or supplied from training rows."""
+    """The full grid of patients x analytes, NULL and absent cells filled with their analyte's median.
+
+    Medians are learned here or supplied from training rows.  The grid is the result's size;
+    it comes from the patients and the list of analytes.
+    """
     fill = medians(cells) if fill is None else fill
-    return cells.join(fill, "analyte", "left").select(
+    analytes = cells.agg(F.collect_set("analyte")).scalar()
+    grid = cells.select("subject_id").distinct().select("subject_id", F.explode(analytes).alias("analyte"))
+    return grid.join(cells, ["subject_id", "analyte"], "left").join(fill, "analyte", "left").select(
         "subject_id", "analyte", F.coalesce("value", "median").alias("value")
     )
 

@@ -71,15 +71,17 @@ def _clip(spark, sf):
     return table(spark, sf, "events").select("event_id", clip(F.col("value"), 70.0, 180.0).alias("clipped"))
 
 
-@add("missingness_profile", report_sql(STORE_SQL, """SELECT 'analyte' AS kind, analyte AS name, avg((value IS NULL)::INT) AS missing_fraction FROM holed GROUP BY 2
-  UNION ALL SELECT 'subject_id', subject_id::VARCHAR, avg((value IS NULL)::INT) FROM holed GROUP BY 2""", "missing_fraction"))
+@add("missingness_profile", report_sql(STORE_SQL, """SELECT 'analyte' AS kind, analyte AS name, 1 - count(value) / (SELECT count(DISTINCT subject_id) FROM holed) AS missing_fraction FROM holed GROUP BY 2
+  UNION ALL SELECT 'subject_id', subject_id::VARCHAR, 1 - count(value) / (SELECT count(DISTINCT analyte) FROM holed) FROM holed GROUP BY 2""", "missing_fraction"))
 def _profile(spark, sf):
     return rounded(K.missingness_profile(holed_cells(spark, sf)))
 
 
 @add("missingness_summary", report_sql(STORE_SQL + """,
-a AS (SELECT analyte, avg((value IS NULL)::INT) AS m FROM holed GROUP BY 1), s AS (SELECT subject_id, avg((value IS NULL)::INT) AS m FROM holed GROUP BY 1)""",
-"""SELECT (SELECT count(*) FROM holed) AS n_cells, (SELECT count(*) FROM holed WHERE value IS NULL) AS n_missing,
+a AS (SELECT analyte, 1 - count(value) / (SELECT count(DISTINCT subject_id) FROM holed) AS m FROM holed GROUP BY 1),
+s AS (SELECT subject_id, 1 - count(value) / (SELECT count(DISTINCT analyte) FROM holed) AS m FROM holed GROUP BY 1),
+g AS (SELECT count(DISTINCT subject_id) * count(DISTINCT analyte) AS n, count(value) AS v FROM holed)""",
+"""SELECT (SELECT n FROM g) AS n_cells, (SELECT n - v FROM g) AS n_missing,
  (SELECT count(*) FROM a WHERE m > 0.5) AS analytes_over_50, (SELECT count(*) FROM a WHERE m > 0.2) AS analytes_over_20,
  count(*) AS n_patients, avg(m) AS mean, stddev_samp(m) AS sd, min(m) AS min, max(m) AS max, count(*) FILTER (WHERE m > 0.5) AS patients_over_50,
  quantile_cont(m, 0.25) AS p25, quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.75) AS p75 FROM s""", "mean sd min max p25 p50 p75"))
@@ -87,14 +89,15 @@ def _summary(spark, sf):
     return rounded(K.missingness_summary(holed_cells(spark, sf)))
 
 
-@add("missingness_worst", report_sql(STORE_SQL, """SELECT analyte, avg((value IS NULL)::INT) AS missing_fraction FROM holed GROUP BY 1
+@add("missingness_worst", report_sql(STORE_SQL, """SELECT analyte, 1 - count(value) / (SELECT count(DISTINCT subject_id) FROM holed) AS missing_fraction FROM holed GROUP BY 1
   ORDER BY 2 DESC, 1 LIMIT 5""", "missing_fraction"))
 def _worst(spark, sf):
     return rounded(K.worst_missing(holed_cells(spark, sf), "analyte"))
 
 
 KEPT = """,
-kept AS (SELECT * FROM holed WHERE subject_id IN (SELECT subject_id FROM holed GROUP BY 1 HAVING avg((value IS NULL)::INT) <= 0.5))"""
+kept AS (SELECT * FROM holed WHERE subject_id IN (SELECT subject_id FROM holed GROUP BY 1
+  HAVING 1 - count(value) / (SELECT count(DISTINCT analyte) FROM holed) <= 0.5))"""
 
 
 @add("drop_sparse_patients", report_sql(STORE_SQL + KEPT, "SELECT * FROM kept", "value"))
@@ -103,7 +106,8 @@ def _sparse(spark, sf):
 
 
 @add("impute_median", report_sql(STORE_SQL + KEPT + ", med AS (SELECT analyte, quantile_cont(value, 0.5) AS m FROM kept GROUP BY 1)",
-     "SELECT k.subject_id, k.analyte, coalesce(k.value, m.m) AS value FROM kept k LEFT JOIN med m ON m.analyte = k.analyte", "value"))
+     """SELECT s.subject_id, m.analyte, coalesce(k.value, m.m) AS value FROM (SELECT DISTINCT subject_id FROM kept) s CROSS JOIN med m
+  LEFT JOIN kept k ON k.subject_id = s.subject_id AND k.analyte = m.analyte""", "value"))
 def _impute(spark, sf):
     return rounded(K.impute(K.drop_sparse(holed_cells(spark, sf))))
 
