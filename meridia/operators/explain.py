@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators.models import tree_model, with_features
-from meridia.operators.ordered import ordered, quantiles, spread_join
+from meridia.operators.ordered import ordered, quantiles
 from meridia.session import durable, scratch_path
 
 
@@ -145,7 +145,7 @@ def _ale_by_value(model, rows: DataFrame, feature: int) -> DataFrame:
     last = F.col("after").isNull()
     bins = values.where(~last | F.col("before").isNotNull()).select(
         "v", F.when(last, F.col("before")).otherwise(F.col("v")).alias("lo"), F.coalesce("after", "v").alias("hi"))
-    sided = spread_join(rows, bins, ["v"], ["x"]).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+    sided = rows.join(bins, "v").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "edge", F.when(F.col("side") == 1, F.col("hi")).otherwise(F.col("lo")))
     local = _local_effects(model, sided.select("lo", "x", "side", "edge"), "lo", F.col("edge"), feature)
     ends = bins.groupBy("lo").agg(F.max("hi").alias("hi"))

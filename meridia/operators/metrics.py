@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.columns import correlation, ratio
-from meridia.operators.ordered import average_ranks, fits, ordered, spread_join
+from meridia.operators.ordered import average_ranks, ordered
 from meridia.session import durable
 
 
@@ -17,15 +17,8 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 def spearman(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     """Correlation of average ranks, on counted (y, p) pairs."""
     pairs = durable(df.groupBy(*keys, y, p).agg(F.count(F.lit(1)).alias("c")), "pairs")
-    small = fits(pairs, keys)
     for col, rank in ((y, "ry"), (p, "rp")):
-        if small:
-            upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(col))  # ties included
-            tied = F.sum("c").over(Window.partitionBy(*keys, col))
-            pairs = pairs.withColumn(rank, upto - tied + (tied + 1) / 2.0)
-            continue
-        ranks = average_ranks(pairs, keys, col, rank, F.col("c")).drop("n_tied")
-        pairs = spread_join(pairs, ranks, [*keys, col], [p if col == y else y])
+        pairs = pairs.join(average_ranks(pairs, keys, col, rank, F.col("c")).drop("n_tied"), [*keys, col])
     c, a, b = F.col("c"), F.col("ry"), F.col("rp")
     n = F.sum(c)
     cov = F.sum(c * a * b) - F.sum(c * a) * F.sum(c * b) / n

@@ -1,40 +1,21 @@
 """Row-ordered work per key, safe when one key holds most rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task, so it is used
-only after counting: when every key has at most ``max_group_rows`` rows (one
-map-side-combined count of the key column alone).  Otherwise rows are
-range-partitioned on (key, order columns), so Spark's sampling cuts a hot key
-across as many partitions as it needs.  That layout is written once with its
-partition number; windows then run on (key, partition) and only the *seams* (one
-row per partition and key that continues in another partition, so at most two
-per partition) are combined across partitions.
+Rows are range-partitioned on (key, order columns), so Spark's sampling cuts a hot
+key across as many partitions as it needs and keeps small keys together.  That
+layout is written once with its partition number; windows then run on (key,
+partition) and only the *seams* (one row per partition and key that continues in
+another partition, so at most two per partition) are combined across partitions.
+There is no other path: rows of any number are treated alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.session import durable
 
 PART = "__part"
-TILE_ROWS = 65536
-GROUP_CONF = "spark.meridia.maxGroupRows"
-GROUP_ROWS = 1_000_000
-
-
-def group_limit(spark: SparkSession) -> int:
-    """Most rows of one key a single task may get."""
-    return int(spark.conf.get(GROUP_CONF, str(GROUP_ROWS)))
-
-
-def fits(df: DataFrame, keys: list[str]) -> bool:
-    """Every key's rows are few enough for one task."""
-    limit = group_limit(df.sparkSession)
-    if not keys:
-        return df.limit(limit + 1).count() <= limit
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) <= limit
 
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
@@ -72,8 +53,6 @@ def ordered(
     lag, lead = dict(lag or {}), dict(lead or {})
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    if not laid and not parts and fits(df, [k for k in keys if k != "__all"]):
-        return _windowed(df, keys, order, sums, totals, lag, lead).drop("__all")
     base = df if laid else lay_out(df, keys, order, parts)
     where = F.struct(*order) if len(order) > 1 else F.struct(F.col(order[0]), F.lit(0).alias("__z"))
     near = sorted(set(lag.values()) | set(lead.values()))
@@ -103,7 +82,7 @@ def ordered(
     seams = edge.select(*picks).where(F.col("__pieces") > 1).drop("__pieces")
 
     joined = base.join(
-        F.broadcast(seams),
+        seams,
         [base[k] == seams[f"__k_{k}"] for k in keys] + [base[PART] == seams["__p"]],
         "left",
     )
@@ -126,48 +105,14 @@ def ordered(
     return result if laid else result.drop(PART)
 
 
-def _windowed(df, keys, order, sums, totals, lag, lead) -> DataFrame:
-    """The same columns by plain windows, for keys known to be small."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = [F.col(c) for c in df.columns]
-    for n, e in sums.items():
-        out.append(F.sum(e).over(upto).alias(n))
-        if totals:
-            out.append(F.sum(e).over(Window.partitionBy(*keys)).alias(f"{n}_total"))
-    out += [F.lag(c).over(w).alias(n) for n, c in lag.items()]
-    out += [F.lead(c).over(w).alias(n) for n, c in lead.items()]
-    return df.select(*out)
-
-
-def tiles(df: DataFrame, keys: list[str], pos: str, before: int, rows: int = TILE_ROWS) -> DataFrame:
-    """Cut positions into tiles of ``rows`` rows, each repeating the last ``before`` rows of the previous one.
-
-    Adds ``__tile`` and ``__own``; a window on (keys, __tile) then sees every row it needs.
-    """
-    at = F.col(pos) - 1
-    tile = F.floor(at / F.lit(rows)).cast("bigint")
-    copies = F.when(
-        F.pmod(at, F.lit(rows)) >= rows - before, F.array(tile, tile + 1)
-    ).otherwise(F.array(tile))
-    return df.withColumn("__tile", F.explode(copies)).withColumn("__own", F.col("__tile") == tile)
-
-
 def quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, NULL values skipped.
 
-    Keys of few rows use the built-in ``percentile`` (which keeps a key's distinct
-    values in one buffer).  Otherwise equal values are counted before the shuffle
-    and located by running counts, so neither a hot key nor a hot value lands in
-    one task.
+    Equal values are counted before the shuffle and located by running counts, so
+    neither a hot key nor a hot value lands in one task.
     """
-    rows = df.where(F.col(value).isNotNull())
-    if fits(rows, keys):
-        p = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(v)) for v in probs.values()]))
-        got = rows.groupBy(*keys).agg(p.alias("__q"), F.count(F.lit(1)).alias(n or "__n"))
-        return got.select(*keys, *([n] if n else []), *[F.col("__q")[i].alias(c) for i, c in enumerate(probs)])
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__c")
     )
@@ -198,25 +143,3 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, weight:
         *keys, value, "n_tied",
         (F.col("__cum") - F.col("n_tied") + (F.col("n_tied") + 1) / F.lit(2.0)).alias(name),
     )
-
-
-def spread_join(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], ways: int = 64, how: str = "inner"
-) -> DataFrame:
-    """Join rows to a table with one row per key when one key may hold most rows.
-
-    Keys above the one-task limit are counted out first (at most rows / limit of
-    them); only those are cut into ``ways`` by a hash of the ``spread`` columns and
-    repeated on the other side.  Without such keys it is a plain join.
-    """
-    limit = group_limit(rows.sparkSession)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(
-        *keys, F.lit(True).alias("__hot"))
-    hot = durable(hot, "hot")
-    if hot.isEmpty():
-        return rows.join(per_key, keys, how)
-    is_hot, salt = F.coalesce("__hot", F.lit(False)), F.pmod(F.xxhash64(*spread), F.lit(ways)).cast("int")
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(is_hot, salt).otherwise(0)).drop("__hot")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -5,7 +5,6 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from meridia.operators.ordered import GROUP_CONF  # noqa: E402
 from meridia.session import build_session  # noqa: E402
 
 
@@ -20,12 +19,10 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(params=["small", "hot"])
+@pytest.fixture(params=["few", "many"])
 def group_mode(request, spark):
-    """Runs a test with plain windows and with every key treated as too large for one task."""
-    if request.param == "hot":
-        spark.conf.set(GROUP_CONF, "3")
+    """Runs a test with Spark's own partition counts and with keys cut over many partitions."""
+    if request.param == "many":
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield request.param
-    spark.conf.unset(GROUP_CONF)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
