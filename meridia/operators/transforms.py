@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridia.functions.special import normal_quantile
 from meridia.operators.ordered import ordered, quantiles
 
 COLUMNS_PER_PASS = 8
-DEFAULT_FOR_FAMILY = {"tree": "none", "linear": "standard", "kernel": "standard"}
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,14 +55,21 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 9, rounds: int = 9) -> dict[str, float]:
+def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 9, tol: float = 1e-4) -> dict[str, float]:
     """Maximum-likelihood exponents: each round scores a grid for every column in one aggregate
-    (a few columns per aggregate when there are many)."""
-    width, centre = (hi - lo) / 2, {c: (hi + lo) / 2 for c in columns}
-    for _ in range(rounds):
-        grids = {c: [float(m + width * t) for t in np.linspace(-1, 1, points)] for c, m in centre.items()}
-        for at in range(0, len(columns), COLUMNS_PER_PASS):
-            some, aggs = columns[at: at + COLUMNS_PER_PASS], []
+    (a few columns per aggregate when there are many).
+
+    A bracket shrinks around its best point; while that lies on the edge it moves and widens
+    instead, so the start does not confine the exponent.
+    """
+    centre, width = {c: (hi + lo) / 2 for c in columns}, {c: (hi - lo) / 2 for c in columns}
+    for _ in range(60):
+        open_ = [c for c in columns if width[c] > tol]
+        if not open_:
+            return centre
+        for at in range(0, len(open_), COLUMNS_PER_PASS):
+            some, aggs = open_[at: at + COLUMNS_PER_PASS], []
+            grids = {c: [float(centre[c] + width[c] * t) for t in np.linspace(-1, 1, points)] for c in some}
             for c in some:
                 x = F.col(c).cast("double")
                 aggs += [F.count(c), F.sum(F.signum(x) * F.log1p(F.abs(x)))]
@@ -72,9 +78,13 @@ def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float
             for i, c in enumerate(some):
                 n, j, *v = row[i * (points + 2): (i + 1) * (points + 2)]
                 scores = [-n / 2 * math.log(s) + (lam - 1) * j if s and s > 0 else -math.inf for lam, s in zip(grids[c], v)]
-                centre[c] = grids[c][int(np.argmax(scores))]
-        width *= 2.0 / (points - 1)
-    return centre
+                best = int(np.argmax(scores))
+                if scores[best] == -math.inf:  # a constant column: any exponent will do
+                    centre[c], width[c] = 1.0, 0.0
+                    continue
+                centre[c] = grids[c][best]
+                width[c] *= 1.5 if best in (0, points - 1) else 2.0 / (points - 1)
+    raise RuntimeError(f"no largest likelihood within reach for {[c for c in columns if width[c] > tol]}")
 
 
 def power(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,11 +125,7 @@ def quantile(df: DataFrame, columns: list[str]) -> DataFrame:
             v = x.to_numpy(float)
             p = (np.interp(v, ref, share) - np.interp(-v, -ref[::-1], -share[::-1])) / 2
             p = np.where(v <= ref[0], 0.0, np.where(v >= ref[-1], 1.0, p))  # ties at the ends sit on the ends
-            inverse = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
-            ok = ~np.isnan(v)
-            out = np.full(len(v), np.nan)
-            out[ok] = inverse(np.clip(p[ok], cut, 1 - cut)).astype(float)
-            return pd.Series(out)
+            return pd.Series(normal_quantile(np.clip(p, cut, 1 - cut)))
 
         return score
 

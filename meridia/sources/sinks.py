@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-MANY_SUBJECTS = 10_000
 BUCKETS = 10
 
 
-def _spread(df: DataFrame, keys: list[str], ways: int) -> DataFrame:
-    """Gather each key in at most ``ways`` tasks: few files per key, yet no task holds a whole hot key."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(ways))
-    return df.withColumn("__s", salt).repartition(*keys, "__s").drop("__s")
+def _gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Few files per key: adaptive execution gathers a key's rows and splits what is too large for one task."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
-def write_by_subject(df: DataFrame, path: str, key: str = "subject_id", spread: int = 8) -> None:
-    """One folder per subject, or per hash bucket when there are too many subjects for folders."""
-    many = df.select(key).distinct().limit(MANY_SUBJECTS + 1).count() > MANY_SUBJECTS
-    out = df.withColumn("bucket", bucket_of(key, 256)) if many else df
-    part = "bucket" if many else key
-    _spread(out, [part], spread).write.mode("overwrite").partitionBy(part).parquet(path)
+def write_by_subject(df: DataFrame, path: str, key: str = "subject_id", buckets: int | None = None) -> None:
+    """One folder per subject; with ``buckets``, one per hash bucket of subjects (for more subjects than folders will do)."""
+    part = "bucket" if buckets else key
+    out = df.withColumn("bucket", bucket_of(key, buckets)) if buckets else df
+    _gathered(out, part).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, label: str) -> None:
@@ -39,11 +36,11 @@ def bucket_of(key: str, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, path: str, key: str = "subject_id", cluster: str = "panel", buckets: int = BUCKETS, spread: int = 8) -> None:
+def write_bucketed(df: DataFrame, path: str, key: str = "subject_id", cluster: str = "panel", buckets: int = BUCKETS) -> None:
     """Partitioned by key bucket, sorted by (cluster, key) inside files; NULL values dropped.
 
-    Each bucket is written by up to ``spread`` tasks, so one hot subject does not fill one task.
+    A bucket is written by as many tasks as its size needs, so one hot subject does not fill one task.
     """
     rows = df.where(F.col("value").isNotNull()).withColumn("part_bucket", bucket_of(key, buckets))
-    _spread(rows, ["part_bucket"], spread).sortWithinPartitions("part_bucket", cluster, key).write.mode(
+    _gathered(rows, "part_bucket").sortWithinPartitions("part_bucket", cluster, key).write.mode(
         "overwrite").partitionBy("part_bucket").parquet(path)
