@@ -146,7 +146,7 @@ def _bootstrap(spark, sf):
 @add("permutation_test")
 def _permutation(spark, sf):
     scores = S.permutation_scores(vectors(spark, sf), "key", "x", "y", "fold", perms=99, alpha=1.0)
-    rows = [(m, float(v[0]), S.permutation_p(v, S.GREATER_IS_BETTER[m])) for m, v in scores.items()]
+    rows = [(m, float(v[0]), S.permutation_p(v, S.HIGHER_WINS[m])) for m, v in scores.items()]
     return spark.createDataFrame(rows, "metric string, observed double, p double")
 
 
@@ -156,7 +156,7 @@ def evaluate_linear(df, key, x, y, fold, *, alpha=1.0, reps=500, perms=99, seed=
     boot = S.intervals(S.bootstrap_regression(preds, "y_true", "y_pred", reps, seed))
     scores = S.permutation_scores(df, key, x, y, fold, perms, seed, alpha)
     ps = df.sparkSession.createDataFrame(
-        [(m, S.permutation_p(v, S.GREATER_IS_BETTER[m])) for m, v in scores.items()], "metric string, p double")
+        [(m, S.permutation_p(v, S.HIGHER_WINS[m])) for m, v in scores.items()], "metric string, p double")
     return boot.join(ps, "metric")
 
 
