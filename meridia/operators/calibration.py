@@ -29,6 +29,8 @@ def _curve(df: DataFrame, y: str, p: str, lo: float, hi: float, bins: int) -> Da
 def regression_bins(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over the predicted range; empty bins are absent."""
     lo, hi = df.agg(F.min(p), F.max(p)).first()
+    if lo is None:  # no predictions, no bins
+        lo = hi = 0.0
     hi = hi if hi > lo else lo + 1e-9
     return _curve(df, y, p, lo, hi, bins)
 

@@ -113,8 +113,8 @@ def modality_ablation(cohort: DataFrame, key: str, modalities: list[str], trees:
 def shared_component_loading(frames: dict[str, DataFrame | None], key: str, defaults: dict[str, float]) -> DataFrame:
     """Per modality: mean absolute correlation of its features with the first shared component, in [0.1, 1.5].
 
-    Frames hold key + array ``x``; they are aligned by key.  Missing values sit at
-    their feature's mean.  A modality without data keeps its default loading.
+    Frames hold key + array ``x``; they are aligned by key.  Features are scaled by
+    the mean and sd of their present values; missing values then sit at the mean.  A modality without data keeps its default loading.
     """
     have = {m: df for m, df in frames.items() if df is not None and not df.isEmpty()}
     spark = next(iter(have.values())).sparkSession if have else None
@@ -125,12 +125,13 @@ def shared_component_loading(frames: dict[str, DataFrame | None], key: str, defa
     x = F.concat(*[F.transform(F.col(m), lambda v: v.cast("double")) for m in have])
     stacked = durable(joined.select(key, x.alias("x")), "stacked")
     clean = F.transform("x", lambda v: F.nanvl(v, F.lit(None).cast("double")))
-    means = {row["j"]: row["m"] for row in stacked.select(F.posexplode(clean).alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).collect()}
-    fill = F.array(*[F.lit(float(means.get(j) or 0.0)) for j in range(sum(sizes))])
+    present = stacked.select(F.posexplode(clean).alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stats = {row["j"]: (row["m"] or 0.0, row["s"] or 0.0) for row in present.collect()}
+    fill = F.array(*[F.lit(float(stats.get(j, (0.0, 0.0))[0])) for j in range(sum(sizes))])
     filled = stacked.select(F.lit(0).alias("c"), F.zip_with(clean, fill, lambda v, m: F.coalesce(v, m)).alias("x"))
     g = G.grams(G.design(filled, F.col("x"), [], ["c"]), ["c"], 0)
     mo = G.moments(g.total, g.p, g.centre)
-    sd = np.sqrt(np.clip(np.diag(mo.cov), 0, None))
+    sd = np.array([stats.get(j, (0.0, 0.0))[1] for j in range(sum(sizes))])  # of the values that are there, before holes are filled
     scaled = mo.cov / np.outer(sd + 1e-9, sd + 1e-9)
     lam, vec = np.linalg.eigh(scaled)
     v = vec[:, -1]

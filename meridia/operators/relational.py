@@ -94,7 +94,7 @@ def class_weights(df: DataFrame, label: str, classes: int) -> DataFrame:
     everyone = Window.partitionBy(F.lit(1))  # one row per class
     return spine.select(
         F.col("id").alias("label"), F.coalesce("n", F.lit(0)).alias("n"),
-        (inverse / F.sum(inverse).over(everyone) * classes).alias("weight"),
+        F.coalesce(ratio(inverse, F.sum(inverse).over(everyone)) * classes, F.lit(0.0)).alias("weight"),
     )
 
 

@@ -195,10 +195,10 @@ def permutation_p(scores: np.ndarray, greater: bool = True, observed: float | No
 
 
 def mean_baseline(df: DataFrame, y: str) -> DataFrame:
-    """R2 of predicting each row by the mean of all others: one aggregate."""
+    """R2 of predicting each row by the mean of all others: one aggregate; NULL for fewer than two rows."""
     n, s = F.count(y), F.sum(y)
-    sse = F.pow(n / (n - 1), F.lit(2.0)) * F.var_pop(y) * n
-    return df.agg((1.0 - ratio(sse, F.var_pop(y) * n)).alias("R2"), (s / n).alias("mean"), n.alias("n"))
+    sse = F.pow(ratio(n, n - 1), F.lit(2.0)) * F.var_pop(y) * n
+    return df.agg((1.0 - ratio(sse, F.var_pop(y) * n)).alias("R2"), ratio(s, n).alias("mean"), n.alias("n"))
 
 
 def baseline_scores(df: DataFrame, key: str, x: str, y: str, outer: int = 5, inner: int = 5, seed: int = 0) -> dict:

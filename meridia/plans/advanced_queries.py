@@ -341,6 +341,14 @@ def _loading(spark, sf):
     return rounded(U.shared_component_loading({**frames, "imaging": None}, "key", {m: 0.5 for m in MODALITIES}))
 
 
+@add("shared_component_loading_full")
+def _loading_full(spark, sf):
+    """With a block for every modality, so no loading is a default."""
+    c = cohort(spark, sf)
+    frames = {m: c.select("key", F.col(m).alias("x")) for m in MODALITIES}
+    return rounded(U.shared_component_loading(frames, "key", {m: 0.5 for m in MODALITIES}))
+
+
 RATERS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -479,7 +487,10 @@ def _score(spark, sf):
 def _profile(spark, sf):
     c = durable(cohort(spark, sf))
     predictor = C.build_predictor(c, "key", MODALITIES, trees=20)
-    signal = table(spark, sf, "events").groupBy("user_id").pivot("event_type", RATERS[:4]).agg(F.avg((F.col("value") - 50) / 50))
+    # five kinds of events feed four modalities: signups and views together are the last one
+    kind = F.when(F.col("event_type").isin("signup", "view"), "visit").otherwise(F.col("event_type"))
+    events = table(spark, sf, "events").withColumn("kind", kind)
+    signal = events.groupBy("user_id").pivot("kind", ["click", "error", "purchase", "visit"]).agg(F.avg((F.col("value") - 50) / 50))
     signals = signal.na.fill(0.0).toDF("user_id", *MODALITIES)
     return rounded(predictor.score(signals, "user_id"))
 

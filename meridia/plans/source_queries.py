@@ -16,13 +16,14 @@ catalog = Catalog()
 add = catalog.add
 
 
-@add("src_delimited", """SELECT event_id::VARCHAR AS row_no, (user_id % 8)::VARCHAR AS subject,
-  CASE WHEN event_type = 'error' THEN 'Low' ELSE 'num' END AS kind FROM events""")
+@add("src_delimited", report_sql("", """SELECT event_id::VARCHAR AS row_no, (user_id % 8)::VARCHAR AS subject,
+  CASE WHEN event_type = 'error' THEN 'Low' ELSE 'num' END AS kind, CASE WHEN event_type <> 'error' THEN value END AS reading FROM events""", "reading"))
 def _delimited(spark, sf):
     path = scratch_path(spark, "tsv")
     trace_rows(spark, sf).write.csv(path, sep="\t", header=True)
     kind = F.when(F.col("reading") == "Low", "Low").otherwise("num")
-    return R.read_delimited(spark, path).select("row_no", "subject", kind.alias("kind"))
+    return rounded(R.read_delimited(spark, path).select(
+        "row_no", "subject", kind.alias("kind"), F.col("reading").try_cast("double").alias("reading")))
 
 
 @add("src_delimited_comma", "SELECT c_custkey::VARCHAR AS id, c_mktsegment AS segment FROM customer")
