@@ -59,8 +59,18 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/meridia/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/meridia/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every stage this application has stored; results that still read one end with it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:
