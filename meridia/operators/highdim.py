@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators import gram as G
-from meridia.operators.clean import medians
+from meridia.operators.clean import impute, medians
 from meridia.operators.metrics import regression_metrics
 from meridia.operators.models import FIT_THREADS, RIDGE_ALPHAS, fold_grams, ridge_loo_errors, score_folds, train_moments
 from meridia.operators.ordered import ordered
@@ -46,8 +46,11 @@ def variance_filter(cells: DataFrame, min_var: float = MIN_VARIANCE) -> DataFram
     return cells.join(kept, "analyte", "left_semi")
 
 
-def feature_stats(cells: DataFrame, n: int) -> DataFrame:
-    """Per analyte: column index (by name), median, mean and population sd after imputation, base."""
+def feature_stats(cells: DataFrame, n: int, order: DataFrame | None = None) -> DataFrame:
+    """Per analyte: column index, median, mean and population sd after imputation, base.
+
+    Columns stand in the order of ``order`` (analyte, ordinal), by name where it says nothing.
+    """
     med = medians(cells)
     v, m = F.col("value"), F.col("median")
     joined = cells.where(v.isNotNull()).join(med, "analyte")
@@ -59,7 +62,9 @@ def feature_stats(cells: DataFrame, n: int) -> DataFrame:
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
     stats = stats.select("analyte", "median", (F.col("median") + shift).alias("mean"),
                          F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
-    placed = ordered(stats, [], ["analyte"], pos="idx")
+    if order is not None:
+        stats = stats.join(order.select("analyte", "ordinal"), "analyte", "left")
+    placed = ordered(stats, [], ["analyte"] if order is None else ["ordinal", "analyte"], pos="idx").drop("ordinal")
     return placed.withColumn("idx", F.col("idx") - 1).withColumn("base", (F.col("median") - F.col("mean")) / F.col("sd"))
 
 
@@ -76,8 +81,9 @@ def block_products(cells: DataFrame, stats: DataFrame, block: int = BLOCK) -> Da
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.zeros((len(pdf), block))
-            for row, (i, d) in enumerate(zip(pdf["i"], pdf["d"])):
-                z[row, i] = d
+            if len(pdf):
+                rows = np.repeat(np.arange(len(pdf)), [len(i) for i in pdf["i"]])
+                z[rows, np.concatenate(list(pdf["i"]))] = np.concatenate(list(pdf["d"]))
             yield pd.DataFrame({"subject_id": pdf["subject_id"], "b": pdf["b"], "z": list(z)})
 
     rows = packed.mapInPandas(dense, f"subject_id {kind}, b int, z array<double>")
@@ -131,10 +137,10 @@ def greedy_drop(edges: DataFrame) -> DataFrame:
     return gone.withColumnRenamed("b", "idx")
 
 
-def correlation_prune(cells: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) analytes; earlier names win."""
+def correlation_prune(cells: DataFrame, threshold: float = 0.95, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) analytes; earlier columns win (``order``: analyte, ordinal; by name without it)."""
     n = cells.agg(F.countDistinct("subject_id")).first()[0]
-    stats = durable(feature_stats(cells, n), "stats")
+    stats = durable(feature_stats(cells, n, order), "stats")
     gone = greedy_drop(correlation_pairs(block_products(cells, stats), base_values(stats), n, threshold))
     return stats.join(gone, "idx", "left_anti").select("analyte"), stats.join(gone, "idx", "left_semi").select("analyte")
 
@@ -164,7 +170,8 @@ class Reducer:
                                      "step int, name string, value double")
 
 
-def fit_reduction(cells: DataFrame, max_missing: float = 0.5, threshold: float = 0.95, k: int = 20) -> Reducer:
+def fit_reduction(
+    cells: DataFrame, max_missing: float = 0.5, threshold: float = 0.95, k: int = 20, order: DataFrame | None = None) -> Reducer:
     """Prevalence, variance, median imputation, correlation prune and principal components of train cells."""
     n, start = cells.agg(F.countDistinct("subject_id"), F.countDistinct("analyte")).first()
     table = durable(cells.groupBy("analyte").agg(F.count("value").alias("m"), F.var_samp("value").alias("v")), "features")
@@ -174,7 +181,7 @@ def fit_reduction(cells: DataFrame, max_missing: float = 0.5, threshold: float =
     if not after_var:
         raise ValueError("no feature passes the prevalence and variance filters")
     kept = durable(cells.join(table.where(good).select("analyte"), "analyte", "left_semi"), "kept")
-    stats = durable(feature_stats(kept, n), "stats")
+    stats = durable(feature_stats(kept, n, order), "stats")
     base = base_values(stats)
     products = durable(block_products(kept, stats), "products")
     gone = durable(greedy_drop(correlation_pairs(products, base, n, threshold)), "gone")
@@ -214,14 +221,16 @@ def _dual(cells: DataFrame, lean: DataFrame, n: int, k: int) -> tuple[DataFrame,
     """Few subjects, many features: components from the n x n products, features as rows."""
     ids = ordered(cells.select("subject_id").distinct(), [], ["subject_id"], pos="s")
     d = cells.where(F.col("value").isNotNull()).join(lean, "analyte").join(ids, "subject_id").groupBy("idx", "base").agg(
-        F.collect_list(F.struct("s", ((F.col("value") - F.col("median")) / F.col("sd")).alias("d"))).alias("c"))
+        F.collect_list(F.struct("s", ((F.col("value") - F.col("median")) / F.col("sd")).alias("d"))).alias("c")
+    ).select("idx", "base", F.col("c.s").alias("s"), F.col("c.d").alias("d"))
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.repeat(pdf["base"].to_numpy(float)[:, None], n, axis=1)
-            for row, c in enumerate(pdf["c"]):
-                for cell in c:
-                    z[row, cell["s"] - 1] += cell["d"]
+            if not len(pdf):
+                continue
+            rows = np.repeat(np.arange(len(pdf)), [len(c) for c in pdf["s"]])
+            np.add.at(z, (rows, np.concatenate(list(pdf["s"])) - 1), np.concatenate(list(pdf["d"])))
             yield pd.DataFrame({"idx": pdf["idx"], "z": list(z)})
 
     rows = durable(d.mapInPandas(dense, "idx bigint, z array<double>"), "dual")
@@ -243,6 +252,24 @@ def _dual(cells: DataFrame, lean: DataFrame, n: int, k: int) -> tuple[DataFrame,
     return got.withColumn("loading", F.zip_with("loading", signs, lambda a, b: a * b)), lam / np.trace(total)
 
 
+@dataclass
+class Reduced:
+    """A wide table made compact, for reports (learned on all rows): long cells, scores, shares and the trace."""
+
+    cells: DataFrame
+    scores: DataFrame
+    explained: np.ndarray
+    trace: DataFrame
+
+
+def highdim_pipeline(cells: DataFrame, max_missing: float = 0.5, threshold: float = 0.95, k: int = 20) -> Reduced:
+    """Every reduction step on all rows: the full grid of surviving analytes and the component scores per subject."""
+    fitted = fit_reduction(cells, max_missing, threshold, k)
+    lean = cells.join(fitted.params.select("analyte"), "analyte", "left_semi")
+    grid = impute(cells.select("subject_id").distinct().join(lean, "subject_id", "left"), fitted.params.select("analyte", "median"))
+    return Reduced(grid, fitted.apply(cells), fitted.explained, fitted.trace_frame())
+
+
 def highdim_cv(cells: DataFrame, labels: DataFrame, fold: str, leak: bool = False, k: int = 20,
                max_missing: float = 0.5, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, fold trace) of reduction + ridge.

@@ -157,6 +157,18 @@ def _pca(spark, sf):
     return H.fit_reduction(cells, k=10).apply(cells)
 
 
+@add("highdim_pipeline")
+def _pipeline(spark, sf):
+    """Reduced cells and component scores of all subjects, long, with the share of each component."""
+    out = H.highdim_pipeline(durable(wide_cells(spark, sf)), k=10)
+    cells = out.cells.select(F.lit("cell").alias("part"), "subject_id", F.col("analyte").alias("name"), "value")
+    names = [c for c in out.scores.columns if c != "subject_id"]
+    scores = out.scores.unpivot(["subject_id"], names, "name", "value").select(F.lit("score").alias("part"), "subject_id", "name", "value")
+    shares = spark.createDataFrame(
+        [("share", None, n, float(v)) for n, v in zip(names, out.explained)], "part string, subject_id bigint, name string, value double")
+    return rounded(cells.unionByName(scores).unionByName(shares))
+
+
 @add("highdim_matrix")
 def _funnel(spark, sf):
     """The count trace of the whole reduction, step by step."""

@@ -30,3 +30,11 @@ def test_impute_fills_the_grid(spark):
     assert len(got) == 12
     assert (got[1, "a"], got[2, "c"], got[3, "b"], got[1, "d"]) == (2.0, 6.0, 3.0, None)
     assert K.drop_sparse(cells(spark), 0.4).isEmpty() and K.drop_sparse(cells(spark), 0.5).count() == 8
+
+
+def test_prune_keeps_the_earlier_column(spark):
+    rows = [(i, a, float(v)) for i, v in enumerate([1, 5, 2, 8, 3, 9]) for a in ("a", "b")] + [(i, "c", float(i % 2)) for i in range(6)]
+    df = spark.createDataFrame(rows, "subject_id long, analyte string, value double")
+    order = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "analyte string, ordinal long")
+    assert {r.analyte for r in highdim.correlation_prune(df, 0.95)[0].collect()} == {"a", "c"}
+    assert {r.analyte for r in highdim.correlation_prune(df, 0.95, order)[0].collect()} == {"b", "c"}
