@@ -181,11 +181,10 @@ def range_qc(df: DataFrame) -> DataFrame:
 
 def dq_assertions(subjects: DataFrame, cells: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """One row: subjects without a label, negative feature values, crosswalk rows without a subject."""
-    one = F.lit(1).alias("one")
-    a = subjects.agg(F.count_if(F.col("sspg").isNull()).alias("null_sspg")).select(one, "*")
-    b = cells.agg(F.count_if(F.col("value") < 0).alias("negative_values")).select(one, "*")
-    c = orphan_rows(crosswalk, subjects).agg(F.count(F.lit(1)).alias("orphan_crosswalk")).select(one, "*")
-    return a.join(b, "one").join(c, "one").drop("one")
+    negative = cells.agg(F.count_if(F.col("value") < 0)).scalar()
+    orphans = orphan_rows(crosswalk, subjects).agg(F.count(F.lit(1))).scalar()
+    return subjects.agg(F.count_if(F.col("sspg").isNull()).alias("null_sspg")).select(
+        "null_sspg", negative.alias("negative_values"), orphans.alias("orphan_crosswalk"))
 
 
 def orphan_rows(crosswalk: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -67,9 +67,10 @@ def classification_metrics(df: DataFrame, y: str, p: str, keys: list[str] | None
     )
     per_class = sides.groupBy(*keys_, "cls").agg((2.0 * F.sum("hit") / F.sum("c")).alias("f1"))
     f1 = per_class.groupBy(*keys_).agg(F.avg("f1").alias("F1"))
-    out = acc.join(f1, keys_)
-    if binary:
-        out = out.join(auroc(df, y, p, keys_), keys_)
-    else:
-        out = out.withColumn("AUROC", F.lit(None).cast("double"))
-    return out.select(*(keys or []), "Accuracy", "F1", "AUROC")
+    area = auroc(df, y, p, keys_) if binary else None
+    if not keys:  # one row: the parts are scalars of it
+        area = F.lit(None).cast("double") if area is None else area.select("AUROC").scalar()
+        return acc.select("Accuracy", f1.select("F1").scalar().alias("F1"), area.alias("AUROC"))
+    out = acc.join(f1, keys)
+    out = out.withColumn("AUROC", F.lit(None).cast("double")) if area is None else out.join(area, keys)
+    return out.select(*keys, "Accuracy", "F1", "AUROC")
