@@ -11,15 +11,15 @@ Candidates are taken in two steps, so that large groups never become all pairs.
 each bucket's members meet its least member: as many pairs as rows.  The links found
 join most groups.  Then only buckets whose other members still belong to different
 components are searched in full, in square tiles of bounded size, for pairs across
-components.  Of a member's survivors in one foreign component a few are verified
-first; as long as any were held back, components are formed anew and the search
-repeated with more.  It ends when none is held back, so no candidate is given up.
+components.  A tile brings its members' full sets along, verifies its survivors itself
+and returns only links that join components, fewer than it has members.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from meridia.llm.common import map_slices
 from meridia.llm.graph import components
 from meridia.session import durable
 
-BANDS, BAND_ROWS, MISS, TILE = 29, 5, 1e-5, 512
+BANDS, BAND_ROWS, MISS, TILE, COLUMNS = 29, 5, 1e-5, 512, 8192
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -136,10 +136,8 @@ def _screened(pairs: DataFrame, nodes: DataFrame, bounds, low: float) -> DataFra
     return map_slices(both.select("a", "b", "s_a", "s_b"), step, "a binary, b binary", rows=2048)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    num, den = round(threshold * 10_000), 10_000
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
+    """(node, members): the full shingle sets of some nodes, as sorted 64-bit hashes."""
     places = nodes.join(wanted, "node").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.row").alias("r_row"))
     at = base["doc_id"].eqNullSafe(places["r_id"]) & (base["row"] == places["r_row"])
     texts = base.join(places, at).select("node", "text")
@@ -149,7 +147,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int,
 
         return lambda t: {"node": t.column("node"), "members": [s.tobytes() for s in shingle_sets(t.column("text").to_pylist(), shingle)]}
 
-    sets = durable(map_slices(texts, make, "node binary, members binary"), "sets")
+    return durable(map_slices(texts, make, "node binary, members binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold ``num / den``."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}"))
 
     def compare():
@@ -170,43 +172,75 @@ def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int,
     return durable(map_slices(both, compare, "a binary, b binary", rows=256).distinct(), "links")
 
 
-def _tile_search(bounds, low: float, few: int):
-    """Survivors across components within one tile of a bucket, ``few`` per member and foreign component."""
+def _common(sets: list):
+    """Sizes of the intersections of all pairs of sets, a bounded stretch of distinct members at a time."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(times > 1) - 1)[place]  # members of one set only are common to no pair
+    shared = times[place] > 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[owner[x:y], column[x:y] - at] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def _tile_search(bounds, low: float, num: int, den: int):
+    """Verified links across components within one tile of a bucket, a spanning forest of them."""
 
     def run(t):
         import numpy as np
         import pyarrow as pa
 
-        order = np.argsort(np.array(t.column("node").to_pylist(), dtype=object), kind="stable")
-        t = t.take(order)
+        t = t.sort_by("node")
         node, root = t.column("node").to_pylist(), t.column("root").to_pylist()
         names = {r: i for i, r in enumerate(dict.fromkeys(root))}
         group, size, tile = np.array([names[r] for r in root]), np.asarray(t.column("n")), np.asarray(t.column("tile"))
-        sig, (lo, hi) = _matrix(t.column("signature")), (t.column("i")[0].as_py(), t.column("j")[0].as_py())
-        out_a, out_b, more = [], [], False
+        sig, apart = _matrix(t.column("signature")), t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        left, right = [], []
         for x in range(1, len(node)):
-            y = np.arange(x)
             ok = (group[:x] != group[x]) & (np.minimum(size[:x], size[x]) >= low * np.maximum(size[:x], size[x]))
-            if lo != hi:
+            if apart:
                 ok &= tile[:x] != tile[x]
-            y = y[ok]
+            y = np.flatnonzero(ok)
             y = y[_pass(sig[y], np.broadcast_to(sig[x], (len(y), sig.shape[1])), bounds)]
-            taken: dict[int, int] = {}
-            for i in y.tolist():
-                taken[group[i]] = taken.get(group[i], 0) + 1
-                if taken[group[i]] <= few:
-                    out_a.append(node[i])
-                    out_b.append(node[x])
-                else:
-                    more = True
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "more": pa.array([more] * len(out_a), pa.bool_())})
+            left.append(y)
+            right.append(np.full(len(y), x))
+        left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        out = []
+        if len(left):
+            rows, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+            members = t.column("members").take(rows).to_pylist()
+            common = _common([np.frombuffer(m, "<u8") for m in members])[place[:len(left)], place[len(left):]]
+            linked = den * common >= num * (size[left] + size[right] - common)
+            up = list(range(len(names)))
+
+            def top(g):
+                while up[g] != g:
+                    up[g] = up[up[g]]
+                    g = up[g]
+                return g
+
+            for x, y in zip(left[linked].tolist(), right[linked].tolist(), strict=True):
+                a, b = top(group[x]), top(group[y])
+                if a != b:
+                    up[a] = b
+                    out.append((node[x], node[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = BAND_ROWS, miss: float = MISS,
-    few: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: one row per input row; ``row`` is a hash of the text.
 
@@ -235,34 +269,24 @@ def near_duplicates(
     members = durable(
         buckets.join(shared, "band").where(F.col("node") != F.col("pivot")).select("band", "size", "node", "pivot"), "members")
     pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = durable(_screened(pairs, nodes, bounds, low), "pairs")
-    links = _verified(tested, nodes, base, shingle, threshold)
+    num, den = round(threshold * 10_000), 10_000
+    survivors = durable(_screened(pairs, nodes, bounds, low), "survivors")
+    crowded = members.where("size > 2")
+    wanted = reduce(DataFrame.unionByName, [survivors.select(F.col("a").alias("node")), survivors.select(F.col("b").alias("node")), crowded.select("node")])
+    sets = _sets(wanted.distinct(), nodes, base, shingle)
+    links = _verified(survivors, sets, num, den)
     roots = durable(components(links), "roots")
-    while True:
-        placed = members.where("size > 2").join(roots, "node", "left").select(
-            "band", "size", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        ways = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-        tiled = (
-            placed.join(durable(open_, "open"), "band").join(nodes.select("node", "n", "signature"), "node")
-            .withColumn("tile", F.pmod(F.xxhash64("node"), ways).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), ways - 1)))
-            .select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-                    "tile", "node", "root", "n", "signature"))
-        found = durable(
-            tiled.groupBy("band", "i", "j").applyInArrow(_tile_search(bounds, low, few), "a binary, b binary, more boolean")
-            .groupBy("a", "b").agg(F.max("more").alias("more")), "found")
-        fresh = durable(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if found.where("more").isEmpty():
-                break
-        else:
-            tested = durable(tested.unionByName(fresh), "pairs")
-            links = durable(links.unionByName(_verified(fresh, nodes, base, shingle, threshold)), "links")
-            roots = durable(components(links), "roots")
-            if found.where("more").isEmpty():
-                break
-        few *= 16
+    placed = crowded.join(roots, "node", "left").select("band", "size", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+    ways = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    tiled = (
+        placed.join(durable(open_, "open"), "band").join(nodes.select("node", "n", "signature"), "node").join(sets, "node")
+        .withColumn("tile", F.pmod(F.xxhash64("node"), ways).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), ways - 1)))
+        .select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                "tile", "node", "root", "n", "signature", "members"))
+    found = tiled.groupBy("band", "i", "j").applyInArrow(_tile_search(bounds, low, num, den), "a binary, b binary")
+    roots = durable(components(durable(links.unionByName(found), "links")), "roots")
     rooted = nodes.select("node", "least_id").join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

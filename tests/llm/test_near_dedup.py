@@ -56,12 +56,13 @@ def rows(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("k,few,tile", [(4, 4, 512), (5, 1, 3)])
-def test_against_brute_force(spark, monkeypatch, k, few, tile):
+@pytest.mark.parametrize("k,tile", [(4, 256), (5, 3)])
+def test_against_brute_force(spark, monkeypatch, k, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
     data = rows(k) + [(None, "a b c"), (None, None), (7, "repeated row here now"), (7, "repeated row here now")]
     df = spark.createDataFrame([(d, t, 0, "x") for d, t in data], "doc_id long, text string, node int, row string")
-    got = near_dedup.near_duplicates(df, shingle=k, few=few).collect()
+    got = near_dedup.near_duplicates(df, shingle=k).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute(data, k)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
