@@ -14,16 +14,21 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.common import map_slices
 from meridia.llm.sampling import stratified
+from meridia.llm.segments import Memo
 
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
-ROWS, NGRAMS, LONG_WORD, REMEMBERED = 1 << 14, (1, 2, 3), 40, 100_000
+ROWS, NGRAMS, LONG_WORD, REMEMBERED = 1 << 14, (1, 2, 3), 40, 300_000
+
+
+_GRAM = Memo(lambda gram: zlib.crc32(gram.encode()) % ROWS)
 
 
 def subwords(word: str) -> list[int]:
@@ -31,7 +36,7 @@ def subwords(word: str) -> list[int]:
     out = []
     for at in range(0, len(word), LONG_WORD):
         w = f"<{word[at:at + LONG_WORD]}>"
-        out += [zlib.crc32(w[i:i + n].encode()) % ROWS for n in NGRAMS for i in range(len(w) - n + 1)]
+        out += [_GRAM[w[i:i + n]] for n in NGRAMS for i in range(len(w) - n + 1)]
     return out
 
 
@@ -108,7 +113,7 @@ def fit(
     """
     import numpy as np
 
-    got = sample(docs, bound, text_col, lang_col, key_col).sort_values(["lang", "rows"]).reset_index(drop=True)
+    got = sample(docs, bound, text_col, lang_col, key_col).sort_values(["lang", "rows", "weights"]).reset_index(drop=True)
     languages = sorted(got["lang"].unique())
     if not languages:
         return Model([], np.zeros((ROWS, 0)), np.zeros(0))
@@ -156,28 +161,43 @@ def _calibrate(model: Model, means, y, precision: float) -> None:
 
 
 class Words:
-    """Language scores of words, remembered in one growing table per worker."""
+    """Language scores of words, remembered in one table per worker; the new words of some texts are scored together."""
 
     def __init__(self, model: Model):
         import numpy as np
 
         self.model, self.place = model, {}
-        self.table = np.zeros((REMEMBERED, len(model.languages)))
-
-    def mean(self, words: list[str]):
-        place = self.place
-        if len(place) + len(words) > REMEMBERED:
-            place.clear()
-        total, some = 0.0, REMEMBERED
-        for at in range(0, len(words), some):
-            part = words[at:at + some]
-            if len(place) + len(part) > REMEMBERED:
-                place.clear()
-            for w in set(part) - place.keys():
-                self.table[len(place)] = self.model.table[subwords(w)].mean(axis=0)
-                place[w] = len(place)
-            total = total + self.table[list(map(place.__getitem__, part))].sum(axis=0)
-        return total / len(words)
+        self.table = np.zeros((0, len(model.languages)))
+
+    def _learn(self, new: list[str]) -> None:
+        import numpy as np
+
+        ids = [subwords(w) for w in new]
+        counts = np.array([len(i) for i in ids])
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(counts.sum()))
+        sums = np.add.reduceat(self.model.table[flat], np.cumsum(counts) - counts, axis=0)
+        at = len(self.place)
+        if at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[:at], np.zeros((at + len(new) + 4096, sums.shape[1]))])
+        self.table[at:at + len(new)] = sums / counts[:, None]
+        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def means(self, texts: list[list[str]]):
+        """Mean score of the words of each text; no text may be without words."""
+        import numpy as np
+
+        if len(self.place) > REMEMBERED:
+            self.place = {}
+        if new := list(set().union(*texts).difference(self.place)):
+            self._learn(new)
+        get = self.place.__getitem__
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for i, words in enumerate(texts):
+            for at in range(0, len(words), REMEMBERED):
+                part = np.fromiter(map(get, words[at:at + REMEMBERED]), dtype=np.int64)
+                out[i] += self.table[part].sum(axis=0)
+            out[i] /= len(words)
+        return out
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,20 +217,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         words = Words(m)
 
         def one(t):
-            langs, scores, rejected = [], [], []
-            for text in t.column("text").to_pylist():
-                found = words_of(text) if m.languages else []
-                if found:
-                    p = softmax(m.logits(words.mean(found)))
-                    best = int(p.argmax())
-                    langs.append(m.languages[best])
-                    scores.append(float(p[best]))
-                else:
-                    langs.append(NONE)
-                    scores.append(0.0)
-                rejected.append(langs[-1] == NONE or scores[-1] < m.accept)
+            found = [words_of(x) if m.languages else [] for x in t.column("text").to_pylist()]
+            langs, scores = [NONE] * len(found), [0.0] * len(found)
+            some = [i for i, w in enumerate(found) if w]
+            if some:
+                p = softmax(m.logits(words.means([found[i] for i in some])))
+                for i, best, score in zip(some, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
+                    langs[i], scores[i] = m.languages[best], score
+            rejected = [x == NONE or y < m.accept for x, y in zip(langs, scores, strict=True)]
             return {"doc_id": t.column("doc_id"), "lang_pred": langs, "score": scores, "rejected": rejected}
 
         return one
 
-    return map_slices(rows, step, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return map_slices(rows, step, "doc_id bigint, lang_pred string, score double, rejected boolean", rows=256)
