@@ -14,7 +14,9 @@ _ODD = re.compile(r" (?:[\s\x00-\x20]|\Z)")
 _CUT = re.compile(r" (?=[^\s\x00-\x20])")
 
 #: Most stretches remembered by one worker, and the longest worth remembering.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 700_000, 64
+#: After a word of Latin letters these are always a match of their own.
+MARKS = ",."
 
 
 def stretches(text: str) -> list[str]:
@@ -23,16 +25,47 @@ def stretches(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """stretch -> what ``make`` says of it; starts anew when full."""
+    """key -> what ``make`` says of it; starts anew when full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = REMEMBERED // 2):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
+
+
+class Encoder:
+    """Texts to ids (little-endian unsigned 32-bit), every independent stretch encoded once.
+
+    ``encode`` turns a list of strings into a list of such bytes.  Of each group of texts
+    only the stretches not yet known are encoded; when too many are known, all are forgotten.
+    """
+
+    def __init__(self, encode):
+        self.encode, self.known = encode, {}
+        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [stretches(t) for t in texts]
+        firsts = self.encode([c.pop(0) for c in cut])
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        new = set().union(*cut).difference(known)
+        marked = [s for s in new if s[-1:] in self.marks and s[:-1].isalpha() and max(s) < "\u0250"]
+        plain = list(new.difference(marked).union(s[:-1] for s in marked).difference(known))
+        known.update(zip(plain, self.encode([" " + s for s in plain]), strict=True))
+        known.update([(s, known[s[:-1]] + self.marks[s[-1]]) for s in marked])
+        get = known.__getitem__
+        out = [a + b"".join(map(get, c)) for a, c in zip(firsts, cut, strict=True)]
+        if max(map(len, new), default=0) > LONGEST:
+            for s in [*plain, *marked]:
+                if len(s) > LONGEST:
+                    del known[s]
+        return out

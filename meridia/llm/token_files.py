@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.llm.common import id_and_text, map_slices, partitions
-from meridia.llm.segments import LONGEST, REMEMBERED, stretches
+from meridia.llm.segments import Encoder
 
 # Fixed values of the code: values per word and bits of each, by selector.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -85,38 +85,22 @@ def unpack(words: bytes, escapes: bytes, n: int):
     return out[:n]
 
 
-class Ids:
-    """Ids of whole texts by the tokenizers library, each independent stretch encoded once."""
+def library(model: bytes) -> Encoder:
+    """Encoder of whole texts by the tokenizers library, without special tokens."""
+    import os
+    import struct
 
-    def __init__(self, model: bytes):
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    lib = Tokenizer.from_str(model.decode())
+    lib.encode_special_tokens = True
 
-        self.lib = Tokenizer.from_str(model.decode())
-        self.lib.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+    def encode(texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import struct
-
-        got = (e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in got]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [stretches(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({s for c in cut for s in c[1:]} - known.keys())
-        known.update(zip(new, self._encode([" " + s for s in new]), strict=True))
-        firsts = self._encode([c[0] for c in cut])
-        out = [a + b"".join(map(known.__getitem__, c[1:])) for a, c in zip(firsts, cut, strict=True)]
-        for s in new:
-            if len(s) > LONGEST:
-                del known[s]
-        return out
+    return Encoder(encode)
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -140,7 +124,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col:
         import numpy as np
 
         part, block = TaskContext.get().partitionId(), 0
-        ids = Ids(model.value)
+        ids = library(model.value)
         end = int(end_id).to_bytes(4, "little")
         held: list[tuple[int | None, bytes]] = []
         size = 0
