@@ -18,7 +18,7 @@ from array import array
 from pyspark.sql import DataFrame
 
 from meridia.llm.common import id_and_text, map_slices
-from meridia.llm.segments import Memo, stretches
+from meridia.llm.segments import Encoder, Memo
 
 NEVER = 1 << 62
 PAIRS = 1_000_000
@@ -45,7 +45,8 @@ class Codec:
             self.auto.add_word(b.decode("latin-1"), i)
         self.auto.make_automaton()
         self._last, self._left, self._right, self._shorter, self._fit = {}, {}, {}, {}, {}
-        self.after_space = Memo(lambda s: self.pack(" " + s))
+        self.packed = Memo(self._pack_piece)
+        self.encode_all = Encoder(lambda texts: [b"".join(map(self.packed.__getitem__, self.find(t))) for t in texts])
 
     def last_merge(self, token: int) -> tuple[int, int] | None:
         """The two entries whose merge makes ``token``; None for a single byte."""
@@ -129,14 +130,13 @@ class Codec:
                 raise ValueError("the vocabulary lacks single bytes")
         return out
 
-    def pack(self, text: str) -> bytes:
-        ids = [i for piece in self.find(text) for i in self.encode_piece(piece.encode())]
+    def _pack_piece(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        first, *rest = stretches(text)
-        return self.pack(first) + b"".join(map(self.after_space.__getitem__, rest))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def step():
         codec = _codec(ranks.value, pattern)
-        return lambda t: {"doc_id": t.column("doc_id"), "ids": [codec.encode(x) for x in t.column("text").to_pylist()]}
+        return lambda t: {"doc_id": t.column("doc_id"), "ids": codec.encode_all(t.column("text").to_pylist())}
 
     return map_slices(id_and_text(docs, id_col, text_col), step, "doc_id bigint, ids binary")
 
