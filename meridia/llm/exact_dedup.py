@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import id_and_text
+from meridia.llm.common import Stages, id_and_text
 from meridia.session import durable, scratch_path
 
 ROCKS = {
@@ -83,7 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col).withColumn("digest", digest_of(F.col("text")))
-    folder, checkpoint = scratch_path(spark, "digests"), scratch_path(spark, "state")
+    stages = Stages(spark)
+    folder, checkpoint = scratch_path(spark, "digests"), stages.path("state")
     base.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")).write.parquet(folder)
     ids = spark.read.schema("doc_id bigint, digest binary, n_bytes bigint").parquet(folder)
     if ids.isEmpty():
@@ -93,7 +94,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found = classes(spark, checkpoint)
     ids = ids.select("doc_id", "digest").join(found.select("digest", "keep_id", "group_size"), "digest")
     ids = ids.withColumn("text_sha256", F.lower(F.hex("digest")))
-    odd = differing(base, found)
+    odd = differing(base, found, stages.keep)
+    stages.drop()
     if not odd.isEmpty():  # one digest, several texts: by text, then
         again = (
             base.join(odd.select("digest").distinct(), "digest", "left_semi")
@@ -106,15 +108,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def differing(base: DataFrame, found: DataFrame) -> DataFrame:
+def differing(base: DataFrame, found: DataFrame, store) -> DataFrame:
     """Rows (doc_id, digest) whose bytes are not those of the text their class points at."""
-    hits = durable(
+    hits = store(
         base.join(found.where(F.col("group_size") > 1).select("digest", "keep_id"), "digest")
         .select("doc_id", "digest", "text", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("is_kept")),
         "hits",
     )
     first = hits.where("is_kept").groupBy("digest").agg(F.min("text").alias("stored"))
-    checked = hits.join(durable(first, "stored"), "digest", "left")
+    checked = hits.join(store(first, "stored"), "digest", "left")
     return durable(checked.where(~F.col("text").eqNullSafe(F.col("stored"))).select("doc_id", "digest"), "odd")
 
 

@@ -17,23 +17,24 @@ def _stars(edges: DataFrame) -> bool:
     return roles.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, store=durable) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the least node of its component.
 
     Alternates two star operations until only stars are left: every larger neighbour of a
     node, then every smaller one, is tied to the least of its neighbourhood.  A node's
     least neighbour is an aggregate, combined before the shuffle, so a hub is no list.
+    ``store`` writes the edges of each round and reads them back.
     """
-    edges = durable(links.where(F.col("a") != F.col("b")).select(
+    edges = store(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.where(F.col("u") != F.col("v")).distinct(), "edges")
+        large = store(large.where(F.col("u") != F.col("v")).distinct(), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = durable(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), "edges")
+        edges = store(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import map_slices
+from meridia.llm.common import Stages, map_slices
 from meridia.llm.graph import components
 from meridia.session import durable
 
@@ -136,7 +136,7 @@ def _screened(pairs: DataFrame, nodes: DataFrame, bounds, low: float) -> DataFra
     return map_slices(both.select("a", "b", "s_a", "s_b"), step, "a binary, b binary", rows=2048)
 
 
-def _sets(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
+def _sets(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int, store) -> DataFrame:
     """(node, members): the full shingle sets of some nodes, as sorted 64-bit hashes."""
     places = nodes.join(wanted, "node").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.row").alias("r_row"))
     at = base["doc_id"].eqNullSafe(places["r_id"]) & (base["row"] == places["r_row"])
@@ -147,10 +147,10 @@ def _sets(wanted: DataFrame, nodes: DataFrame, base: DataFrame, shingle: int) ->
 
         return lambda t: {"node": t.column("node"), "members": [s.tobytes() for s in shingle_sets(t.column("text").to_pylist(), shingle)]}
 
-    return durable(map_slices(texts, make, "node binary, members binary"), "sets")
+    return store(map_slices(texts, make, "node binary, members binary"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, store) -> DataFrame:
     """The pairs whose full sets reach the threshold ``num / den``."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}"))
 
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         return one
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b")
-    return durable(map_slices(both, compare, "a binary, b binary", rows=256).distinct(), "links")
+    return store(map_slices(both, compare, "a binary, b binary", rows=256).distinct(), "links")
 
 
 def _common(sets: list):
@@ -258,39 +258,42 @@ def near_duplicates(
     base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
     sketches = durable(map_slices(
         base, _sketch_step(shingle, bands * rows), "doc_id bigint, row bigint, n bigint, node binary, signature binary"), "sketches")
-    nodes = durable(sketches.where("n > 0").groupBy("node").agg(
+    stages = Stages(docs.sparkSession)
+    store = stages.keep
+    nodes = store(sketches.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row")).alias("rep"),
         F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     buckets = map_slices(nodes.select("node", "signature"), _band_step(bands, rows), "node binary, bands array<bigint>")
-    buckets = durable(buckets.select("node", F.explode("bands").alias("band")), "buckets")
-    shared = durable(
+    buckets = store(buckets.select("node", F.explode("bands").alias("band")), "buckets")
+    shared = store(
         buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1"), "shared")
     low = threshold - 1e-9
-    members = durable(
+    members = store(
         buckets.join(shared, "band").where(F.col("node") != F.col("pivot")).select("band", "size", "node", "pivot"), "members")
     pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     num, den = round(threshold * 10_000), 10_000
-    survivors = durable(_screened(pairs, nodes, bounds, low), "survivors")
+    survivors = store(_screened(pairs, nodes, bounds, low), "survivors")
     crowded = members.where("size > 2")
     wanted = reduce(DataFrame.unionByName, [survivors.select(F.col("a").alias("node")), survivors.select(F.col("b").alias("node")), crowded.select("node")])
-    sets = _sets(wanted.distinct(), nodes, base, shingle)
-    links = _verified(survivors, sets, num, den)
-    roots = durable(components(links), "roots")
+    sets = _sets(wanted.distinct(), nodes, base, shingle, store)
+    links = _verified(survivors, sets, num, den, store)
+    roots = store(components(links, store), "roots")
     placed = crowded.join(roots, "node", "left").select("band", "size", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
     ways = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
     tiled = (
-        placed.join(durable(open_, "open"), "band").join(nodes.select("node", "n", "signature"), "node").join(sets, "node")
+        placed.join(store(open_, "open"), "band").join(nodes.select("node", "n", "signature"), "node").join(sets, "node")
         .withColumn("tile", F.pmod(F.xxhash64("node"), ways).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), ways - 1)))
         .select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
                 "tile", "node", "root", "n", "signature", "members"))
     found = tiled.groupBy("band", "i", "j").applyInArrow(_tile_search(bounds, low, num, den), "a binary, b binary")
-    roots = durable(components(durable(links.unionByName(found), "links")), "roots")
+    roots = store(components(store(links.unionByName(found), "links"), store), "roots")
     rooted = nodes.select("node", "least_id").join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = durable(rooted.join(named, "root").select("node", "component_id"), "components")
+    stages.drop()  # what is left to read are the sketches and these
     out = sketches.select("doc_id", "row", "n", "node").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
