@@ -28,7 +28,7 @@ from meridia.llm.common import Stages, map_slices
 from meridia.llm.graph import components
 from meridia.session import durable
 
-BANDS, BAND_ROWS, MISS, TILE, COLUMNS = 29, 5, 1e-5, 512, 8192
+BANDS, BAND_ROWS, MISS, TILE, COLUMNS = 29, 5, 1e-5, 1024, 8192
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
