@@ -72,7 +72,7 @@ def op4(spark, sf_dir):
 @catalog.add("op5_token_files")
 def op5(spark, sf_dir):
     folder = scratch_path(spark, "ids")
-    token_files.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_files.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     return token_files.read_ids(spark, folder).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

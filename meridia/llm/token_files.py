@@ -85,8 +85,12 @@ def unpack(words: bytes, escapes: bytes, n: int):
     return out[:n]
 
 
-def library(model: bytes) -> Encoder:
-    """Encoder of whole texts by the tokenizers library, without special tokens."""
+def library(model: bytes, added: bool = False):
+    """Function from texts to ids by the tokenizers library, which adds no tokens of its own.
+
+    With ``added`` the contents of added tokens (``<|endoftext|>``) become their one id, as
+    the library does by default; otherwise they are text like any other.
+    """
     import os
     import struct
 
@@ -94,21 +98,34 @@ def library(model: bytes) -> Encoder:
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_str(model.decode())
-    lib.encode_special_tokens = True
 
     def encode(texts: list[str]) -> list[bytes]:
         found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
-    return Encoder(encode)
+    cut = Encoder(encode)
+    if not added:
+        lib.encode_special_tokens = True
+        return cut
+    contents = [t.content for t in lib.get_added_tokens_decoder().values()]
+
+    def whole_if_added(texts: list[str]) -> list[bytes]:
+        # white space before an added token ends a piece of text, so such a text cannot be cut at its spaces
+        held = [any(c in t for c in contents) for t in texts]
+        whole = iter(encode([t for t, h in zip(texts, held, strict=True) if h]))
+        parts = iter(cut([t for t, h in zip(texts, held, strict=True) if not h]))
+        return [next(whole if h else parts) for h in held]
+
+    return whole_if_added
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+              added: bool = False) -> None:
     """Write the ids of every document, ``end_id`` after each, to ``folder`` in ascending doc_id order.
 
     NULL and empty texts have only the end id.  NULL doc_ids come first; rows of one
     doc_id follow each other by text; repeated rows stay.  An empty table writes an
-    empty folder; other columns are ignored.
+    empty folder; other columns are ignored.  ``added`` as in :func:`library`.
     """
     import pyarrow as pa
     from pyspark import TaskContext
@@ -124,7 +141,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col:
         import numpy as np
 
         part, block = TaskContext.get().partitionId(), 0
-        ids = library(model.value)
+        ids = library(model.value, added)
         end = int(end_id).to_bytes(4, "little")
         held: list[tuple[int | None, bytes]] = []
         size = 0

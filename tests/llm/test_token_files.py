@@ -65,3 +65,19 @@ def test_whole_table(spark):
         assert (r.start, r.n_tokens) == (at, len(one))
         assert r.ids_crc32 == zlib.crc32(np.array(one, "<u4").tobytes())
         at += len(one)
+
+
+def test_added_tokens_like_the_unmodified_library(spark):
+    """The query's files hold the one id of <|endoftext|> wherever the library finds it."""
+    from meridia.llm.queries import catalog
+
+    t = Tokenizer.from_file(PATH)
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", f"a  {e}  b", f"x\n {e}", f"{e}{e} y {e}", f"a{e}b", f" {e} ", "<|endoftext|", "plain, words  here", f"x \t{e}", None, ""]
+    sf = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    at = 0
+    for r in catalog.queries["op5_token_files"](spark, sf).orderBy("doc_id").collect():
+        one = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(one), zlib.crc32(np.array(one, "<u4").tobytes()))
+        at += len(one)
