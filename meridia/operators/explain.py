@@ -9,7 +9,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators.models import tree_model, with_features
@@ -102,59 +102,61 @@ def gain_importance(model, names: list[str], spark) -> DataFrame:
 
 
 def ale_1d(model, df: DataFrame, x: str, feature: int, bins: int = 10) -> DataFrame:
-    """edge, effect, n: centred accumulated local effect of one feature at its bin edges.
+    """edge, effect, n: centred accumulated local effect of one feature at its bin edges."""
+    return ale_curves(model, df, x, [feature], bins).drop("feature")
 
-    Each row is scored twice, with the feature at its bin's lower and upper edge.
+
+def ale_curves(model, df: DataFrame, x: str, features: list[int], bins: int = 10) -> DataFrame:
+    """feature (its index), edge, effect, n: centred accumulated local effects at the bin edges of every feature.
+
+    Edges are the distinct quantiles of a feature, or all its values if fewer than three
+    are distinct.  One pass scores each row twice per feature, at its bin's lower and upper edge.
     """
     spark = df.sparkSession
-    value = F.element_at(F.col(x), feature + 1).cast("double")
-    rows = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x"), value.alias("v"))
+    wide = df.select(F.transform(F.col(x), lambda v: v.cast("double")).alias("x"))
+    picked = F.array(*[F.struct(F.lit(f).alias("feature"), F.element_at("x", f + 1).alias("v")) for f in features])
+    rows = wide.select("x", F.inline(picked))
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
-    got = quantiles(rows.withColumn("one", F.lit(1)), ["one"], "v", probs).first()
-    edges = sorted({float(got[f"q{i}"]) for i in range(bins + 1)})
-    if len(edges) < 3:
-        return _ale_by_value(model, rows, feature)
-    nb = len(edges) - 1
-    at = F.lit(0)
-    for i in range(1, nb):
-        at = F.when(F.col("v") >= F.lit(edges[i]), i).otherwise(at)
-    cuts = F.array(*[F.lit(e) for e in edges])
-    binned = rows.withColumn("bin", at).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    edge = F.element_at(cuts, F.col("bin") + F.col("side") + 1)
-    local = {row["bin"]: (row["d"], row["n"]) for row in _local_effects(model, binned, "bin", edge, feature).collect()}
-    step = np.array([local.get(b, (0.0, 0))[0] for b in range(nb)])
-    n = np.array([local.get(b, (0.0, 0))[1] for b in range(nb)])
-    curve = np.concatenate([[0.0], np.cumsum(step)])
-    curve -= np.sum(n * (curve[:-1] + curve[1:]) / 2) / max(n.sum(), 1)
-    return spark.createDataFrame(
-        [(float(e), float(c), int(k)) for e, c, k in zip(edges, curve, [*n, 0])], "edge double, effect double, n bigint")
-
-
-def _local_effects(model, sided: DataFrame, by: str, edge: Column, feature: int) -> DataFrame:
-    """Mean prediction change from lower (side 0) to upper edge (side 1), and rows, per bin."""
-    moved = F.transform("x", lambda v, i: F.when(i == feature, edge).otherwise(v))
-    scored = model.transform(sided.select(by, "side", array_to_vector(moved).alias("features")))
-    sign = F.when(F.col("side") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
-    return scored.groupBy(by).agg((F.avg(sign) * 2.0).alias("d"), F.count_if(F.col("side") == 1).alias("n"))
-
-
-def _ale_by_value(model, rows: DataFrame, feature: int) -> DataFrame:
-    """Every distinct value is an edge; bins and running effects stay distributed."""
-    values = durable(ordered(rows.select("v").distinct(), [], ["v"], lag={"before": "v"}, lead={"after": "v"}), "values")
+    edges = {r["feature"]: sorted({float(r[q]) for q in probs}) for r in quantiles(rows.drop("x"), ["feature"], "v", probs).collect()}
+    cut = {f: e for f, e in edges.items() if len(e) >= 3}
+    known = spark.createDataFrame(
+        [(f, lo, hi) for f, e in cut.items() for lo, hi in zip(e, e[1:])], "feature int, lo double, hi double")
+    # every distinct value is an edge; these bins stay distributed
+    single = [f for f in features if f not in cut]
+    distinct = rows.where(F.col("feature").isin(single) & F.col("v").isNotNull()).select("feature", "v").distinct()
+    values = durable(ordered(distinct, ["feature"], ["v"], lag={"before": "v"}, lead={"after": "v"}), "values")
     # a value opens its bin, except the largest, which closes the last one
     last = F.col("after").isNull()
-    bins = values.where(~last | F.col("before").isNotNull()).select(
-        "v", F.when(last, F.col("before")).otherwise(F.col("v")).alias("lo"), F.coalesce("after", "v").alias("hi"))
-    sided = rows.join(bins, "v").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "edge", F.when(F.col("side") == 1, F.col("hi")).otherwise(F.col("lo")))
-    local = _local_effects(model, sided.select("lo", "x", "side", "edge"), "lo", F.col("edge"), feature)
-    ends = bins.groupBy("lo").agg(F.max("hi").alias("hi"))
-    run = ordered(ends.join(local, "lo"), [], ["lo"], sums={"upto": F.col("d")})
+    by_value = values.where(~last | F.col("before").isNotNull()).select(
+        "feature", "v", F.when(last, F.col("before")).otherwise(F.col("v")).alias("lo"), F.coalesce("after", "v").alias("hi"))
+    table = F.array(*[F.array(*[F.lit(e) for e in cut.get(f, [])]).cast("array<double>") for f in range(max(features) + 1)])
+    own = F.element_at(table, F.col("feature") + 1)
+    inner = F.slice(own, F.lit(2), F.size(own) - 2)
+    binned = rows.where(F.col("feature").isin(list(cut))).withColumn("edges", own).withColumn(
+        "bin", F.size(F.filter(inner, lambda e: F.col("v") >= e))).select(
+        "feature", "x", F.element_at("edges", F.col("bin") + 1).alias("lo"), F.element_at("edges", F.col("bin") + 2).alias("hi"))
+    placed = binned.unionByName(rows.join(by_value, ["feature", "v"]).select("feature", "x", "lo", "hi"))
+    ends = known.unionByName(by_value.groupBy("feature", "lo").agg(F.max("hi").alias("hi")))
+    local = ends.join(_local_effects(model, placed), ["feature", "lo"], "left").na.fill({"d": 0.0, "n": 0})
+    run = durable(ordered(local, ["feature"], ["lo"], sums={"upto": F.col("d")}), "ale")
     mid = F.col("upto") - F.col("d") / 2.0
-    centre = run.agg(F.try_divide(F.sum(mid * F.col("n")), F.sum("n"))).first()[0] or 0.0
-    opened = run.select(F.col("lo").alias("edge"), (F.col("upto") - F.col("d") - centre).alias("effect"), "n")
-    closing = run.agg(F.max("hi").alias("edge"), F.max_by("upto", "lo").alias("e")).where("edge is not null").select(
-        "edge", (F.col("e") - centre).alias("effect"), F.lit(0).cast("bigint").alias("n"))
-    if run.isEmpty():  # a constant feature moves nothing
-        return values.select(F.col("v").alias("edge"), F.lit(0.0).alias("effect"), F.lit(0).cast("bigint").alias("n"))
-    return opened.unionByName(closing)
+    whole = run.groupBy("feature").agg(
+        F.coalesce(F.try_divide(F.sum(mid * F.col("n")), F.sum("n")), F.lit(0.0)).alias("centre"),
+        F.max("hi").alias("edge"), F.max_by("upto", "lo").alias("e"))
+    opened = run.join(whole.select("feature", "centre"), "feature").select(
+        "feature", F.col("lo").alias("edge"), (F.col("upto") - F.col("d") - F.col("centre")).alias("effect"), "n")
+    closing = whole.select("feature", "edge", (F.col("e") - F.col("centre")).alias("effect"), F.lit(0).cast("bigint").alias("n"))
+    # a constant feature moves nothing
+    flat = values.where(F.col("before").isNull() & F.col("after").isNull()).select(
+        "feature", F.col("v").alias("edge"), F.lit(0.0).alias("effect"), F.lit(0).cast("bigint").alias("n"))
+    return opened.unionByName(closing).unionByName(flat)
+
+
+def _local_effects(model, placed: DataFrame) -> DataFrame:
+    """Mean prediction change from lower (side 0) to upper edge (side 1), and rows, per feature and bin."""
+    sided = placed.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    edge = F.when(F.col("side") == 1, F.col("hi")).otherwise(F.col("lo"))
+    moved = F.transform("x", lambda v, i: F.when(i == F.col("feature"), edge).otherwise(v))
+    scored = model.transform(sided.select("feature", "lo", "side", array_to_vector(moved).alias("features")))
+    sign = F.when(F.col("side") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
+    return scored.groupBy("feature", "lo").agg((F.avg(sign) * 2.0).alias("d"), F.count_if(F.col("side") == 1).alias("n"))

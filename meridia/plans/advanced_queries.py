@@ -469,11 +469,9 @@ def _gain(spark, sf):
 @add("ale_1d")
 def _ale(spark, sf):
     df, model = boosted(spark, sf)
-    out = None
-    for f in (0, 1):
-        part = X.ale_1d(model, df, "x", f).withColumn("feature", F.lit(NAMES[f]))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    names = F.array(*[F.lit(n) for n in NAMES])
+    curves = X.ale_curves(model, df, "x", list(range(len(NAMES))))
+    return rounded(curves.select("edge", "effect", "n", F.element_at(names, F.col("feature") + 1).alias("feature")))
 
 
 # ---- scoring

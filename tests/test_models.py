@@ -365,6 +365,36 @@ def test_ale_of_a_rare_valued_feature(spark):
     assert len(curve) == 11 and curve["n"].sum() == 200
 
 
+def test_ale_of_every_feature(spark):
+    """The query has a curve for all 64 entries, among them the third, which carries the label; equal to a plain count."""
+    from meridia.plans.advanced_queries import NAMES as ALL
+    from meridia.plans.advanced_queries import boosted, catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.queries["ale_1d"](spark, sf).toPandas()
+    assert set(got["feature"]) == set(ALL)
+    df, model = boosted(spark, sf)
+    pdf = df.toPandas()
+    rows = np.array(pdf["x"].tolist(), float)
+    assert (got.groupby("feature")["n"].sum() == len(rows)).all()
+    v = rows[:, 2]
+    edges = np.unique(np.quantile(v, np.linspace(0, 1, 11)))
+    at = np.clip(np.searchsorted(edges, v, side="right") - 1, 0, len(edges) - 2)
+    sides = []
+    for up in (0, 1):
+        moved = rows.copy()
+        moved[:, 2] = edges[at + up]
+        part = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(rows)), "x": list(moved)}))
+        sides.append(model.transform(M.with_features(part, "x")).orderBy("i").toPandas()["prediction"].to_numpy())
+    n = np.bincount(at, minlength=len(edges) - 1)
+    step = np.bincount(at, sides[1] - sides[0], len(edges) - 1) / np.maximum(n, 1)
+    curve = np.r_[0, np.cumsum(step)]
+    curve -= np.sum(n * (curve[:-1] + curve[1:]) / 2) / n.sum()
+    mine = got[got["feature"] == ALL[2]].sort_values("edge")
+    np.testing.assert_allclose(mine["edge"], edges, atol=1e-5)
+    np.testing.assert_allclose(mine["effect"], curve, atol=1e-4)
+
+
 def test_fusion_controls(spark):
     rng = np.random.default_rng(8)
     z = rng.normal(size=150)
