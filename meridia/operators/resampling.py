@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions.columns import gaussian, ratio
 from meridia.operators import gram as G
-from meridia.operators.models import fold_grams, hash_fold, nested_ridge, train_moments
+from meridia.operators.metrics import classification_metrics
+from meridia.operators.models import RIDGE_ALPHAS, fold_grams, hash_fold, nested_ridge, train_moments
 from meridia.operators.ordered import PART, lay_out, ordered
 from meridia.session import durable
 
@@ -185,6 +186,83 @@ def permutation_scores(df: DataFrame, key: str, x: str, y: str, fold: str, perms
     return G.pooled_scores(pooled)
 
 
+def _tuned_ridge(rows: DataFrame, g: G.Grams, fold: str, alphas: np.ndarray) -> dict:
+    """Per fold: ridge coefficients (p+1 x labels), the penalty of every label by leave-one-out error on the training rows.
+
+    ``rows`` holds ``fold``, ``x`` and the labels ``ys``; all folds, penalties and labels are scored in one pass.
+    """
+    plans = {}
+    for f in g.cells:
+        mo = train_moments(g, f)
+        a, b = mo.standardized()
+        lam, vec = np.linalg.eigh(a)
+        plans[f] = mo, np.clip(lam, 0, None), vec, vec.T @ b
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in _slices(batches):
+            raw, ys = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["ys"].to_numpy()).astype(float)
+            own = pdf["fold"].to_numpy()
+            for f, (mo, lam, vec, vb) in plans.items():
+                used = own != f
+                t = ((raw[used] - mo.mean[: mo.p]) / mo.sd) @ vec
+                away = ys[used] - mo.mean[mo.p:]
+                part = np.empty((len(alphas), ys.shape[1]))
+                for i, alpha in enumerate(alphas):
+                    d = 1.0 / (lam + alpha / mo.n)
+                    h = 1.0 / mo.n + (t * t) @ d / mo.n
+                    part[i] = np.sum(((away - t @ (d[:, None] * vb)) / (1.0 - np.clip(h, 0, 1 - 1e-12))[:, None]) ** 2, axis=0)
+                sums[f] = sums.get(f, 0.0) + part
+        if sums:
+            yield pd.DataFrame({"f": list(sums), "sse": [v.ravel().tolist() for v in sums.values()]})
+
+    kind = dict(rows.dtypes)[fold]
+    parts = rows.select("x", "ys", F.col(fold).alias("fold")).mapInPandas(errors, f"f {kind}, sse array<double>")
+    got = {f: np.zeros((len(alphas), len(g.centre) - 1 - g.p)) for f in plans}
+    merged = parts.select("f", F.posexplode("sse").alias("i", "e")).groupBy("f", "i").agg(F.sum("e").alias("e"))
+    for row in merged.collect():  # folds x penalties x labels
+        got[row["f"]].flat[row["i"]] = row["e"]
+    coefs = {}
+    for f, (mo, *_) in plans.items():
+        best = np.argmin(got[f], axis=0)
+        coefs[f] = np.empty((g.p + 1, len(best)))
+        for i in np.unique(best):
+            coefs[f][:, best == i] = G.ridge(mo, float(alphas[i]))[:, best == i]
+    return coefs
+
+
+def permuted_classifier(df: DataFrame, key: str, x: str, y: str, fold: str, perms: int, seed: int = 0,
+                        alphas: np.ndarray = RIDGE_ALPHAS) -> DataFrame:
+    """perm, y_true, y_pred: out-of-fold scores of the tuned ridge classifier on 0/1 labels (perm 0) and each permutation.
+
+    The permuted labels are extra label columns of the same matrices; every permutation tunes its own penalty in every fold.
+    """
+    mixed = permuted_labels(df, key, y, perms, seed)
+    shuffled = durable(df.join(mixed, key).select(
+        fold, F.col(x).alias("x"), F.concat(F.array(F.col(y).cast("double")), "y_perm").alias("ys")), "permuted")
+    g = G.grams(G.design(shuffled, F.col("x"), [F.col("ys")[i] for i in range(perms + 1)], [fold]), [fold], perms + 1)
+    coefs = _tuned_ridge(shuffled, g, fold, alphas)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches):
+            for f, part in pdf.groupby("fold", sort=False):
+                preds = coefs[f][0] + np.stack(part["x"].to_numpy()).astype(float) @ coefs[f][1:]
+                yield pd.DataFrame({"ys": part["ys"].to_numpy(), "ps": list(preds)})
+
+    scored = shuffled.select(F.col(fold).alias("fold"), "x", "ys").mapInPandas(score, "ys array<double>, ps array<double>")
+    return scored.select(F.posexplode(F.arrays_zip("ys", "ps")).alias("perm", "s")).select(
+        "perm", F.col("s.ys").cast("int").alias("y_true"), F.col("s.ps").alias("y_pred"))
+
+
+def classifier_scores(scored: DataFrame, perms: int) -> dict:
+    """AUROC and F1 of :func:`permuted_classifier` rows: the true labels' (entry 0) and each permutation's."""
+    got = {m: np.full(perms + 1, np.nan) for m in ("AUROC", "F1")}
+    for row in classification_metrics(scored, "y_true", "y_pred", ["perm"]).collect():  # one per permutation
+        for m, v in got.items():
+            v[row["perm"]] = np.nan if row[m] is None else row[m]
+    return got
+
+
 def permutation_p(scores: np.ndarray, greater: bool = True, observed: float | None = None) -> float:
     """(1 + permutations at least as good) / (1 + permutations); undefined ones only count below the line."""
     obs = scores[0] if observed is None else observed

@@ -143,9 +143,16 @@ def _bootstrap(spark, sf):
     return rounded(reg.unionByName(cls))
 
 
+def binary(spark, sf):
+    """The vectors with a 0/1 label."""
+    return vectors(spark, sf).withColumn("y", (F.col("y") > 0.3).cast("int"))
+
+
 @add("permutation_test")
 def _permutation(spark, sf):
     scores = S.permutation_scores(vectors(spark, sf), "key", "x", "y", "fold", perms=99, alpha=1.0)
+    scored = durable(S.permuted_classifier(binary(spark, sf), "key", "x", "y", "fold", perms=99))
+    scores |= S.classifier_scores(scored, 99)
     rows = [(m, float(v[0]), S.permutation_p(v, S.HIGHER_WINS[m])) for m, v in scores.items()]
     return spark.createDataFrame(rows, "metric string, observed double, p double")
 
@@ -160,9 +167,19 @@ def evaluate_linear(df, key, x, y, fold, *, alpha=1.0, reps=500, perms=99, seed=
     return boot.join(ps, "metric")
 
 
+def evaluate_classifier(df, key, x, y, fold, *, reps=500, perms=99, seed=0):
+    """metric, point, lo, hi, p of AUROC and F1 of a cross-validated ridge classifier tuned per fold, labels 0/1."""
+    scored = durable(S.permuted_classifier(df, key, x, y, fold, perms, seed))
+    boot = S.intervals(S.bootstrap_classification(scored.where("perm = 0"), "y_true", "y_pred", reps, seed))
+    ps = df.sparkSession.createDataFrame(
+        [(m, S.permutation_p(v, S.HIGHER_WINS[m])) for m, v in S.classifier_scores(scored, perms).items()], "metric string, p double")
+    return boot.join(ps, "metric")
+
+
 @add("evaluate_model")
 def _evaluate(spark, sf):
-    return rounded(evaluate_linear(vectors(spark, sf), "key", "x", "y", "fold"))
+    linear = evaluate_linear(vectors(spark, sf), "key", "x", "y", "fold")
+    return rounded(linear.unionByName(evaluate_classifier(binary(spark, sf), "key", "x", "y", "fold")))
 
 
 @add("permutation_null_cv5")

@@ -82,6 +82,41 @@ def test_held_out_scores_need_no_scoring_pass(data):
     assert S.permutation_p(scores["RMSE"], greater=False) == pytest.approx(1 / 31)
 
 
+def test_classifier_scores_equal_refits(data):
+    """Out-of-fold scores, AUROC and F1 of every permuted label, each tuned by leave-one-out error in its own fold."""
+    x, y, fold, _, df = data
+    labelled = df.withColumn("y", (F.col("y") > float(np.median(y))).cast("int"))
+    got = durable(S.permuted_classifier(labelled, "key", "x", "y", "fold", 6))
+    scores = S.classifier_scores(got, 6)
+    perm = np.array(S.permuted_labels(labelled, "key", "y", 6).toPandas().sort_values("key")["y_perm"].tolist())
+    for b, ys in enumerate([(y > np.median(y)).astype(float), *perm.T]):
+        p = np.zeros(60)
+        for f in range(4):
+            xt, yt = x[fold != f], ys[fold != f]
+            z = (xt - xt.mean(0)) / xt.std(0)
+            errs = []
+            for a in RIDGE_ALPHAS:
+                h = 1 / len(yt) + np.einsum("ij,jk,ik->i", z, np.linalg.inv(z.T @ z + a * np.eye(5)), z)
+                errs.append((((yt - ridge_fit(xt, yt, a)(xt)) / (1 - h)) ** 2).sum())
+            p[fold == f] = ridge_fit(xt, yt, RIDGE_ALPHAS[int(np.argmin(errs))])(x[fold == f])
+        mine = got.where(F.col("perm") == b).toPandas()
+        np.testing.assert_allclose(np.sort(mine["y_pred"]), np.sort(p), atol=1e-8)
+        wins = p[ys == 1][:, None] - p[ys == 0][None, :]
+        assert scores["AUROC"][b] == pytest.approx(np.mean((wins > 1e-12) + 0.5 * (np.abs(wins) <= 1e-12)), abs=2e-3)
+        hard = p >= 0.5
+        f1 = np.mean([2 * np.sum((ys == c) & (hard == c)) / (np.sum(ys == c) + np.sum(hard == c)) for c in (0, 1)])
+        assert scores["F1"][b] == pytest.approx(f1)
+    assert S.permutation_p(scores["AUROC"]) == pytest.approx(1 / 7)
+
+
+def test_evaluation_has_both_tasks(spark):
+    from meridia.plans.model_queries import catalog
+
+    got = catalog.queries["evaluate_model"](spark, "/root/testdata/sf0.001").toPandas().set_index("metric")
+    assert {"R2", "RMSE", "Pearson", "AUROC", "F1"} <= set(got.index)
+    assert (got.loc[["AUROC", "F1"], "lo"] <= got.loc[["AUROC", "F1"], "hi"]).all() and got["p"].between(0.01, 1).all()
+
+
 def test_permuted_labels_are_permutations(spark, data, group_mode):
     _, y, _, _, df = data
     got = S.permuted_labels(df, "key", "y", 3).toPandas()
