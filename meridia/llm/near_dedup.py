@@ -48,8 +48,30 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
 
 def _bounds(bands: int, rows: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
-    """(start, end, least matches by then) of each batch: one value of every band at a time."""
-    return [(i * bands, (i + 1) * bands, least_matches((i + 1) * bands, threshold, miss)) for i in range(rows)]
+    """(start, end, least matches by then) of each batch: one value of every band at a time.
+
+    The bound is a posterior probability, not a miss rate.  Each batch gets an equal part of
+    ``miss`` and is lowered until all together drop a pair just at the threshold at most that often.
+    """
+    least = [least_matches((i + 1) * bands, threshold, miss / rows) for i in range(rows)]
+    while drop_rate(bands, least, threshold) > miss and any(least):
+        least = [max(m - 1, 0) for m in least]
+    return [(i * bands, (i + 1) * bands, m) for i, m in enumerate(least)]
+
+
+def drop_rate(bands: int, least: list[int], similarity: float) -> float:
+    """Chance that a pair with independent matches falls below ``least`` after any batch of ``bands`` values."""
+    one = [math.comb(bands, k) * similarity ** k * (1 - similarity) ** (bands - k) for k in range(bands + 1)]
+    alive = [1.0]
+    lost = 0.0
+    for m in least:
+        after = [0.0] * (len(alive) + bands)
+        for i, a in enumerate(alive):
+            for k, b in enumerate(one):
+                after[i + k] += a * b
+        lost += sum(after[:m])
+        alive = [0.0] * m + after[m:]
+    return lost
 
 
 def _sketch_step(shingle: int, values: int):

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from meridia.llm import near_dedup
@@ -95,3 +97,18 @@ def test_components(spark):
             x, y = sorted((top(a), top(b)))
             up[y] = x
     assert got == {i: top(i) for i in up}
+
+
+def test_batches_together_keep_to_the_miss_rate():
+    """All five tests in a row drop a pair just at the threshold no more often than documented."""
+    def lost(least, s=0.8, bands=29):
+        alive, out = np.array([1.0]), 0.0
+        one = np.array([math.comb(bands, k) * s ** k * (1 - s) ** (bands - k) for k in range(bands + 1)])
+        for m in least:
+            alive = np.convolve(alive, one)
+            out += alive[:m].sum()
+            alive[:m] = 0
+        return out
+
+    assert lost([13, 33, 53, 74, 95]) > 4e-5
+    assert lost([m for _, _, m in near_dedup._bounds(29, 5, 0.8, 1e-5)]) <= 1e-5
