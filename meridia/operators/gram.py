@@ -170,11 +170,12 @@ def ridge(mo: Moments, alpha: float, use: np.ndarray | None = None) -> np.ndarra
 
 
 def elastic_net(mo: Moments, alphas: np.ndarray, l1: np.ndarray, use: np.ndarray | None = None,
-                sweeps: int = 500, tol: float = 1e-7) -> np.ndarray:
+                sweeps: int = 10_000, tol: float = 1e-7) -> np.ndarray:
     """Coordinate descent on the covariance form for every (alpha, l1) pair at once.
 
     Objective 1/(2n)|y-Xb|^2 + a r |b|_1 + a(1-r)/2 |b|^2 on standardized features,
-    first label.  Returns raw [intercept, coefficients] as (p+1 x pairs).
+    first label.  Returns raw [intercept, coefficients] as (p+1 x pairs).  Raises if
+    a coefficient still moves by ``tol`` or more in the last sweep.
     """
     a, b = mo.standardized()
     idx = np.arange(mo.p) if use is None else use
@@ -194,6 +195,8 @@ def elastic_net(mo: Moments, alphas: np.ndarray, l1: np.ndarray, use: np.ndarray
                 moved = max(moved, float(np.max(np.abs(step))))
         if moved < tol:
             break
+    else:
+        raise ValueError(f"elastic net not converged after {sweeps} sweeps")
     full = np.zeros((mo.p, len(alphas)))
     full[idx] = beta.T
     raw = full / mo.sd[:, None]

@@ -139,6 +139,17 @@ def test_elastic_net_meets_optimality(data):
         assert abs(d) <= a * r + 1e-6 if b == 0 else abs(d + a * r * np.sign(b)) < 1e-5
 
 
+def test_elastic_net_converges_or_says_so():
+    """Strongly correlated features need more than 500 sweeps at a small penalty."""
+    cov = np.array([[1.0, 0.999, 1.0], [0.999, 1.0, 0.5], [1.0, 0.5, 50.0]])
+    mo = G.Moments(100.0, np.zeros(3), cov, 2)
+    coef = G.elastic_net(mo, np.array([1e-4]), np.array([0.5]))[1:, 0]
+    grad = cov[:2, :2] @ coef - cov[:2, 2] + 0.5e-4 * coef + 0.5e-4 * np.sign(coef)
+    assert np.abs(grad).max() < 1e-6
+    with pytest.raises(ValueError, match="not converged"):
+        G.elastic_net(mo, np.array([1e-4]), np.array([0.5]), sweeps=500)
+
+
 def test_folds(spark, group_mode):
     df = spark.createDataFrame([(i, f"g{i // 3}") for i in range(12)], "id int, g string")
     held = M.assign_folds(df, "id", "group", group="g").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("g").alias("k")).collect()
