@@ -91,15 +91,24 @@ class Grams:
         return sum(kept) if kept else np.zeros_like(self.total)
 
 
-def near_mean(df: DataFrame, rows: int = 256) -> np.ndarray:
-    """A point inside the data to centre on: the mean of some rows.
+def near_mean(df: DataFrame) -> np.ndarray:
+    """The mean of all rows, to centre on: one aggregate.
 
-    Any centre gives the same results up to rounding; a near one avoids cancellation.
+    Any centre gives the same results up to rounding; the mean avoids cancellation.
     """
-    some = df.select("z").limit(rows).collect()
-    if not some:
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = 0.0, 0
+        for pdf in batches:
+            if len(pdf):
+                total, n = total + np.sum(np.stack(pdf["z"].to_numpy()).astype(float), axis=0), n + len(pdf)
+        if n:
+            yield pd.DataFrame({"n": [n], "v": [total]})
+
+    parts = df.select("z").mapInPandas(local, "n bigint, v array<double>").select("n", F.posexplode("v").alias("i", "s"))
+    mean = parts.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # one number per column
+    if not mean:
         raise ValueError("no rows to fit on")
-    return np.mean([row["z"] for row in some], axis=0)
+    return np.array([row["m"] for row in sorted(mean, key=lambda r: r["i"])])
 
 
 def grams(df: DataFrame, cells: list[str], labels: int) -> Grams:

@@ -53,6 +53,12 @@ def test_linear_cv_equals_refits(data, alpha):
     np.testing.assert_allclose(got, want, rtol=1e-8)
 
 
+def test_centre_is_the_mean_of_all_rows(spark):
+    """Also of sorted rows with a drift, whose first 256 are far from the rest."""
+    df = spark.range(0, 2000, 1, 4).select(F.array(F.lit(1.0), F.col("id").cast("double")).alias("z"))
+    np.testing.assert_allclose(G.near_mean(df), [1.0, 999.5])
+
+
 def test_loo_equals_refits(data):
     x, y, _, _, df = data
     got = M.loo_closed_form(df, "key", "x", "y").toPandas().set_index("key")["y_pred"].sort_index()
