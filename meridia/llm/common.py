@@ -66,8 +66,20 @@ def pieces(total: int, each: int, least: int) -> int:
     return max(least, math.ceil(total / each))
 
 
-def map_slices(df: DataFrame, step, schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows, so that a task holds few Python objects at once.
+def slices(batch, rows: int, size: int):
+    """A record batch in slices of at most ``rows`` rows and about ``size`` bytes; a row longer than that is alone."""
+    todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        some = todo.pop()
+        if some.num_rows > 1 and some.nbytes > size:
+            half = some.num_rows // 2
+            todo += [some.slice(half), some.slice(0, half)]
+        else:
+            yield some
+
+
+def map_slices(df: DataFrame, step, schema: str, rows: int = 512, size: int = 4 << 20) -> DataFrame:
+    """``mapInArrow`` over :func:`slices`, so that a task holds few Python objects at once.
 
     ``step()`` is called once per task and returns a function from a pyarrow table to a dict of columns.
     """
@@ -80,8 +92,9 @@ def map_slices(df: DataFrame, step, schema: str, rows: int = 512) -> DataFrame:
     def run(batches):
         one = step()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = one(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            for some in slices(batch, rows, size):
+                out = one(some)
+                columns = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return df.mapInArrow(run, schema)
