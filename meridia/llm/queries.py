@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meridia.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, passage_dedup, token_files, topk, toxicity
+from meridia.llm import (
+    byte_bpe, chat, exact_dedup, fill_middle, language, lexical, line_dedup, mixing, near_dedup, passage_dedup, token_files, topk, toxicity,
+)
 from meridia.llm.common import table
 from meridia.plans.catalog import Catalog
-from meridia.session import scratch_path
+from meridia.session import durable, scratch_path
 
 catalog = Catalog()
 
@@ -125,4 +127,71 @@ def op10(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+MARKS_SQL = r"(<|\[)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|<ROLE>>|<TEXT>>|</TEXT>>)"
+
+
+@catalog.add("op11_chat", rf"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(n)),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said),
+spelled AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '{MARKS_SQL}', '\1\\\2', 'g') AS body,
+    CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+      ELSE 26 + length(regexp_replace(replace(role, '\', '\\'), '{MARKS_SQL}', '\1\\\2', 'g')) END AS marks FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(body) + marks)::BIGINT AS formatted_chars
+FROM spelled GROUP BY conv_id""")
+def op11(spark, sf_dir):
+    fixed = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    read = chat.read_back(durable(chat.format_paths(chat.as_messages(turns)), "chats"))
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@catalog.add("op12_lexical", r"""
+WITH found AS (SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT d, doc_id, len(terms) AS n, terms FROM found WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS length FROM docs),
+counts AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY d, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY term),
+asked AS (SELECT item_id, i, term, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS i,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, i, term),
+scored AS (SELECT item_id, i, d, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // length))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (d), corpus GROUP BY item_id, i, d, doc_id),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""")
+def op12(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, b=75)
+
+
+@catalog.add("op13_fill_middle", """
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM base),
+cut AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM drawn),
+parts AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts""")
+def op13(spark, sf_dir):
+    folder = scratch_path(spark, "frames")
+    fill_middle.store(table(spark, sf_dir, "documents"), folder)
+    return fill_middle.digests(fill_middle.fill_middle(fill_middle.load(spark, folder), seed=1, rate=90, spm=20))
+
+
 catalog.add("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
