@@ -65,35 +65,38 @@ def _same_message(a: str, b: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & F.col(f"{a}.message").eqNullSafe(F.col(f"{b}.message"))
 
 
-def _doubled(stages: Stages, messages: DataFrame) -> list[DataFrame]:
-    """Pointers of every message: table k points 2**k messages up, NULL beyond the root; the last points nowhere.
+def _doubled(stages: Stages, messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers of the messages, and those whose path to the root is known.
 
-    ``depth`` and ``gain`` count the messages above the pointed stretch's end and their scores.
-    A message under a loop of parents points somewhere in every table.
+    Table k has the messages that lie at least 2**k below their root, pointing that far up
+    (``up``).  The second frame gives tree, message, depth and gain, the score of the path;
+    messages under a loop of parents are in every table and have no path.  A round joins
+    only the messages whose root is not reached yet.
     """
     present = messages.select("tree", F.col("message").alias("known")).alias("p")
-    own = messages.alias("m").join(present, _same("m", "p", "parent", "known"), "left")
-    up = [stages.keep(own.select(
+    own = stages.keep(messages.alias("m").join(present, _same("m", "p", "parent", "known"), "left").select(
         "m.tree", "m.message", F.col("p.known").alias("up"), F.col("p.known").isNotNull().cast("bigint").alias("depth"),
-        F.col("m.score").alias("gain")), "up")]
-    open_ends = up[-1].where("up IS NOT NULL").count()
+        F.col("m.score").alias("gain")), "up")
+    up, rooted = [own.where("up IS NOT NULL")], own.where("up IS NULL").drop("up")
+    open_ends = up[-1].count()
     while open_ends:
-        a, b = up[-1].alias("a"), up[-1].alias("b")
-        up.append(stages.keep(a.join(b, _same("a", "b", "up", "message"), "left").select(
-            "a.tree", "a.message", F.col("b.up").alias("up"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-            (F.col("a.gain") + F.coalesce("b.gain", F.lit(0.0))).alias("gain")), "up"))
-        left = up[-1].where("up IS NOT NULL").count()
+        a, b = up[-1].alias("a"), up[-1].unionByName(rooted, allowMissingColumns=True).alias("b")
+        further = stages.keep(a.join(b, _same("a", "b", "up", "message")).select(
+            "a.tree", "a.message", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"),
+            (F.col("a.gain") + F.col("b.gain")).alias("gain")), "up")
+        up.append(further.where("up IS NOT NULL"))
+        rooted = rooted.unionByName(further.where("up IS NULL").drop("up"))
+        left = up[-1].count()
         if left == open_ends:  # a round ends some path, so what is left goes round in loops
             break
         open_ends = left
-    return up
+    return up, rooted
 
 
 def best_paths(messages: DataFrame, branches: int, stages: Stages) -> DataFrame:
     """tree, branch, leaf, score, message, place: the messages of each tree's best root-to-leaf paths."""
-    up = _doubled(stages, messages)
-    ends = up[-1].where("up IS NULL").select("tree", "message", "depth", "gain").alias("e")
+    up, rooted = _doubled(stages, messages)
+    ends = rooted.alias("e")
     parents = messages.where("parent IS NOT NULL").select("tree", "parent").distinct().alias("q")
     leaves = ends.join(parents, _same("e", "q", "message", "parent"), "left_anti")
     # messages without an id have no replies; the order ends with them
@@ -101,8 +104,8 @@ def best_paths(messages: DataFrame, branches: int, stages: Stages) -> DataFrame:
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     paths = stages.keep(chosen.select(
         "tree", "branch", F.col("message").alias("leaf"), F.col("gain").alias("score"), "message", F.col("depth").alias("place")), "paths")
-    for k in reversed(range(len(up) - 1)):  # each message stays and, if it points that far, brings the one it points to
-        a, b = paths.alias("a"), up[k].where("up IS NOT NULL").alias("b")
+    for k in reversed(range(len(up))):  # each message stays and, if it points that far, brings the one it points to
+        a, b = paths.alias("a"), up[k].alias("b")
         here, above = F.struct("a.message", "a.place"), F.struct(F.col("b.up").alias("message"), (F.col("a.place") - F.lit(1 << k)).alias("place"))
         both = F.when(F.col("b.up").isNull(), F.array(here)).otherwise(F.array(here, above))
         paths = a.join(b, _same_message("a", "b"), "left").select("a.tree", "a.branch", "a.leaf", "a.score", F.inline(both))
