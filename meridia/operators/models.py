@@ -112,6 +112,32 @@ def loo_closed_form(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return out.withColumnRenamed("k", key)
 
 
+def ridge_loo(df: DataFrame, key: str, x: str, y: str, alpha: float) -> DataFrame:
+    """Leave-one-out ridge predictions in closed form: key, y_true, y_pred, h.
+
+    The penalty weighs each raw coefficient by the spread of its feature over all rows
+    (labels take no part in it); given that, a row's prediction is exactly that of a fit
+    without the row, intercept included.
+    """
+    g = fold_grams(df.withColumn("fold", F.lit(0)), x, [y])
+    mo = G.moments(g.total, g.p, g.centre)
+    a, b = mo.standardized()
+    inv = np.linalg.inv(a + alpha / mo.n * np.eye(mo.p)) / mo.n
+    beta, mean, sd, n, p = inv @ b[:, 0] * mo.n, mo.mean, mo.sd, mo.n, mo.p
+
+    def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = (np.stack(pdf["x"].to_numpy()).astype(float) - mean[:p]) / sd
+            h = np.clip(1.0 / n + np.einsum("ij,ij->i", z @ inv, z), 0, 1 - 1e-12)
+            ys = pdf["y_true"].to_numpy(float)
+            resid = (ys - mean[p] - z @ beta) / (1 - h)
+            yield pd.DataFrame({"k": pdf["k"], "y_true": ys, "y_pred": ys - resid, "h": h})
+
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).cast("double").alias("y_true"))
+    return rows.mapInPandas(leave_out, f"k {kind}, y_true double, y_pred double, h double").withColumnRenamed("k", key)
+
+
 def r2(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     res = F.col(y) - F.col(p)
     return df.agg((1.0 - F.try_divide(F.avg(res * res), F.var_pop(y))).alias("R2"), F.count(F.lit(1)).alias("n"))

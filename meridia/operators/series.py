@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from meridia.operators import gram as G
 from meridia.operators.models import dot
-from meridia.session import durable
 
 LENGTH = 512
 
@@ -45,15 +44,10 @@ def resample_to_length(placed: DataFrame, everyone: DataFrame | None = None, len
     return out
 
 
-def as_vectors(resampled: DataFrame, scaled: bool = False) -> DataFrame:
-    """One array ``x`` per subject (``length`` elements); ``scaled``: z-scored, a flat series becoming zeros."""
+def as_vectors(resampled: DataFrame) -> DataFrame:
+    """One array ``x`` per subject (``length`` elements)."""
     packed = F.sort_array(F.collect_list(F.struct("t", "v")))
-    got = resampled.groupBy("subject_id").agg(packed.alias("p"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    if not scaled:
-        return got.select("subject_id", F.transform("p", lambda c: c["v"]).alias("x"))
-    flat = F.col("s") <= 0
-    return got.select("subject_id", F.transform(
-        "p", lambda c: F.when(flat, 0.0).otherwise((c["v"] - F.col("m")) / F.col("s"))).alias("x"))
+    return resampled.groupBy("subject_id").agg(packed.alias("p")).select("subject_id", F.transform("p", lambda c: c["v"]).alias("x"))
 
 
 @dataclass
@@ -88,22 +82,68 @@ def fit_vector_reduction(df: DataFrame, x: str, k: int) -> VectorReduction:
     return VectorReduction(np.column_stack([-raw @ mo.mean[: mo.p], raw]), share)
 
 
-def series_embedding(resampled: DataFrame, k: int = 8, scorer: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Deterministic subject vectors: z-scored fixed-length series reduced to ``k`` components ``ts0..``.
-
-    ``scorer`` may replace the reduction by any (rows x length) -> (rows x k) model,
-    applied to Arrow batches.
+@dataclass(frozen=True)
+class Kernels:
+    """Random dilated convolution kernels: drawn from the seed and the series length, never from data."""
+
+    weights: tuple[np.ndarray, ...]
+    biases: np.ndarray
+    dilations: tuple[int, ...]
+    padded: tuple[bool, ...]
+
+    @staticmethod
+    def draw(length: int, count: int, seed: int = 0) -> Kernels:
+        """Kernels of 7, 9 or 11 centred normal weights, dilations spread evenly over the scales that fit."""
+        rng = np.random.default_rng([seed, length])
+        sizes = [min(int(s), length) for s in rng.choice([7, 9, 11], count)]
+        weights = [rng.normal(size=s) for s in sizes]
+        room = [np.log2(max(1.0, (length - 1) / max(1, s - 1))) for s in sizes]
+        return Kernels(
+            tuple(w - w.mean() for w in weights), rng.uniform(-1, 1, count),
+            tuple(int(2 ** rng.uniform(0, r)) for r in room), tuple(bool(b) for b in rng.integers(0, 2, count)))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        """(rows x length) -> for every kernel the share of positive responses and the largest response."""
+        out = np.empty((len(rows), 2 * len(self.weights)))
+        for i, (w, bias, step, padded) in enumerate(zip(self.weights, self.biases, self.dilations, self.padded, strict=True)):
+            reach = (len(w) - 1) * step
+            edge = reach // 2 if padded else 0
+            wide = np.pad(rows, ((0, 0), (edge, edge)))
+            span = wide.shape[1] - reach
+            response = np.full((len(rows), span), bias)
+            for j, v in enumerate(w):
+                response += v * wide[:, j * step:j * step + span]
+            out[:, 2 * i], out[:, 2 * i + 1] = (response > 0).mean(axis=1), response.max(axis=1)
+        return out
+
+
+EMBED_ROWS = 256
+
+
+def series_embedding(
+    resampled: DataFrame, length: int = LENGTH, kernels: int = 64, seed: int = 0, scorer: Callable[[np.ndarray], np.ndarray] | None = None,
+    k: int | None = None,
+) -> DataFrame:
+    """Deterministic subject vectors ``ts0..``: z-scored series of ``length`` points under random kernels.
+
+    Nothing is learned: a subject's vector depends on its own series only.  ``scorer`` may
+    replace the kernels by any (rows x length) -> (rows x k) model, applied to Arrow batches.
     """
-    scaled = durable(as_vectors(resampled, scaled=True), "vectors")
-    if scorer is None:
-        return fit_vector_reduction(scaled, "x", k).transform(scaled, "x", "ts").drop("x")
-    kind = dict(scaled.dtypes)["subject_id"]
+    apply, width = (Kernels.draw(length, kernels, seed), 2 * kernels) if scorer is None else (scorer, int(k))
+    names = [f"ts{i}" for i in range(width)]
+    vectors = as_vectors(resampled)
+    kind = dict(vectors.dtypes)["subject_id"]
+
+    def scaled(rows: np.ndarray) -> np.ndarray:  # in the order of time, so that reruns agree to the last digit
+        spread = rows.std(axis=1, keepdims=True)
+        return np.where(spread > 0, (rows - rows.mean(axis=1, keepdims=True)) / np.where(spread > 0, spread, 1), 0.0)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = np.asarray(scorer(np.stack(pdf["x"].to_numpy())), dtype=float)
-            out = pd.DataFrame(got, columns=[f"ts{i}" for i in range(k)])
-            out.insert(0, "subject_id", pdf["subject_id"].to_numpy())
-            yield out
+            for at in range(0, len(pdf), EMBED_ROWS):
+                some = pdf.iloc[at:at + EMBED_ROWS]
+                out = pd.DataFrame(np.asarray(apply(scaled(np.stack(some["x"].to_numpy()))), dtype=float), columns=names)
+                out.insert(0, "subject_id", some["subject_id"].to_numpy())
+                yield out
 
-    return scaled.mapInPandas(score, f"subject_id {kind}, " + ", ".join(f"ts{i} double" for i in range(k)))
+    return vectors.mapInPandas(score, f"subject_id {kind}, " + ", ".join(f"{c} double" for c in names))

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from meridia.operators import circadian as W
 from meridia.operators import explain as X
 from meridia.operators import fusion as U
 from meridia.operators import glucose as G
@@ -16,11 +17,12 @@ from meridia.operators import selection as S
 from meridia.operators import series as Z
 from meridia.operators import transforms as T
 from meridia.operators.metrics import regression_metrics
+from meridia.operators.ordered import ordered
 from meridia.operators.ranking import importance_rank
 from meridia.plans.catalog import Catalog, report_sql, rounded
 from meridia.plans.glucose_queries import PLACED, placed
 from meridia.plans.tables import GRID_SQL, MINUTES_SQL, ORDER_SQL, order_totals, table, vectors
-from meridia.plans.wearable_queries import grid
+from meridia.plans.wearable_queries import grid, stored_minutes
 from meridia.session import durable, scratch_path
 
 catalog = Catalog()
@@ -66,28 +68,42 @@ def _series(spark, sf):
     return rounded(g.selectExpr("subject_id", "CAST(idx AS BIGINT) AS idx", "hr"))
 
 
+def glucose_embedding(spark, sf):
+    return Z.series_embedding(Z.resample_to_length(user_trace(spark, sf)))
+
+
 @add("series_embedding")
 def _embedding(spark, sf):
-    return Z.series_embedding(Z.resample_to_length(user_trace(spark, sf), length=64), 8)
+    return glucose_embedding(spark, sf)
 
 
-@add("feature_set_benchmark")
-def _feature_sets(spark, sf):
-    """The same cross-validated ridge on hand-made features, series embedding, and both."""
-    hand = durable(G.glucose_matrix(user_rows(spark, sf), "user_id", "value", "ts", "event_id"))
-    emb = durable(Z.series_embedding(Z.resample_to_length(user_trace(spark, sf), length=64), 8))
-    target = hand.select("subject_id", F.col("mean_glucose").alias("y"))  # the probe: it leaves the predictors
-    hand_cols = [c for c in G.FEATURES if c not in ("mean_glucose", "gmi", "j_index", "conga1", "modd")]
+def benchmark_three(hand, emb, target: str, modality: str):
+    """Leave-one-out ridge on hand-made features, on the embedding, and on both, for one target."""
+    hand_cols = [c for c in hand.columns if c not in ("subject_id", target)]
     emb_cols = [c for c in emb.columns if c != "subject_id"]
-    both = durable(hand.drop("mean_glucose").join(emb, "subject_id").join(target, "subject_id").na.drop(subset=["y", *hand_cols, *emb_cols]).withColumn(
-        "fold", M.hash_fold("subject_id", 5)))
+    both = hand.withColumnRenamed(target, "y").join(emb, "subject_id").na.drop(subset=["y", *hand_cols, *emb_cols])
+    rows = durable(both.select("subject_id", "y", *[
+        F.array(*[F.col(c).cast("double") for c in cols]).alias(name)
+        for name, cols in (("handmade", hand_cols), ("embedding", emb_cols), ("both", hand_cols + emb_cols))]), "benchmark")
     out = None
-    for name, cols in (("handmade", hand_cols), ("embedding", emb_cols), ("both", hand_cols + emb_cols)):
-        rows = both.select("subject_id", "fold", "y", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-        part = regression_metrics(M.linear_cv(rows, "subject_id", "x", "y", alpha=1.0), "y_true", "y_pred").withColumn(
-            "features", F.lit(name))
+    for name in ("handmade", "embedding", "both"):
+        part = regression_metrics(M.ridge_loo(rows, "subject_id", name, "y", alpha=1.0), "y_true", "y_pred").select(
+            F.lit(modality).alias("modality"), F.lit(name).alias("features"), F.lit(target).alias("target"), "*")
         out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return out
+
+
+@add("feature_set_benchmark")
+def _feature_sets(spark, sf):
+    """Both modalities; what would give the target away leaves the predictors."""
+    hand = durable(G.glucose_matrix(user_rows(spark, sf), "user_id", "value", "ts", "event_id"))
+    glucose = benchmark_three(hand.drop("gmi", "j_index", "conga1", "modd"), glucose_embedding(spark, sf), "mean_glucose", "cgm")
+    minutes = stored_minutes(spark, sf)
+    hours = W.hour_grid(minutes, ["hr"]).where("hr IS NOT NULL").select("subject_id", "idx", F.col("hr").alias("g"))
+    series = ordered(hours, ["subject_id"], ["idx"], pos="pos", totals=True, lead={"g_next": "g"}).withColumnRenamed("pos_total", "n")
+    worn = W.wearable_matrix(minutes)
+    wearable = benchmark_three(worn, Z.series_embedding(Z.resample_to_length(durable(series, "hours"))), "hr_amplitude", "wearable")
+    return rounded(glucose.unionByName(wearable))
 
 
 # ---- wide features: vectors with near copies, holes, a sparse and a constant column
