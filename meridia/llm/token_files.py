@@ -17,6 +17,9 @@ retried task harmless; ids are packed and unpacked in numpy, a block at a time.
 
 from __future__ import annotations
 
+import re
+from array import array
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,47 +88,95 @@ def unpack(words: bytes, escapes: bytes, n: int):
     return out[:n]
 
 
-def library(model: bytes, added: bool = False):
-    """Function from texts to ids by the tokenizers library, which adds no tokens of its own.
+#: New words encoded as one text: the library's cost per call is spread over them.
+JOINED = 100
+_SIMPLE = re.compile(r"[ \n][^\s\x00-\x20]+").fullmatch
+
+
+class Library:
+    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, which adds no tokens of its own.
 
     With ``added`` the contents of added tokens (``<|endoftext|>``) become their one id, as
     the library does by default; otherwise they are text like any other.
     """
-    import os
-    import struct
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, model: bytes, added: bool = True):
+        import os
+
+        import numpy as np
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_str(model.decode())
+        self.lib = Tokenizer.from_str(model.decode())
+        self.lib.encode_special_tokens = not added
+        self.contents = [t.content for t in self.lib.get_added_tokens_decoder().values()] if added else []
+        # ids whose token begins with the byte of a space or line feed, as the vocabulary spells them
+        self.begins = {}
+        for lead, spelled in ((" ", "\u0120"), ("\n", "\u010a")):
+            flags = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
+            flags[[i for t, i in self.lib.get_vocab().items() if t.startswith(spelled)]] = True
+            self.begins[lead] = flags
+        self.cut = Encoder(self._encode)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    cut = Encoder(encode)
-    if not added:
-        lib.encode_special_tokens = True
-        return cut
-    contents = [t.content for t in lib.get_added_tokens_decoder().values()]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Words that begin with a space or line feed and hold no other white space are encoded side by side.
 
-    def whole_if_added(texts: list[str]) -> list[bytes]:
+        Their joins are where the first token of a word begins with that character again.
+        """
+        import numpy as np
+
+        out: list[bytes | None] = [None] * len(texts)
+        lots: dict[str, list[int]] = {" ": [], "\n": []}
+        rest = []
+        for i, t in enumerate(texts):
+            (lots[t[0]] if _SIMPLE(t) else rest).append(i)
+        for lead, places in lots.items():
+            groups = [places[at:at + JOINED] for at in range(0, len(places), JOINED)]
+            found = self.lib.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+            for group, encoding in zip(groups, found, strict=True):
+                ids = np.array(encoding.ids, "<u4")
+                starts = np.flatnonzero(self.begins[lead][ids])
+                if len(starts) != len(group):
+                    rest += group
+                    continue
+                raw, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for k, i in enumerate(group):
+                    out[i] = raw[ends[k]:ends[k + 1]]
+        for i, ids in zip(rest, self._apart([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         # white space before an added token ends a piece of text, so such a text cannot be cut at its spaces
-        held = [any(c in t for c in contents) for t in texts]
-        whole = iter(encode([t for t, h in zip(texts, held, strict=True) if h]))
-        parts = iter(cut([t for t, h in zip(texts, held, strict=True) if not h]))
+        held = [any(c in t for c in self.contents) for t in texts]
+        whole = iter(self._apart([t for t, h in zip(texts, held, strict=True) if h]))
+        parts = iter(self.cut([t for t, h in zip(texts, held, strict=True) if not h]))
         return [next(whole if h else parts) for h in held]
 
-    return whole_if_added
+
+_LIBRARIES: dict[tuple[int, bool], Library] = {}
+
+
+def library(model: bytes, added: bool = True) -> Library:
+    """One per worker process; another model takes its place."""
+    key = (hash(model), added)
+    if key not in _LIBRARIES:
+        _LIBRARIES.clear()
+        _LIBRARIES[key] = Library(model, added)
+    return _LIBRARIES[key]
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-              added: bool = False) -> None:
+              added: bool = True) -> None:
     """Write the ids of every document, ``end_id`` after each, to ``folder`` in ascending doc_id order.
 
     NULL and empty texts have only the end id.  NULL doc_ids come first; rows of one
     doc_id follow each other by text; repeated rows stay.  An empty table writes an
-    empty folder; other columns are ignored.  ``added`` as in :func:`library`.
+    empty folder; other columns are ignored.  ``added`` as in :class:`Library`.
     """
     import pyarrow as pa
     from pyspark import TaskContext

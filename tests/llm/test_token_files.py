@@ -1,3 +1,4 @@
+import random
 import tempfile
 import zlib
 
@@ -29,10 +30,26 @@ def test_code_packs_runs_and_escapes():
     assert token_files.unpack(words[8 * token_files.STRIDE:], b"", len(many) - starts[1]).tolist() == many[starts[1]:].tolist()
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_stretches_and_joined_words_like_the_library():
+    """Random texts of awkward pieces, with cold and warm caches, against the unmodified library."""
+    rnd = random.Random(11)
+    bits = ["word", "Wörter", "ÉTÉ", "x.", "end,", "'s", "12", "\n", "\n", " ", " ", " ", "\t", "\r", "\x0b", "\x01", "\x1c", "\u00a0", "\u3000", "$$$", "<|endoftext|>", "中文", "\U0001f600", "Ġ", "Ċ", "a" * 70]
+    with open(PATH, "rb") as f:
+        model = f.read()
+    made = token_files.Library(model)
+    plain, apart = token_files.Library(model, added=False), Tokenizer.from_file(PATH)
+    apart.encode_special_tokens = True
+    for _ in range(60):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in made(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in plain(texts)] == [apart.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("block", [1 << 16, 50])
