@@ -122,15 +122,16 @@ def ridge_loo(df: DataFrame, key: str, x: str, y: str, alpha: float) -> DataFram
     g = fold_grams(df.withColumn("fold", F.lit(0)), x, [y])
     mo = G.moments(g.total, g.p, g.centre)
     a, b = mo.standardized()
-    inv = np.linalg.inv(a + alpha / mo.n * np.eye(mo.p)) / mo.n
-    beta, mean, sd, n, p = inv @ b[:, 0] * mo.n, mo.mean, mo.sd, mo.n, mo.p
+    lam, vec = np.linalg.eigh(a)
+    shrink = 1.0 / (np.clip(lam, 0, None) + alpha / mo.n)
+    axis_beta, mean, sd, n, p = shrink * (vec.T @ b[:, 0]), mo.mean, mo.sd, mo.n, mo.p
 
     def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = (np.stack(pdf["x"].to_numpy()).astype(float) - mean[:p]) / sd
-            h = np.clip(1.0 / n + np.einsum("ij,ij->i", z @ inv, z), 0, 1 - 1e-12)
+            t = ((np.stack(pdf["x"].to_numpy()).astype(float) - mean[:p]) / sd) @ vec
+            h = np.clip((1.0 + (t * t) @ shrink) / n, 0, 1 - 1e-12)
             ys = pdf["y_true"].to_numpy(float)
-            resid = (ys - mean[p] - z @ beta) / (1 - h)
+            resid = (ys - mean[p] - t @ axis_beta) / (1 - h)
             yield pd.DataFrame({"k": pdf["k"], "y_true": ys, "y_pred": ys - resid, "h": h})
 
     kind = dict(df.dtypes)[key]

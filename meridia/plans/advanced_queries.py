@@ -1,7 +1,9 @@
 """Series embeddings, reduction, transforms, selection, fusion, privacy, attribution and scoring."""
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.operators import circadian as W
@@ -85,12 +87,10 @@ def benchmark_three(hand, emb, target: str, modality: str):
     rows = durable(both.select("subject_id", "y", *[
         F.array(*[F.col(c).cast("double") for c in cols]).alias(name)
         for name, cols in (("handmade", hand_cols), ("embedding", emb_cols), ("both", hand_cols + emb_cols))]), "benchmark")
-    out = None
-    for name in ("handmade", "embedding", "both"):
-        part = regression_metrics(M.ridge_loo(rows, "subject_id", name, "y", alpha=1.0), "y_true", "y_pred").select(
-            F.lit(modality).alias("modality"), F.lit(name).alias("features"), F.lit(target).alias("target"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [M.ridge_loo(rows, "subject_id", name, "y", alpha=1.0).select(
+        F.lit(modality).alias("modality"), F.lit(name).alias("features"), F.lit(target).alias("target"), "y_true", "y_pred")
+        for name in ("handmade", "embedding", "both")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @add("feature_set_benchmark")
@@ -103,7 +103,8 @@ def _feature_sets(spark, sf):
     series = ordered(hours, ["subject_id"], ["idx"], pos="pos", totals=True, lead={"g_next": "g"}).withColumnRenamed("pos_total", "n")
     worn = W.wearable_matrix(minutes)
     wearable = benchmark_three(worn, Z.series_embedding(Z.resample_to_length(durable(series, "hours"))), "hr_amplitude", "wearable")
-    return rounded(glucose.unionByName(wearable))
+    scored = durable(glucose.unionByName(wearable), "scored")
+    return rounded(regression_metrics(scored, "y_true", "y_pred", ["modality", "features", "target"]))
 
 
 # ---- wide features: vectors with near copies, holes, a sparse and a constant column
