@@ -17,7 +17,7 @@ from array import array
 
 from pyspark.sql import DataFrame
 
-from meridia.llm.common import id_and_text, map_slices
+from meridia.llm.common import id_and_text, kept, map_slices
 from meridia.llm.segments import Encoder, Memo
 
 NEVER = 1 << 62
@@ -29,6 +29,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+def decoded(entries: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(entries.__getitem__, array("I", ids)))
+
+
 class Codec:
     """Encoder and decoder for one vocabulary in which every entry outranks its parts."""
 
@@ -139,18 +143,12 @@ class Codec:
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
-
-
-_CODECS: dict[tuple[int, str], Codec] = {}
+        return decoded(self.bytes, ids)
 
 
 def _codec(vocabulary: bytes, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    key = (hash(vocabulary), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(vocabulary), pattern)
-    return _CODECS[key]
+    return kept(("byte_bpe", hash(vocabulary), pattern), lambda: Codec(read_ranks(vocabulary), pattern))
 
 
 def _vocabulary(docs: DataFrame, path: str):
@@ -180,9 +178,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = _vocabulary(encoded, path)
 
     def step():
-        codec = _codec(ranks.value, pattern)
+        entries = kept(("byte_bpe entries", hash(ranks.value)), lambda: {i: b for b, i in read_ranks(ranks.value).items()})
         return lambda t: {
             "doc_id": t.column("doc_id"), "ids": t.column("ids"),
-            "decoded": [codec.decode(x or b"") for x in t.column("ids").to_pylist()]}
+            "decoded": [decoded(entries, x or b"") for x in t.column("ids").to_pylist()]}
 
     return map_slices(encoded.select("doc_id", "ids"), step, "doc_id bigint, ids binary, decoded binary")

@@ -78,6 +78,37 @@ def slices(batch, rows: int, size: int):
             yield some
 
 
+_KEPT: dict = {}
+_ASKED: set = set()
+
+
+def kept(key, make):
+    """What ``make`` returns, once per worker process while its tasks ask for the same key.
+
+    Another key takes its place, and so does a task that asks for none: a worker that goes
+    on to other work does not carry the caches of the last one.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    _ASKED.add(key)
+    return _KEPT[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which the C library otherwise holds for the process's next work."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def map_slices(df: DataFrame, step, schema: str, rows: int = 512, size: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over :func:`slices`, so that a task holds few Python objects at once.
 
@@ -90,11 +121,16 @@ def map_slices(df: DataFrame, step, schema: str, rows: int = 512, size: int = 4
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        _ASKED.clear()
         one = step()
+        if not _ASKED:
+            _KEPT.clear()
         for batch in batches:
             for some in slices(batch, rows, size):
                 out = one(some)
                 columns = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        del one
+        trim()
 
     return df.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import id_and_text, map_slices, partitions
+from meridia.llm.common import id_and_text, kept, map_slices, partitions
 from meridia.llm.segments import Encoder
 
 # Fixed values of the code: values per word and bits of each, by selector.
@@ -158,16 +158,9 @@ class Library:
         return [next(whole if h else parts) for h in held]
 
 
-_LIBRARIES: dict[tuple[int, bool], Library] = {}
-
-
 def library(model: bytes, added: bool = True) -> Library:
-    """One per worker process; another model takes its place."""
-    key = (hash(model), added)
-    if key not in _LIBRARIES:
-        _LIBRARIES.clear()
-        _LIBRARIES[key] = Library(model, added)
-    return _LIBRARIES[key]
+    """One per worker process and model."""
+    return kept(("token_files", hash(model), added), lambda: Library(model, added))
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",

@@ -39,6 +39,10 @@ def words_of(text: str | None) -> set[str]:
     return set(LETTERS.findall((text or "").lower()))
 
 
+#: Words a scorer remembers.
+REMEMBERED = 100_000
+
+
 @dataclass
 class Model:
     """Non-zero weights by column, ordered thresholds, the grades they separate, the rejecting probability."""
@@ -50,7 +54,7 @@ class Model:
 
     def scorer(self):
         keep = self.weights.keys()
-        known = Memo(lambda w: tuple(c for c in features(w) if c in keep))
+        known = Memo(lambda w: tuple(c for c in features(w) if c in keep), REMEMBERED)
         return lambda text: sum(self.weights[c] for c in sorted({c for w in words_of(text) for c in known[w]}))
 
     def reaching(self, z):
@@ -248,6 +252,33 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
     return docs.withColumn(name, rate(docs[text_col]))
 
 
+def rejected(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row) of the rows the model rejects; ``row`` is a hash of the text.
+
+    Only ids leave the Python workers, so a stage that drops these rows need not send its
+    texts back.  NULL texts count as empty; NULL ids stay NULL; other columns are ignored.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most COLUMNS weights
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+    def step():
+        import numpy as np
+
+        m = sent.value
+        score = m.scorer()
+
+        def one(t):
+            bad = np.zeros(0, np.int64)
+            if m.thresholds:
+                bad = np.flatnonzero(m.reaching([score(x) for x in t.column("text").to_pylist()])[:, 0] >= m.cut)
+            return {c: t.column(c).take(bad) for c in ("doc_id", "row")}
+
+        return one
+
+    return map_slices(rows, step, "doc_id bigint, row bigint")
+
+
 def grade_of(toxic: Column, quality: Column) -> Column:
     """Grades of the labels table: 0 clean, 1 toxic, 2 toxic and of low quality; NULL if not labelled."""
     return F.when(toxic == 0, 0).when((toxic == 1) & (quality == 0), 2).when(toxic == 1, 1)
