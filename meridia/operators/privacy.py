@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 from statistics import NormalDist
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.columns import clip, gaussian, ratio, uniform
 from meridia.operators import gram as G
+from meridia.operators.noise import Ledger, Stream, new_key, noisy, released
 from meridia.session import durable
 
 
@@ -73,8 +75,12 @@ def _unit_sigma(kind: str, eps: float, delta: float) -> float:
 # ---- private means
 
 def dp_mean(df: DataFrame, value: str, eps: float, delta: float, lo: float, hi: float, *,
-            keys: list[str] | None = None, seed: int = 0, calibration: str = "analytic") -> DataFrame:
-    """Clipped mean per key + Gaussian noise keyed on (key, seed); eps = inf releases the clipped mean."""
+            keys: list[str] | None = None, seed: int | None = None, calibration: str = "analytic",
+            ledger: Ledger | None = None) -> DataFrame:
+    """Clipped mean per key + discrete Gaussian noise of a fresh key, stored; eps = inf releases the clipped mean.
+
+    Keys hold different rows, so all groups together spend eps once.
+    """
     if hi <= lo:
         raise ValueError("the clipping range is empty")
     unit = _unit_sigma(calibration, eps, delta)
@@ -83,13 +89,15 @@ def dp_mean(df: DataFrame, value: str, eps: float, delta: float, lo: float, hi:
         raise ValueError("nothing but NULL in the column to average")
     stats = df.groupBy(*keys).agg(F.avg(clip(F.col(value), lo, hi)).alias("m"), F.count(value).alias("n")).where("n > 0")
     sigma = ratio(F.lit((hi - lo) * unit), F.col("n"))
-    noise = gaussian(*(keys or [F.lit("all")]), seed=seed)
-    return stats.select(*keys, "n", (F.col("m") + sigma * noise).alias("dp_mean"), sigma.alias("sigma"))
+    if ledger:
+        ledger.spend("dp_mean", eps, delta)
+    return durable(stats.select(
+        *keys, "n", released(F.col("m"), sigma, keys, new_key(seed)).alias("dp_mean"), sigma.alias("sigma")), "release")
 
 
 def dp_summary(long: DataFrame, eps: float, delta: float, bounds: dict[str, tuple[float, float]] | None = None, *,
-               seed: int = 0, calibration: str = "analytic") -> DataFrame:
-    """Per feature (feature, value rows): true and private mean with the budget split evenly.
+               seed: int | None = None, calibration: str = "analytic", ledger: Ledger | None = None) -> DataFrame:
+    """Per feature (feature, value rows): true and private mean with the budget split evenly; stored, the noise as in dp_mean.
 
     Observed bounds depend on the data, so ``bounds_source`` says where they came from.
     """
@@ -112,9 +120,13 @@ def dp_summary(long: DataFrame, eps: float, delta: float, bounds: dict[str, tupl
     unit = _unit_sigma(calibration, eps if math.isinf(eps) else eps / d, delta / d)
     open_ = F.col("hi") > F.col("lo")
     sigma = F.when(open_, (F.col("hi") - F.col("lo")) / F.col("n") * unit).otherwise(0.0)
-    dp = F.when(open_, F.col("m") + sigma * gaussian("feature", seed=seed)).otherwise(F.col("true_mean"))
-    return stats.select("feature", "true_mean", dp.alias("dp_mean"), F.abs(dp - F.col("true_mean")).alias("abs_error"),
-                        sigma.alias("sigma"), "lo", "hi", F.lit("given" if bounds else "observed").alias("bounds_source"))
+    if ledger:
+        ledger.spend("dp_summary", eps, delta)
+    drawn = stats.withColumn("sigma", sigma).withColumn("dp", released(F.when(open_, F.col("m")).otherwise(
+        F.col("true_mean")), F.col("sigma"), ["feature"], new_key(seed)))
+    return durable(drawn.select(
+        "feature", "true_mean", F.col("dp").alias("dp_mean"), F.abs(F.col("dp") - F.col("true_mean")).alias("abs_error"),
+        "sigma", "lo", "hi", F.lit("given" if bounds else "observed").alias("bounds_source")), "release")
 
 
 def unit_rows(df: DataFrame, x: str) -> DataFrame:
@@ -123,8 +135,8 @@ def unit_rows(df: DataFrame, x: str) -> DataFrame:
     return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(raw).drop("raw")
 
 
-def dp_logistic(df: DataFrame, x: str, y: str, eps: float, delta: float, lam: float = 0.01, seed: int = 0,
-                calibration: str = "analytic") -> tuple[np.ndarray, np.ndarray, float]:
+def dp_logistic(df: DataFrame, x: str, y: str, eps: float, delta: float, lam: float = 0.01, seed: int | None = None,
+                calibration: str = "analytic", ledger: Ledger | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(noisy coefficients, exact coefficients, sigma) of a no-intercept logistic fit on unit rows."""
     strange, n = df.agg(F.count_if(~F.col(y).isin(0, 1)), F.count(F.lit(1))).first()
     if strange or not n:
@@ -135,17 +147,22 @@ def dp_logistic(df: DataFrame, x: str, y: str, eps: float, delta: float, lam: fl
     fit = LogisticRegression(regParam=lam, fitIntercept=False, standardization=False, maxIter=200, tol=1e-10).fit(rows)
     w = fit.coefficients.toArray()
     sigma = SIGMAS[calibration](2.0 / (n * lam), eps, delta)
-    return w + np.random.default_rng(seed).normal(0.0, 1.0, len(w)) * sigma, w, sigma
+    if ledger:
+        ledger.spend("dp_logistic", eps, delta)
+    key = new_key(seed)
+    return np.array([noisy(float(c), sigma, Stream(key, str(i))) for i, c in enumerate(w)]), w, sigma
 
 
 def privacy_sweep(df: DataFrame, x: str, y: str, long: DataFrame, eps_grid: list[float], reps: int, delta: float = 1e-5,
-                  lam: float = 0.01, key: str = "key", seed: int = 0) -> DataFrame:
+                  lam: float = 0.01, key: str = "key", seed: int | None = None) -> DataFrame:
     """epsilon, metric, value: held-out accuracy of the noisy model, mean absolute and relative error of private means.
 
     One fit and one scoring pass serve every (epsilon, replicate); the errors of the
-    means come from the per-feature aggregates alone.
+    means come from the per-feature aggregates alone.  The noise is simulated to judge a
+    budget; nothing here is a release.
     """
-    held = uniform(key, seed=seed) < 0.3
+    held = uniform(key, seed=0) < 0.3
+    draw = secrets.randbits(62) if seed is None else seed
     train = df.where(~held)
     _, w, _ = dp_logistic(train, x, y, math.inf, delta, lam)
     n = train.count()
@@ -153,7 +170,7 @@ def privacy_sweep(df: DataFrame, x: str, y: str, long: DataFrame, eps_grid: list
     for eps in eps_grid:
         for r in range(1 if math.isinf(eps) else reps):
             s = analytic_sigma(2.0 / (n * lam), eps, delta)
-            models.append(w + np.random.default_rng([seed, r]).normal(0, 1, len(w)) * s)
+            models.append(w + np.random.default_rng([draw, r]).normal(0, 1, len(w)) * s)
             tags.append(eps)
     spark = df.sparkSession
     stacked = np.array(models)
@@ -168,12 +185,15 @@ def privacy_sweep(df: DataFrame, x: str, y: str, long: DataFrame, eps_grid: list
     d = exact.count()
     base = durable(exact.join(long.groupBy("feature").agg(F.count("value").alias("n")), "feature"), "base")
     scale = base.agg(F.avg(F.abs("true_mean"))).first()[0]
-    for eps in eps_grid:
-        unit = 0.0 if math.isinf(eps) else analytic_sigma(1.0, eps / d, delta / d)
-        draws = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(1 if math.isinf(eps) else reps))))
-        s = (F.col("hi") - F.col("lo")) / F.col("n") * unit
-        err = draws.agg(F.avg(F.abs(s * gaussian("feature", "rep", seed=seed)))).first()[0]
-        rows += [(eps, "dp_mean_abs_error", float(err)), (eps, "dp_mean_rel_error", float(err / scale))]
+    sigma_1 = {e: 0.0 if math.isinf(e) else analytic_sigma(1.0, e / d, delta / d) for e in eps_grid}
+    grid = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(sigma_1[e]).alias("unit"), F.lit(1 if math.isinf(e) else reps).alias("reps"))
+                     for i, e in enumerate(eps_grid)])
+    draws = base.select("*", F.inline(grid)).withColumn("rep", F.explode(F.sequence(F.lit(1), "reps")))
+    s = (F.col("hi") - F.col("lo")) / F.col("n") * F.col("unit")
+    errors = draws.groupBy("at").agg(F.avg(F.abs(s * gaussian("feature", "rep", "at", seed=draw))).alias("e")).collect()
+    for row in sorted(errors, key=lambda r: r["at"]):
+        eps = eps_grid[row["at"]]
+        rows += [(eps, "dp_mean_abs_error", float(row["e"])), (eps, "dp_mean_rel_error", float(row["e"] / scale))]
     return spark.createDataFrame(rows, "epsilon double, metric string, value double")
 
 
