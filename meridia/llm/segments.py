@@ -47,14 +47,24 @@ class Encoder:
     only the stretches not yet known are encoded; when too many are known, all are forgotten.
     """
 
-    def __init__(self, encode):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode, most: int = REMEMBERED):
+        self.encode, self.known, self.most = encode, {}, most
+        self.openings = {}
         self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
 
+    def _first(self, texts: list[str]) -> list[bytes]:
+        """Ids of the stretches that begin a text, remembered apart: no space stands before them."""
+        if len(self.openings) > self.most // 8:
+            self.openings = {}
+        new = [t for t in set(texts) if t not in self.openings]
+        made = dict(zip(new, self.encode(new), strict=True))
+        self.openings.update((t, ids) for t, ids in made.items() if len(t) <= LONGEST)
+        return [made[t] if t in made else self.openings[t] for t in texts]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [stretches(t) for t in texts]
-        firsts = self.encode([c.pop(0) for c in cut])
-        if len(self.known) > REMEMBERED:
+        firsts = self._first([c.pop(0) for c in cut])
+        if len(self.known) > self.most:
             self.known = {}
         known = self.known
         new = set().union(*cut).difference(known)

@@ -47,11 +47,12 @@ def pack(values) -> tuple[bytes, bytes, bytes]:
     padded[:n][big] = np.arange(len(escapes), dtype="<u8")
     # the selector that packs the most values from each place on: the last one tried wins
     pick = np.full(n, len(COUNTS) - 1, dtype=np.int64)
-    blocked = np.concatenate([[0], np.cumsum(np.concatenate([big, np.zeros(max(COUNTS), bool)]), dtype=np.int32)])
+    free = np.concatenate([~big, np.ones(max(COUNTS), bool)])
     for s in range(len(COUNTS) - 2, 0, -1):
-        over = np.cumsum(padded >= np.uint64(1 << WIDTHS[s]), dtype=np.int32)
-        over = np.concatenate([[0], over]) + blocked
-        pick[over[COUNTS[s]:COUNTS[s] + n] == over[:n]] = s
+        fits = np.flatnonzero(free & (padded < np.uint64(1 << WIDTHS[s])))
+        last = fits[COUNTS[s] - 1:]  # the same places further on: a run has no gap between them
+        starts = fits[:len(last)][last - fits[:len(last)] == COUNTS[s] - 1]
+        pick[starts[starts < n]] = s
     pick[big] = ESCAPE
     step = (np.arange(n) + np.asarray(COUNTS)[pick]).tolist()
     starts, at = [], 0
@@ -88,6 +89,8 @@ def unpack(words: bytes, escapes: bytes, n: int):
     return out[:n]
 
 
+#: Words one worker remembers.
+REMEMBERED = 1_400_000
 #: New words encoded as one text: the library's cost per call is spread over them.
 JOINED = 100
 _SIMPLE = re.compile(r"[ \n][^\s\x00-\x20]+").fullmatch
@@ -117,7 +120,7 @@ class Library:
             flags = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
             flags[[i for t, i in self.lib.get_vocab().items() if t.startswith(spelled)]] = True
             self.begins[lead] = flags
-        self.cut = Encoder(self._encode)
+        self.cut = Encoder(self._encode, REMEMBERED)
 
     def _apart(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
