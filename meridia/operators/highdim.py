@@ -22,11 +22,11 @@ from meridia.operators.clean import impute, medians
 from meridia.operators.metrics import regression_metrics
 from meridia.operators.models import FIT_THREADS, RIDGE_ALPHAS, fold_grams, ridge_loo_errors, score_folds, train_moments
 from meridia.operators.ordered import ordered
-from meridia.operators.series import principal_axes
 from meridia.session import durable
 
 BLOCK = 256
-MAX_DENSE = 4096
+#: Columns whose mutual edges one task scans.
+RANGE = 2048
 MIN_VARIANCE = 1e-8
 
 
@@ -121,20 +121,47 @@ def base_values(stats: DataFrame) -> np.ndarray:
     return out
 
 
-def greedy_drop(edges: DataFrame) -> DataFrame:
+def greedy_drop(edges: DataFrame, width: int = RANGE) -> DataFrame:
     """Features dropped by the ordered first-keep rule, from the edges a < b.
 
-    Rounds: a feature no earlier feature points to is kept and drops all it points
-    to; their edges go; repeat on the rest.  Equal to one ordered scan.
+    Columns are taken in ranges of ``width`` in their order: one job a range, whatever the
+    edges look like.  Its tasks leave out edges from dropped columns and reduce those from
+    earlier survivors to the columns they drop; one task then scans the edges inside the
+    range, width**2 / 2 at most.  A dropped column is one number on the driver.
     """
-    live = durable(edges.select("a", "b"), "edges")
-    gone = live.select("b").limit(0)
-    while not live.isEmpty():
-        heads = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        out = durable(live.join(heads, "a", "left_semi").select("b").distinct(), "dropped")
-        gone = gone.unionByName(out)
-        live = durable(live.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti"), "edges")
-    return gone.withColumnRenamed("b", "idx")
+    spark = edges.sparkSession
+    at = F.floor(F.col("b") / width).cast("int").alias("r")
+    live = durable(edges.select("a", "b", at).repartitionByRange("r").sortWithinPartitions("r"), "edges")
+    dropped = np.zeros(0, np.int64)
+    for r in sorted(row["r"] for row in live.select("r").distinct().collect()):
+        gone, first = dropped, r * width
+
+        def reduce_task(batches: Iterator[pd.DataFrame], gone=gone, first=first) -> Iterator[pd.DataFrame]:
+            hit: set[int] = set()
+            for pdf in batches:
+                some = pdf[~np.isin(pdf["a"].to_numpy(), gone)]
+                inside = some["a"].to_numpy() >= first
+                hit.update(some["b"].to_numpy()[~inside].tolist())
+                yield some[inside][["a", "b"]]
+            yield pd.DataFrame({"a": np.full(len(hit), -1, np.int64), "b": np.fromiter(hit, np.int64, len(hit))})
+
+        def scan(batches: Iterator[pd.DataFrame], first=first) -> Iterator[pd.DataFrame]:
+            parts = [pdf.to_numpy(np.int64) for pdf in batches if len(pdf)]
+            pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+            out = np.zeros(width, bool)
+            out[pairs[pairs[:, 0] < 0, 1] - first] = True
+            inside = pairs[pairs[:, 0] >= 0]
+            inside = inside[np.argsort(inside[:, 0], kind="stable")] - first
+            starts = np.flatnonzero(np.diff(inside[:, 0], prepend=-1))
+            for rows in np.split(inside, starts[1:]) if len(inside) else []:
+                if not out[rows[0, 0]]:
+                    out[rows[:, 1]] = True
+            yield pd.DataFrame({"idx": np.flatnonzero(out) + first})
+
+        pairs = live.where(F.col("r") == r).select("a", "b").mapInPandas(reduce_task, "a bigint, b bigint")
+        found = pairs.repartition(1).mapInPandas(scan, "idx bigint").collect()
+        dropped = np.concatenate([dropped, np.array([row["idx"] for row in found], np.int64)])
+    return spark.createDataFrame([(int(i),) for i in dropped], "idx bigint")
 
 
 def correlation_prune(cells: DataFrame, threshold: float = 0.95, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -188,10 +215,8 @@ def fit_reduction(
     lean = stats.join(gone, "idx", "left_anti")
     keep = np.array(sorted(row["idx"] for row in lean.select("idx").collect()))
     p = len(keep)
-    if p > MAX_DENSE and n > MAX_DENSE:
-        raise ValueError(f"{p} features and {n} subjects: prune further before taking components")
     k = int(min(k, n, p))
-    loadings, share = _primal(products, keep, n, base, k) if p <= MAX_DENSE else _dual(kept, lean, n, k)
+    loadings, share = components(products, keep, n, base, k)
     params = durable(lean.join(loadings, "idx").select("analyte", "median", "sd", "base", "loading"), "params")
     zero = params.select([F.sum(F.col("base") * F.col("loading")[i]) for i in range(k)]).first()
     trace = {
@@ -202,54 +227,98 @@ def fit_reduction(
     return Reducer(params.drop("base"), np.array([float(v) for v in zero]), trace, share)
 
 
-def _primal(products: DataFrame, keep: np.ndarray, n: int, base: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Components of at most MAX_DENSE features: only their entries of the block matrices are kept."""
-    sub = np.zeros((len(keep), len(keep)))
-    for row in products.toLocalIterator():
-        m = np.asarray(row["v"]).reshape(BLOCK, BLOCK)
-        at1, at2 = np.flatnonzero(keep // BLOCK == row["b1"]), np.flatnonzero(keep // BLOCK == row["b2"])
-        part = m[np.ix_(keep[at1] % BLOCK, keep[at2] % BLOCK)]
-        sub[np.ix_(at1, at2)] = part
-        sub[np.ix_(at2, at1)] = part.T
-    b = base[keep]
-    axes, share = principal_axes(sub / n - np.outer(b, b), k)
-    rows = [(int(i), [float(v) for v in axes[:, pos]]) for pos, i in enumerate(keep)]
-    return products.sparkSession.createDataFrame(rows, "idx bigint, loading array<double>"), share
-
+def panel_product(products: DataFrame, panel: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The symmetric matrix of :func:`block_products` times a thin panel (features x columns): one aggregate.
 
-def _dual(cells: DataFrame, lean: DataFrame, n: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Few subjects, many features: components from the n x n products, features as rows."""
-    ids = ordered(cells.select("subject_id").distinct(), [], ["subject_id"], pos="s")
-    d = cells.where(F.col("value").isNotNull()).join(lean, "analyte").join(ids, "subject_id").groupBy("idx", "base").agg(
-        F.collect_list(F.struct("s", ((F.col("value") - F.col("median")) / F.col("sd")).alias("d"))).alias("c")
-    ).select("idx", "base", F.col("c.s").alias("s"), F.col("c.d").alias("d"))
+    Every task adds its blocks to the rows of the result they touch; rows are merged per block.
+    """
+    width = panel.shape[1]
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            z = np.repeat(pdf["base"].to_numpy(float)[:, None], n, axis=1)
-            if not len(pdf):
-                continue
-            rows = np.repeat(np.arange(len(pdf)), [len(c) for c in pdf["s"]])
-            np.add.at(z, (rows, np.concatenate(list(pdf["s"])) - 1), np.concatenate(list(pdf["d"])))
-            yield pd.DataFrame({"idx": pdf["idx"], "z": list(z)})
-
-    rows = durable(d.mapInPandas(dense, "idx bigint, z array<double>"), "dual")
-    total = np.zeros((n, n))
-    for row in G.summed(rows.withColumn("__c", F.lit(0)), ["__c"], lambda z: (z.T @ z).ravel()).toLocalIterator():
-        total += np.asarray(row["v"]).reshape(n, n)
-    lam, vec = np.linalg.eigh(total)
-    order = np.argsort(lam)[::-1][:k]
-    lam, u = np.clip(lam[order], 1e-300, None), vec[:, order]
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            v = np.stack(pdf["z"].to_numpy()) @ u / np.sqrt(lam)
-            yield pd.DataFrame({"idx": pdf["idx"], "loading": list(v)})
+            for b1, b2, v in zip(pdf["b1"], pdf["b2"], pdf["v"], strict=True):
+                m = np.asarray(v).reshape(block, block)
+                for to, part, at in ((b1, m, b2), (b2, m.T, b1))[: 1 if b1 == b2 else 2]:
+                    rows = panel[at * block:(at + 1) * block]
+                    sums[to] = sums.get(to, 0.0) + part[:, : len(rows)] @ rows
+        if sums:
+            yield pd.DataFrame({"b": list(sums), "v": [s.ravel() for s in sums.values()]})
+
+    parts = products.mapInPandas(local, "b int, v array<double>").repartition("b")
+    out = np.zeros_like(panel)
+    for row in parts.mapInPandas(lambda it: G._merge(it, ["b"]), "b int, v array<double>").toLocalIterator():
+        rows = np.asarray(row["v"]).reshape(block, width)
+        at = row["b"] * block
+        out[at:at + block] += rows[: len(out) - at]
+    return out
+
+
+def _orthonormal(fresh: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Columns that extend an orthonormal basis; what the basis already spans is left out."""
+    for _ in range(2):
+        fresh = fresh - basis @ (basis.T @ fresh)
+        norms = np.linalg.norm(fresh, axis=0)
+        fresh = fresh[:, norms > 1e-10] / norms[norms > 1e-10]
+        u, size, _ = np.linalg.svd(fresh, full_matrices=False)
+        fresh = u[:, size > 1e-8]
+    return fresh
+
+
+def leading_axes(times, p: int, k: int, extra: int = 8, widest: int = 12, tol: float = 1e-9, most: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(axes as rows, eigenvalues) of the k largest of a symmetric matrix known by its product with a panel.
+
+    Block subspace iteration that keeps what it has seen: the residuals of the best
+    approximations extend an orthonormal basis, whose small projected matrix gives the next
+    approximations.  A basis of ``widest`` blocks is cut back to the best two.  Raises if
+    the residuals are not below ``tol`` of the largest eigenvalue after ``most`` products.
+    """
+    size = min(p, k + extra)
+    basis = _orthonormal(np.random.default_rng(0).normal(size=(p, size)), np.zeros((p, 0)))
+    image = times(basis)
+    for _ in range(most):
+        small = basis.T @ image
+        lam, vec = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(lam)[::-1]
+        top, weights = lam[best[:size]], vec[:, best[:size]]
+        residual = image @ weights - (basis @ weights) * top
+        open_ = np.linalg.norm(residual, axis=0) > tol * max(abs(top[0]), 1e-300)
+        if not open_[:k].any():
+            break
+        if basis.shape[1] + size > widest * size:
+            keep = vec[:, best[: 2 * size]]
+            basis, image = basis @ keep, image @ keep
+        fresh = _orthonormal(residual[:, open_], basis)
+        if not fresh.shape[1]:
+            break
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, times(fresh)])
+    else:
+        raise ValueError(f"components not found within {most} products")
+    axes = (basis @ weights[:, :k]).T
+    flip = np.sign(axes[np.arange(k), np.argmax(np.abs(axes), axis=1)])
+    return axes * flip[:, None], top[:k]
+
+
+def components(products: DataFrame, keep: np.ndarray, n: int, base: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Loadings (idx, loading) of the first k components of the kept features, and their shares of the variance.
+
+    The driver holds panels of p x k numbers; the p x p products stay in their blocks.
+    """
+    b = base[keep]
 
-    got = durable(rows.mapInPandas(load, "idx bigint, loading array<double>"), "loadings")
-    top = got.agg(*[F.max_by(F.col("loading")[i], F.abs(F.col("loading")[i])).alias(str(i)) for i in range(k)]).first()
-    signs = F.array(*[F.lit(1.0 if v >= 0 else -1.0) for v in top])
-    return got.withColumn("loading", F.zip_with("loading", signs, lambda a, b: a * b)), lam / np.trace(total)
+    def times(panel: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(base), panel.shape[1]))
+        wide[keep] = panel
+        return panel_product(products, wide)[keep] / n - np.outer(b, b @ panel)
+
+    axes, lam = leading_axes(times, len(keep), k)
+    at = F.expr(f"transform(sequence(0, {BLOCK - 1}), i -> v[i * {BLOCK} + i])")
+    diagonal = products.where("b1 = b2").select("b1", F.posexplode(at).alias("i", "d")).select(
+        (F.col("b1") * BLOCK + F.col("i")).cast("bigint").alias("idx"), "d")
+    kept = products.sparkSession.createDataFrame(
+        [(int(i), [float(v) for v in axes[:, pos]]) for pos, i in enumerate(keep)], "idx bigint, loading array<double>")
+    trace = diagonal.join(kept.select("idx"), "idx").agg(F.sum("d")).first()[0] / n - b @ b
+    return kept, np.clip(lam, 0, None) / max(trace, 1e-300)
 
 
 @dataclass

@@ -238,12 +238,35 @@ def reduced(x):
     return z[:, alive], [keep[i] for i in np.flatnonzero(alive)]
 
 
-@pytest.mark.parametrize("dense", [4096, 12])
-def test_reduction_matches_numpy(spark, monkeypatch, dense):
-    """Both the feature-side and the subject-side route to the components (12 subjects, more features)."""
-    monkeypatch.setattr(H, "MAX_DENSE", dense)
+def test_leading_axes_equal_a_full_decomposition():
+    rng = np.random.default_rng(12)
+    for p, k, spectrum in ((70, 10, np.ones(70)), (400, 12, np.linspace(1.0, 0.5, 400)), (300, 5, 0.97 ** np.arange(300)), (40, 4, [5, 5, 5, 1] + [0] * 36), (3, 3, [3, 2, 1])):
+        q, _ = np.linalg.qr(rng.normal(size=(p, p)))
+        noise = rng.normal(size=(p, p)) * 1e-3
+        a = q @ np.diag(spectrum) @ q.T + noise + noise.T
+        lam, vec = np.linalg.eigh(a)
+        axes, got = H.leading_axes(lambda panel, a=a: a @ panel, p, k)
+        np.testing.assert_allclose(got, lam[::-1][:k], rtol=1e-9)
+        np.testing.assert_allclose(np.abs(np.sum(axes * vec[:, ::-1][:, :k].T, axis=1)), 1, atol=1e-6)
+    with pytest.raises(ValueError, match="not found"):
+        H.leading_axes(lambda panel: a @ panel, 3, 1, extra=0, tol=-1, most=0)
+
+
+def test_panel_product_over_many_blocks(spark):
+    rng = np.random.default_rng(13)
+    m = rng.normal(size=(21, 21))
+    m, panel, wide_m = m + m.T, rng.normal(size=(21, 3)), np.zeros((24, 24))
+    wide_m[:21, :21] = m
+    rows = [(i, j, [float(v) for v in wide_m[8 * i:8 * i + 8, 8 * j:8 * j + 8].ravel()]) for i in range(3) for j in range(i, 3)]
+    blocks = spark.createDataFrame(rows, "b1 int, b2 int, v array<double>").repartition(4)
+    np.testing.assert_allclose(H.panel_product(blocks, panel, 8), m @ panel, atol=1e-12)
+
+
+@pytest.mark.parametrize("subjects", [24, 12])
+def test_reduction_matches_numpy(spark, subjects):
+    """More subjects than components need, and fewer subjects than features."""
     x, cells, _ = wide(spark)
-    x, cells = x[:12], cells.where("subject_id < 12")
+    x, cells = x[:subjects], cells.where(f"subject_id < {subjects}")
     got = H.fit_reduction(cells, k=4)
     z, kept = reduced(x)
     assert len(kept) > 12
@@ -274,8 +297,15 @@ def test_greedy_drop_is_the_ordered_scan(spark):
             for a, b in pairs:
                 if a == i:
                     alive[b] = False
-    got = {r["idx"] for r in H.greedy_drop(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert got == set(np.flatnonzero(~alive).tolist())
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(3)
+    for width in (H.RANGE, 7):
+        assert {r["idx"] for r in H.greedy_drop(df, width).collect()} == set(np.flatnonzero(~alive).tolist())
+    assert H.greedy_drop(df.limit(0)).isEmpty()
+
+
+def test_greedy_drop_of_a_chain_takes_a_job_a_range(spark):
+    chain = spark.range(4999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted(r["idx"] for r in H.greedy_drop(chain).collect()) == list(range(1, 5000, 2))
 
 
 def test_reduction_ignores_held_out_rows(spark):
