@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -40,38 +39,56 @@ def tree_tables(model, spark) -> list[dict]:
     return out
 
 
-def _expected(tree: dict, x: np.ndarray, known: frozenset, node: int = 0) -> np.ndarray:
-    """Tree output with the known features followed and the others averaged by training cover."""
-    f = tree["feature"][node]
-    if f < 0:
-        return np.full(len(x), tree["value"][node])
-    lo, hi = tree["left"][node], tree["right"][node]
-    a, b = _expected(tree, x, known, lo), _expected(tree, x, known, hi)
-    if f in known:
-        return np.where(x[:, f] <= tree["cut"][node], a, b)
-    return (a * tree["cover"][lo] + b * tree["cover"][hi]) / tree["cover"][node]
+def leaf_paths(tree: dict) -> list[tuple]:
+    """Per leaf: value, the features split on above it, each one's share of cover, and the interval (low, high] leading there."""
+    out = []
+
+    def walk(node: int, held: dict[int, tuple[float, float, float]]) -> None:
+        f = tree["feature"][node]
+        if f < 0:
+            parts = np.array([held[u] for u in held]).reshape(-1, 3).T
+            out.append((tree["value"][node], list(held), *parts))
+            return
+        share, low, high = held.get(f, (1.0, -np.inf, np.inf))
+        for child, bounds in ((tree["left"][node], (low, min(high, tree["cut"][node]))), (tree["right"][node], (max(low, tree["cut"][node]), high))):
+            walk(child, {**held, f: (share * tree["cover"][child] / tree["cover"][node], *bounds)})
+
+    walk(0, {})
+    return out
 
 
 def shapley_of_tree(tree: dict, x: np.ndarray, out: np.ndarray) -> float:
     """Adds the exact path-dependent Shapley values of one tree to ``out``; returns the tree's base value.
 
-    Enumerates subsets of the tree's own split features: depth 3 has at most seven.
+    A leaf counts with the product over its features of an indicator (the row lies in the
+    feature's interval) where the feature is known, of the share of cover where it is not.
+    The sums over subsets of equal size are the coefficients of the product of
+    (share + indicator * t); a feature's own factor is divided out again.  The work is
+    leaves x depth**2 a row, not subsets of the tree's features.
     """
-    used = sorted({f for f in tree["feature"] if f >= 0})
-    m = len(used)
-    worth = {s: _expected(tree, x, s) for k in range(m + 1) for s in map(frozenset, combinations(used, k))}
-    for f in used:
-        rest = [u for u in used if u != f]
-        for k in range(m):
-            share = factorial(k) * factorial(m - k - 1) / factorial(m)
-            for s in map(frozenset, combinations(rest, k)):
-                out[:, f] += tree["weight"] * share * (worth[s | {f}] - worth[s])
-    return tree["weight"] * float(worth[frozenset()][0]) if len(x) else 0.0
+    base = 0.0
+    for value, features, share, low, high in tree.get("paths") or leaf_paths(tree):
+        base += value * float(np.prod(share))
+        d = len(features)
+        inside = np.array([~(x[:, f] <= low[j]) & ((x[:, f] <= high[j]) | (high[j] == np.inf)) for j, f in enumerate(features)], float)
+        product = np.zeros((d + 1, len(x)))
+        product[0] = 1.0
+        for j in range(d):
+            product[1:j + 2] = product[1:j + 2] * share[j] + product[:j + 1] * inside[j]
+            product[0] *= share[j]
+        weight = [factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)]
+        for j, f in enumerate(features):
+            known, total = product[d], np.zeros(len(x))
+            for k in reversed(range(d)):
+                total += weight[k] * np.where(inside[j] > 0, known, product[k] / share[j])
+                known = product[k] - share[j] * known
+            out[:, f] += tree["weight"] * value * (inside[j] - share[j]) * total
+    return tree["weight"] * base if len(x) else 0.0
 
 
 def tree_attribution(model, df: DataFrame, key: str, x: str) -> DataFrame:
     """key, base, prediction, phi (array): base + sum(phi) = prediction for every row."""
-    trees = tree_tables(model, df.sparkSession)
+    trees = [{**t, "paths": leaf_paths(t)} for t in tree_tables(model, df.sparkSession)]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

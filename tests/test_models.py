@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -437,6 +438,76 @@ def test_attribution_adds_up(spark):
     assert curve["effect"].iloc[-1] - curve["effect"].iloc[0] > 8 and curve["n"].sum() == 360
 
 
+def by_enumeration(tree, x, features):
+    """Shapley values of one tree and row by all subsets of its features."""
+    def worth(known, node=0):
+        f = tree["feature"][node]
+        if f < 0:
+            return tree["value"][node]
+        lo, hi = tree["left"][node], tree["right"][node]
+        if f in known:
+            return worth(known, lo if x[f] <= tree["cut"][node] else hi)
+        return (worth(known, lo) * tree["cover"][lo] + worth(known, hi) * tree["cover"][hi]) / tree["cover"][node]
+
+    used = sorted({f for f in tree["feature"] if f >= 0})
+    phi = np.zeros(features)
+    for f in used:
+        rest = [u for u in used if u != f]
+        for size in range(len(used)):
+            for s in itertools.combinations(rest, size):
+                w = math.factorial(size) * math.factorial(len(used) - size - 1) / math.factorial(len(used))
+                phi[f] += w * (worth({*s, f}) - worth(set(s)))
+    return tree["weight"] * phi, tree["weight"] * worth(set())
+
+
+def random_tree(rng, depth, features):
+    tree = {k: [] for k in ("feature", "cut", "left", "right", "value", "cover")} | {"weight": 0.7}
+
+    def grow(d, cover):
+        at = len(tree["feature"])
+        for k in ("feature", "cut", "left", "right", "value"):
+            tree[k].append(-1 if k == "feature" else 0)
+        tree["cover"].append(cover)
+        tree["value"][at] = float(rng.normal())
+        if d and cover > 1:
+            part = int(rng.integers(1, cover))
+            tree["feature"][at], tree["cut"][at] = int(rng.integers(features)), float(rng.normal())
+            tree["left"][at] = grow(d - 1, part)
+            tree["right"][at] = grow(d - 1, cover - part)
+        return at
+
+    grow(depth, 500)
+    return tree
+
+
+def test_attribution_by_paths_equals_enumeration():
+    """Trees that split on one feature again and again, rows on the cuts and beyond them, missing values."""
+    rng = np.random.default_rng(31)
+    for depth, features in ((3, 4), (4, 3), (5, 8), (1, 2), (0, 2)):
+        tree = random_tree(rng, depth, features)
+        x = rng.normal(size=(12, features))
+        x[0, 0] = np.nan
+        if tree["feature"][0] >= 0:
+            x[1, tree["feature"][0]] = tree["cut"][0]
+        got = np.zeros_like(x)
+        base = X.shapley_of_tree(tree, x, got)
+        for i, row in enumerate(x):
+            phi, expected = by_enumeration(tree, row, features)
+            np.testing.assert_allclose(got[i], phi, atol=1e-10)
+            assert base == pytest.approx(expected)
+
+
+def test_attribution_of_deep_trees(spark):
+    """Depth 6 over 40 features: the values still add up to the model's own predictions."""
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(500, 40))
+    df = durable(spark.createDataFrame(pd.DataFrame({"key": np.arange(500), "x": list(x), "y": np.sin(3 * x[:, :8]).sum(axis=1)})))
+    model = X.fit_boosted(df, "x", "y", maxIter=3, maxDepth=6)
+    rows = X.tree_attribution(model, df, "key", "x")
+    want = model.transform(M.with_features(df, "x")).select("key", F.col("prediction").alias("p"))
+    assert rows.join(want, "key").agg(F.max(F.abs(F.col("prediction") - F.col("p")))).first()[0] < 1e-9
+
+
 def test_ale_of_a_rare_valued_feature(spark):
     """Fewer than three quantile edges: every distinct value becomes an edge."""
     x0 = np.r_[np.zeros(190), np.linspace(1, 2, 10)]
