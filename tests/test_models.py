@@ -172,11 +172,17 @@ def test_bootstrap_brackets_the_point(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": y, "p": y + 0.3 * rng.normal(size=200)}))
     for row in S.intervals(S.bootstrap_regression(df, "y", "p", reps=300)).collect():
         assert row["lo"] <= row["point"] <= row["hi"]
-    b = np.r_[np.zeros(50, int), np.ones(50, int)]
-    s = np.r_[rng.normal(0, 1, 50), rng.normal(3, 1, 50)]
-    got = {r["metric"]: r for r in S.intervals(S.bootstrap_classification(spark.createDataFrame(pd.DataFrame({"y": b, "p": s})), "y", "p", reps=200)).collect()}
-    wins = np.mean([(u > v) for u in s[b == 1] for v in s[b == 0]])
-    assert got["AUROC"]["point"] == pytest.approx(wins) and got["AUROC"]["lo"] > 0.8
+    # scores on a coarse grid, so that ties count by half; three of seven rows are cases
+    case = np.arange(140) % 7 < 3
+    score = np.round(rng.uniform(size=140) ** np.where(case, 0.5, 2.0), 1)
+    rows = spark.createDataFrame(pd.DataFrame({"y": case.astype(int), "p": score}))
+    got = {r["metric"]: r for r in S.intervals(S.bootstrap_classification(rows, "y", "p", reps=150)).collect()}
+    gaps = score[case][:, None] - score[~case][None, :]
+    area = (np.sum(gaps > 0) + np.sum(gaps == 0) / 2) / gaps.size
+    assert got["AUROC"]["point"] == pytest.approx(area) and got["AUROC"]["lo"] < area < got["AUROC"]["hi"]
+    # the percentile interval is about as wide as the usual standard error of the area says
+    spread = np.sqrt((np.var(np.mean(np.sign(gaps) / 2, axis=1), ddof=1) / case.sum()) + (np.var(np.mean(np.sign(gaps) / 2, axis=0), ddof=1) / (~case).sum()))
+    assert got["AUROC"]["hi"] - got["AUROC"]["lo"] == pytest.approx(2 * 1.96 * spread, rel=0.35)
 
 
 def test_poisson_weights_have_unit_mean_and_variance():
@@ -196,11 +202,16 @@ def test_mean_baseline_and_nested(spark, data):
 
 
 def test_calibration(spark):
-    df = spark.createDataFrame([(1, 1.0), (1, 1.0), (0, 0.0), (0, 0.0)], "y int, p double")
-    assert B.brier_score(df, "y", "p").first()[0] == 0 and B.expected_calibration_error(df, "y", "p").first()[0] == 0
-    bad = spark.createDataFrame([(0, 0.9), (1, 0.1)], "y int, p double")
-    assert B.expected_calibration_error(bad, "y", "p").first()[0] > 0.5
-    assert B.regression_bins(spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "y double, p double"), "y", "p").first()["n"] == 2
+    rng = np.random.default_rng(17)
+    p = np.round(rng.uniform(0.02, 0.98, 300), 3)
+    y = (rng.uniform(size=300) < p ** 2).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "p": p}))
+    assert B.brier_score(df, "y", "p").first()[0] == pytest.approx(np.mean((y - p) ** 2))
+    box = np.minimum((p * 10).astype(int), 9)
+    error = sum((box == k).sum() * abs(p[box == k].mean() - y[box == k].mean()) for k in set(box)) / 300
+    assert B.expected_calibration_error(df, "y", "p").first()[0] == pytest.approx(error)
+    tied = spark.createDataFrame([(4.5, 1.25)] * 3 + [(0.5, 1.25)], "y double, p double")
+    assert B.regression_bins(tied, "y", "p").first()["n"] == 4
 
 
 def test_consensus_finds_the_signal(data):
