@@ -7,6 +7,7 @@ import secrets
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -225,88 +226,141 @@ def _newton_sums(z: np.ndarray, coef: np.ndarray) -> np.ndarray:
     return np.concatenate([a.T @ (p - y), ((a * (p * (1 - p))[:, None]).T @ a).ravel()])
 
 
+def _newton_step(coef: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The step from gradient and Hessian sums; the intercept is not penalized."""
+    p = len(coef)
+    penalty = np.eye(p)
+    penalty[0, 0] = 0.0
+    return np.linalg.lstsq(sums[p:].reshape(p, p) + penalty, sums[:p] + penalty @ coef, rcond=None)[0]
+
+
+def site_logistic(z: np.ndarray, max_iter: int = 30, tol: float = 1e-8) -> np.ndarray:
+    """Penalized logistic coefficients of the rows z = [1, x..., y] of one site."""
+    coef = np.zeros(z.shape[1] - 1)
+    for _ in range(max_iter):
+        move = _newton_step(coef, _newton_sums(z, coef))
+        coef = coef - move
+        if np.max(np.abs(move)) < tol:
+            break
+    return coef
+
+
+def ridge_of_sums(m: np.ndarray) -> np.ndarray:
+    """Ridge (penalty 1, free intercept) from the cross products of rows z = [1, x..., y]."""
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    cov = m[1:, 1:] - n * np.outer(mean, mean)
+    b = np.linalg.solve(cov[:-1, :-1] + np.eye(len(mean) - 1), cov[:-1, -1])
+    return np.concatenate([[mean[-1] - mean[:-1] @ b], b])
+
+
 def fit_sites(rows: DataFrame, site: str, p: int, *, max_iter: int = 30, tol: float = 1e-8) -> tuple[dict, np.ndarray]:
-    """Penalized logistic coefficients per site, and of all rows together.
+    """Penalized logistic coefficients per site, and of all rows together, for sites too large for a task.
 
     Newton steps: one pass sums gradient and Hessian per site over all tasks, so a
     large site is never gathered in one place.  ``rows`` holds site + z = [1, x, y].
     """
-    penalty = np.eye(p + 1)
-    penalty[0, 0] = 0.0
     coefs: dict = {}
     pooled = np.zeros(p + 1)
+    half = (p + 1) * (p + 2)
     for _ in range(max_iter):
         local, joint = dict(coefs), pooled.copy()
 
         def sums(z: np.ndarray, key: tuple) -> np.ndarray:
-            return np.concatenate([_newton_sums(z, local.get(key[0], np.zeros(p + 1))), _newton_sums(z, joint)])
+            own = None if pd.isna(key[0]) else key[0]  # the NULL site
+            return np.concatenate([_newton_sums(z, local.get(own, np.zeros(p + 1))), _newton_sums(z, joint)])
 
         got: dict = {}
-        for row in G.summed(rows, [site], sums, keyed=True).collect():  # sites x p^2 sums
-            v = np.asarray(row["v"])
-            got[row[0]] = got.get(row[0], 0.0) + v
-        half = (p + 1) * (p + 2)
+        for row in G.summed(rows, [site], sums, keyed=True).collect():  # large sites x p^2 sums
+            got[row[0]] = got.get(row[0], 0.0) + np.asarray(row["v"])
         moved = 0.0
-
-        def step(coef: np.ndarray, v: np.ndarray) -> np.ndarray:
-            grad = v[: p + 1] + penalty @ coef
-            hess = v[p + 1:].reshape(p + 1, p + 1) + penalty
-            return np.linalg.lstsq(hess, grad, rcond=None)[0]
-
         for s, v in got.items():
             now = coefs.get(s, np.zeros(p + 1))
-            move = step(now, v[:half])
+            move = _newton_step(now, v[:half])
             coefs[s] = now - move
             moved = max(moved, float(np.max(np.abs(move))))
-        move = step(pooled, sum(v[half:] for v in got.values()))
+        move = _newton_step(pooled, sum(v[half:] for v in got.values()))
         pooled = pooled - move
         if max(moved, float(np.max(np.abs(move)))) < tol:
             break
     return coefs, pooled
 
 
+#: Rows of a site that one task fits on its own.
+SITE_ROWS = 100_000
+
+
+def site_models(rows: DataFrame, p: int, task: str, most: int = SITE_ROWS) -> DataFrame:
+    """site, n, coef: the local model of every site of ``rows`` (site, z = [1, x, y]); coef is NULL with one class only.
+
+    A site of at most ``most`` rows is fitted inside one task.  A larger one is summed
+    over all tasks; there are at most rows / ``most`` of these.
+    """
+    kind = dict(rows.dtypes)["site"]
+    out = f"site {kind}, n bigint, coef array<double>"
+    label = F.element_at("z", -1)
+    sizes = durable(rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("y0"), F.max(label).alias("y1")), "sizes")
+    one_class = (F.col("y0") == F.col("y1")) if task == "classification" else F.lit(False)
+    fitted = sizes.where(~one_class)
+
+    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(pdf["z"].to_numpy()).astype(float)
+        coef = site_logistic(z) if task == "classification" else ridge_of_sums(z.T @ z)
+        return pd.DataFrame({"site": [key[0]], "n": [len(z)], "coef": [coef]})
+
+    mine = rows.alias("r").join(fitted.where(F.col("n") <= most).select("site").alias("s"), F.expr("r.site <=> s.site"), "left_semi")
+    small = mine.groupBy("site").applyInPandas(local, out)
+    none = sizes.where(one_class).select("site", "n", F.lit(None).cast("array<double>").alias("coef"))
+    big = fitted.where(F.col("n") > most).select("site", "n")
+    if big.isEmpty():
+        return small.unionByName(none)
+    large = durable(rows.alias("r").join(big.alias("s"), F.expr("r.site <=> s.site"), "left_semi"), "large")
+    if task == "classification":
+        coefs, _ = fit_sites(large, "site", p)
+    else:
+        sums: dict = {}
+        for row in G.summed(large, ["site"], lambda z: (z.T @ z).ravel()).toLocalIterator():
+            sums[row[0]] = sums.get(row[0], 0.0) + np.asarray(row["v"]).reshape(p + 2, p + 2)
+        coefs = {s: ridge_of_sums(m) for s, m in sums.items()}
+    table = rows.sparkSession.createDataFrame([(s, [float(v) for v in c]) for s, c in coefs.items()], f"l_site {kind}, coef array<double>")
+    found = big.join(table, big["site"].eqNullSafe(table["l_site"])).select("site", "n", "coef")
+    return small.unionByName(none).unionByName(found)
+
+
 def site_partitioned_fit(df: DataFrame, key: str, site: str, x: str, y: str, rounds: int = 5, test_share: float = 0.3,
-                         task: str = "classification", seed: int = 0) -> DataFrame:
+                         task: str = "classification", seed: int = 0, most: int = SITE_ROWS) -> DataFrame:
     """round, score, central_score, gap: size-weighted averaging of site models against one central fit.
 
     Same split and train-only scaling for both.  A site with one class sends the
     global parameters back.  The local optimum does not depend on the starting
-    point, so it is found once and every round only averages.
+    point, so it is found once and every round only averages.  Of the sites the driver
+    sees one weighted sum of parameters.
     """
     held = (uniform(key, seed=seed) < test_share).cast("int")
     rows = durable(df.select(F.col(site).alias("site"), held.alias("held"), F.transform(F.col(x), lambda v: v.cast("double")).alias("x"),
                              F.col(y).cast("double").alias("y")), "sites")
-    g = G.grams(G.design(rows, F.col("x"), [F.col("y")], ["held", "site"]), ["held", "site"], 1)
-    train = {c[1]: m for c, m in g.cells.items() if c[0] == 0}
-    mo = G.moments(sum(train.values()), g.p, g.centre)
+    g = G.grams(G.design(rows, F.col("x"), [F.col("y")], ["held"]), ["held"], 1)
+    mo = G.moments(g.cells[0], g.p, g.centre)
     mean, sd, p = mo.mean[: mo.p], mo.sd, mo.p
     centre, scale = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, sd))
     scaled = F.zip_with(F.zip_with("x", centre, lambda a, b: a - b), scale, lambda a, b: a / b)
-    fit_rows = rows.where("held = 0").select("site", F.concat(F.array(F.lit(1.0)), scaled, F.array("y")).alias("z"))
-    sizes = {s: m[0, 0] for s, m in train.items()}
-    ones = {s: m[0, g.p + 1] + g.centre[g.p + 1] * m[0, 0] for s, m in train.items()}
+    fit_rows = durable(rows.where("held = 0").select("site", F.concat(F.array(F.lit(1.0)), scaled, F.array("y")).alias("z")), "fit")
+    models = durable(site_models(fit_rows, p, task, most), "models")
+    total = models.agg(F.sum("n"), F.coalesce(F.sum(F.when(F.col("coef").isNull(), F.col("n"))), F.lit(0))).first()
+    weighted = np.zeros(p + 1)
+    sums = models.where("coef IS NOT NULL").select("n", F.posexplode("coef").alias("i", "c")).groupBy("i").agg(F.sum(F.col("n") * F.col("c")).alias("s"))
+    for row in sums.collect():  # p + 1 numbers
+        weighted[row["i"]] = row["s"]
+    shared, averages = np.zeros(p + 1), []
+    for _ in range(rounds):
+        shared = (weighted + total[1] * shared) / total[0]
+        averages.append(shared)
+    whole = fit_rows.select(F.lit(0).alias("site"), "z")
     if task == "classification":
-        local, central = fit_sites(durable(fit_rows, "fit"), "site", p)
-        local = {s: c for s, c in local.items() if 1e-9 < ones[s] < sizes[s] - 1e-9}
+        _, central = fit_sites(whole, "site", p)
     else:
-        def site_ridge(m: np.ndarray) -> np.ndarray:
-            n = m[0, 0]
-            mx = (m[0, 1: p + 1] / n + g.centre[1: p + 1] - mean) / sd
-            my = m[0, p + 1] / n + g.centre[p + 1]
-            d = m[0, 1:] / n
-            cov = m[1:, 1:] / n - np.outer(d, d)
-            a = cov[:p, :p] / np.outer(sd, sd) * n + np.eye(p)
-            b = np.linalg.solve(a, cov[:p, p] / sd * n)
-            return np.concatenate([[my - mx @ b], b])
-
-        local = {s: site_ridge(m) for s, m in train.items()}
-        central = site_ridge(sum(train.values()))
-    shared, models = np.zeros(p + 1), []
-    for _ in range(rounds):
-        shared = sum(sizes[s] * local.get(s, shared) for s in sizes) / sum(sizes.values())
-        models.append(shared)
+        central = ridge_of_sums(sum(np.asarray(r["v"]) for r in G.summed(whole, ["site"], lambda z: (z.T @ z).ravel()).collect()).reshape(p + 2, p + 2))
     test = rows.where("held = 1").select(F.lit(0).alias("c"), F.concat(F.array(F.lit(1.0)), scaled, F.array("y")).alias("z"))
-    stacked = np.array([*models, central]).T
+    stacked = np.array([*averages, central]).T
 
     def judge(z: np.ndarray) -> np.ndarray:
         s, t = z[:, :-1] @ stacked, z[:, -1:]

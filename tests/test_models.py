@@ -431,6 +431,30 @@ def test_site_average_and_fit(spark):
             assert np.abs(grad).max() < 1e-5
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_site_models_inside_tasks_and_summed(spark, task):
+    """A site's model is the same whether one task fits it or all tasks sum it; one-class and NULL sites have their place."""
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.5, -1.0] + rng.normal(size=300) > 0).astype(float) if task == "classification" else x @ [2.0, 1.0] + 3 + rng.normal(size=300)
+    names = [None if i % 5 == 4 else f"s{i % 5}" for i in range(300)]
+    names = ["flat" if s == "s3" and y[i] == 1 else s for i, s in enumerate(names)]
+    rows = durable(spark.createDataFrame([(s, [1.0, *map(float, r), float(t)]) for s, r, t in zip(names, x, y)], "site string, z array<double>"))
+    one, other = ({r.site: (r.n, r.coef) for r in V.site_models(rows, 2, task, most).collect()} for most in (10**6, 50))
+    assert set(one) == set(other) == set(names)
+    for s, (n, coef) in one.items():
+        mine = np.array([t == s for t in names])
+        assert n == other[s][0] == mine.sum()
+        if task == "classification" and len(set(y[mine])) == 1:
+            assert coef is None and other[s][1] is None
+            continue
+        np.testing.assert_allclose(coef, other[s][1], atol=1e-7)
+        if task == "regression":
+            a = x[mine] - x[mine].mean(axis=0)
+            beta = np.linalg.solve(a.T @ a + np.eye(2), a.T @ (y[mine] - y[mine].mean()))
+            np.testing.assert_allclose(coef[1:], beta, atol=1e-8)
+
+
 def test_attribution_adds_up(spark):
     """A step and a slope carry the outcome; two coin flips and a copy of nothing do not."""
     rng = np.random.default_rng(21)
