@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from meridia.operators import gram as G
 from meridia.operators.clean import impute, medians
 from meridia.operators.metrics import regression_metrics
-from meridia.operators.models import FIT_THREADS, RIDGE_ALPHAS, fold_grams, ridge_loo_errors, score_folds, train_moments
+from meridia.operators.models import (
+    FIT_THREADS, RIDGE_ALPHAS, fold_grams, ridge_loo_errors, score_folds, train_moments, tree_model, with_features,
+)
 from meridia.operators.ordered import ordered
 from meridia.session import durable
 
@@ -341,7 +343,7 @@ def highdim_pipeline(cells: DataFrame, max_missing: float = 0.5, threshold: floa
 
 def highdim_cv(cells: DataFrame, labels: DataFrame, fold: str, leak: bool = False, k: int = 20,
                max_missing: float = 0.5, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold predictions, fold trace) of reduction + ridge.
+    """(out-of-fold predictions of both models, fold trace) of reduction + ridge and reduction + boosted trees.
 
     Honest: the reduction is learned per fold on its train rows; leaky: once on all
     rows.  ``labels`` holds subject_id, y and the fold column.
@@ -363,6 +365,10 @@ def highdim_cv(cells: DataFrame, labels: DataFrame, fold: str, leak: bool = Fals
         alpha = float(RIDGE_ALPHAS[int(np.argmin(errs[1]))])
         coef = {1: G.ridge(train_moments(g, 1), alpha)[:, 0]}
         part = score_folds(scored.where("held = 1"), "x", "held", coef, ["subject_id", F.col("y").alias("y_true")])
+        trees = durable(with_features(scored, "x").select("subject_id", F.col("y").cast("double").alias("label"), "features", "held"), "trees")
+        boosted = tree_model("boosted").fit(trees.where("held = 0")).transform(trees.where("held = 1")).select(
+            "subject_id", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+        part = part.withColumn("model", F.lit("ridge")).unionByName(boosted.withColumn("model", F.lit("boosted")))
         return part.withColumn("fold", F.lit(f)), (int(f), alpha, *map(float, reducer.trace.values())), list(reducer.trace)
 
     with ThreadPool(min(FIT_THREADS, len(folds))) as pool:  # folds are independent Spark jobs
@@ -373,13 +379,10 @@ def highdim_cv(cells: DataFrame, labels: DataFrame, fold: str, leak: bool = Fals
 
 
 def optimism_gap(cells: DataFrame, labels: DataFrame, fold: str, **kw) -> DataFrame:
-    """Three rows: honest, leaky, and leaky minus honest."""
-    def run(leak: bool) -> dict:
-        preds, _ = highdim_cv(cells, labels, fold, leak, **kw)
-        return regression_metrics(durable(preds, "preds"), "y_true", "y_pred").first().asDict()
-
-    with ThreadPool(2) as pool:
-        scores = dict(zip(("honest", "leaky"), pool.map(run, (False, True))))
-    gap = {k: scores["leaky"][k] - scores["honest"][k] for k in scores["honest"]}
-    rows = [(n, *[float(s[k]) for k in gap]) for n, s in (*scores.items(), ("gap", gap))]
-    return cells.sparkSession.createDataFrame(rows, "variant string, " + ", ".join(f"{k} double" for k in gap))
+    """Per model three rows: honest, leaky, and leaky minus honest."""
+    parts = [highdim_cv(cells, labels, fold, leak, **kw)[0].withColumn("variant", F.lit(name)) for name, leak in (("honest", False), ("leaky", True))]
+    scores = durable(regression_metrics(durable(parts[0].unionByName(parts[1]), "preds"), "y_true", "y_pred", ["model", "variant"]), "scores")
+    names = [c for c in scores.columns if c not in ("model", "variant")]
+    sign = F.when(F.col("variant") == "leaky", 1.0).otherwise(-1.0)
+    gap = scores.groupBy("model").agg(*[F.sum(sign * F.col(c)).alias(c) for c in names]).withColumn("variant", F.lit("gap"))
+    return scores.unionByName(gap)

@@ -220,7 +220,7 @@ def wide_labels(spark, sf):
 @add("highdim_cv")
 def _highdim_cv(spark, sf):
     preds, trace = H.highdim_cv(durable(wide_cells(spark, sf)), durable(wide_labels(spark, sf)), "fold", k=20)
-    return rounded(regression_metrics(durable(preds), "y_true", "y_pred", ["fold"]).join(trace, "fold"))
+    return rounded(regression_metrics(durable(preds), "y_true", "y_pred", ["fold", "model"]).join(trace, "fold"))
 
 
 @add("optimism_gap")

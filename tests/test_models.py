@@ -300,6 +300,27 @@ def test_block_route_equals_one_block(spark):
     np.testing.assert_allclose(one, many, atol=1e-9)
 
 
+def test_wide_cross_validation_is_a_refit_per_fold(spark):
+    x, cells, base = wide(spark)
+    y = base[:, 0] + 0.1 * np.arange(24)
+    labels = durable(spark.createDataFrame([(i, float(y[i]), i % 2) for i in range(24)], "subject_id long, y double, fold int"))
+    preds, trace = H.highdim_cv(durable(cells), labels, "fold", k=3)
+    got = {(r.model, r.subject_id): r.y_pred for r in preds.collect()}
+    assert len(got) == 48 and {m for m, _ in got} == {"ridge", "boosted"}
+    alphas = {r.fold: r.alpha for r in trace.collect()}
+    for f in (0, 1):
+        fitted = H.fit_reduction(cells.where(f"subject_id % 2 <> {f}"), k=3)
+        z = fitted.apply(cells).toPandas().sort_values("subject_id")[[f"omics_pc{i}" for i in range(3)]].to_numpy()
+        train = np.arange(24) % 2 != f
+        mean, sd = z[train].mean(axis=0), z[train].std(axis=0)
+        s = (z - mean) / sd
+        beta = np.linalg.solve(s[train].T @ s[train] + alphas[f] * np.eye(3), s[train].T @ (y[train] - y[train].mean()))
+        for i in np.flatnonzero(~train):
+            assert got["ridge", i] == pytest.approx(y[train].mean() + s[i] @ beta, abs=1e-6)
+            reach = np.ptp(y[train]) / 4  # the trees' sum may leave the range of the train labels a little
+            assert y[train].min() - reach <= got["boosted", i] <= y[train].max() + reach
+
+
 def test_greedy_drop_is_the_ordered_scan(spark):
     rng = np.random.default_rng(9)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 25, (60, 2)) if a < b})
