@@ -38,6 +38,14 @@ class Stages:
         self.paths = []
 
 
+def sweep(spark: SparkSession) -> None:
+    """Free the disk of finished work: Spark deletes shuffle files once a collection of the driver's heap finds them unused."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

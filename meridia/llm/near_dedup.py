@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import Stages, map_slices
+from meridia.llm.common import Stages, map_slices, sweep
 from meridia.llm.graph import components
 from meridia.session import durable
 
@@ -297,9 +297,11 @@ def near_duplicates(
     survivors = store(_screened(pairs, nodes, bounds, low), "survivors")
     crowded = members.where("size > 2")
     wanted = reduce(DataFrame.unionByName, [survivors.select(F.col("a").alias("node")), survivors.select(F.col("b").alias("node")), crowded.select("node")])
+    sweep(docs.sparkSession)
     sets = _sets(wanted.distinct(), nodes, base, shingle, store)
     links = _verified(survivors, sets, num, den, store)
     roots = store(components(links, store), "roots")
+    sweep(docs.sparkSession)
     placed = crowded.join(roots, "node", "left").select("band", "size", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
     ways = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
@@ -315,6 +317,7 @@ def near_duplicates(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = durable(rooted.join(named, "root").select("node", "component_id"), "components")
+    sweep(docs.sparkSession)
     stages.drop()  # what is left to read are the sketches and these
     out = sketches.select("doc_id", "row", "n", "node").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
