@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
+from meridia.llm.common import sweep
 from meridia.session import durable, ship
 
 
@@ -34,6 +35,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (NULL being empty) the one with the largest doc_id, NULL the smallest; one row of rows repeated under an id."""
     ship(spark)
+    sweep(spark)
     return exact_dedup.keep_one(docs)
 
 
@@ -43,6 +45,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     NULL and empty texts have no copies; a NULL doc_id stays only where its group has no other.
     """
     ship(spark)
+    sweep(spark)
     return near_dedup.keep_one(docs, shingle=5, threshold=0.8)
 
 
@@ -52,6 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A NULL source is a source, the last; texts without words (NULL, empty) take no room.
     """
     ship(spark)
+    sweep(spark)
     return mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
@@ -61,6 +65,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     NULL and empty texts have no ids; repeated rows stay.
     """
     ship(spark)
+    sweep(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
     return coded.select(
