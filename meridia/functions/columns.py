@@ -60,6 +60,16 @@ def gaussian(*key, seed: int = 0) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * math.pi) * v)
 
 
+def exact_sum(col: Column | str) -> Column:
+    """Aggregate: sum of doubles as they print, to 18 decimals, so that no order of the rows changes it (below 1e20)."""
+    return F.sum((F.col(col) if isinstance(col, str) else col).cast("decimal(38,18)")).cast("double")
+
+
+def exact_mean(col: Column | str) -> Column:
+    """Aggregate: mean by :func:`exact_sum`; NULL values do not count."""
+    return F.try_divide(exact_sum(col), F.count(col))
+
+
 def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.functions.columns import exact_mean
 from meridia.session import durable
 
 
@@ -73,8 +74,8 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def holed_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Users x (event type, slot) mean values; a mean of 50 or more counts as missing."""
-    m = F.avg("value")
+    """Users x (event type, slot) mean values; a mean of 50 or more counts as missing, in whatever order rows are added."""
+    m = exact_mean("value")
     return table(spark, sf, "events").groupBy(
         F.col("user_id").alias("subject_id"),
         F.concat("event_type", F.lit("_"), F.pmod("event_id", F.lit(8)).cast("string")).alias("analyte"),

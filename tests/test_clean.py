@@ -38,3 +38,14 @@ def test_prune_keeps_the_earlier_column(spark):
     order = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "analyte string, ordinal long")
     assert {r.analyte for r in highdim.correlation_prune(df, 0.95)[0].collect()} == {"a", "c"}
     assert {r.analyte for r in highdim.correlation_prune(df, 0.95, order)[0].collect()} == {"b", "c"}
+
+
+def test_a_mean_of_just_50_is_missing_in_any_order(spark, tmp_path):
+    from meridia.plans.tables import holed_cells
+
+    hit, low = [72.55, 27.45, 27.45, 72.55, 27.45, 72.55, 27.45, 72.55, 27.45, 27.45, 72.55, 72.55], [49.99] * 9  # doubles added in this order stay below 600
+    rows = [(8 * i, user, "view", v) for user, values in enumerate([hit, sorted(hit), low]) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.subject_id: r.value for r in holed_cells(spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: 49.99}
