@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from meridia.functions.columns import exact_mean, exact_sum
 from meridia.operators import clean as K
 from meridia.operators import ranking as R
 from meridia.operators import relational as J
@@ -211,20 +212,21 @@ gain AS (SELECT l_partkey AS analyte, sum(l_quantity) AS v FROM lineitem GROUP B
 cons AS (SELECT l_partkey AS analyte, avg(l_discount) AS v FROM lineitem GROUP BY 1)"""
 
 
-def importance(spark, sf, expr):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("analyte")).agg(F.expr(expr).alias("v"))
+def importance(spark, sf, v):
+    """Sums that no order of the rows changes: parts with the same line items tie, and ties rank by part."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("analyte")).agg(v.alias("v"))
 
 
 def main_importance(spark, sf):
-    return importance(spark, sf, "sum(l_extendedprice * l_discount)")
+    return importance(spark, sf, exact_sum(F.col("l_extendedprice") * F.col("l_discount")))
 
 
 def gain_importance(spark, sf):
-    return importance(spark, sf, "sum(l_quantity)")
+    return importance(spark, sf, exact_sum("l_quantity"))
 
 
 def consensus_freq(spark, sf):
-    return importance(spark, sf, "avg(l_discount)")
+    return importance(spark, sf, exact_mean("l_discount"))
 
 
 @add("ranking_join", report_sql(IMPORTANCE, """SELECT m.analyte, m.v AS main, m.rank_main, g.v AS gain, g.rank_gain, c.v AS consensus_freq

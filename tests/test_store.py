@@ -122,3 +122,15 @@ def test_range_qc_and_profile(spark):
     assert prof == {"cor_r": True, "c": False}
     with pytest.raises(ValueError):
         K.require_range(df, "cor_r", 0.0, 1.0)
+
+
+def test_parts_with_the_same_line_items_tie_and_rank_by_part(spark, tmp_path):
+    from meridia.plans.store_queries import catalog
+
+    lines = [(12345.67, 0.07), (901.1, 0.1), (50333.3, 0.03), (77.77, 0.09), (20101.01, 0.01), (8642.1, 0.06)]
+    orders = {1: [1, 2, 4, 0, 5, 3], 2: [4, 5, 0, 1, 2, 3]}  # doubles added in the first order give less
+    rows = [(part, 1.0, *lines[i]) for part, order in orders.items() for i in order]
+    frame = spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries["importance_rank"](spark, str(tmp_path)).collect()
+    assert {r.analyte: r["rank"] for r in got} == {1: 1, 2: 2}
