@@ -21,7 +21,8 @@ from meridia.llm.common import id_and_text, kept, map_slices
 from meridia.llm.segments import Encoder, Memo
 
 NEVER = 1 << 62
-PAIRS = 1_000_000
+#: Most pairs of entries, pieces and stretches of text one worker remembers.
+PAIRS, PIECES, STRETCHES = 500_000, 100_000, 350_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -49,8 +50,8 @@ class Codec:
             self.auto.add_word(b.decode("latin-1"), i)
         self.auto.make_automaton()
         self._last, self._left, self._right, self._shorter, self._fit = {}, {}, {}, {}, {}
-        self.packed = Memo(self._pack_piece)
-        self.encode_all = Encoder(lambda texts: [b"".join(map(self.packed.__getitem__, self.find(t))) for t in texts])
+        self.packed = Memo(self._pack_piece, PIECES)
+        self.encode_all = Encoder(lambda texts: [b"".join(map(self.packed.__getitem__, self.find(t))) for t in texts], STRETCHES)
 
     def last_merge(self, token: int) -> tuple[int, int] | None:
         """The two entries whose merge makes ``token``; None for a single byte."""
@@ -81,7 +82,7 @@ class Codec:
         left comes first.  The border holds if, at each state, what lies on its two
         sides has no common merge that would come before the next growth.
         """
-        key = (left, right)
+        key = left << 32 | right
         if key not in self._fit:
             if len(self._fit) >= PAIRS:
                 self._fit.clear()

@@ -39,11 +39,18 @@ class Stages:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Free the disk of finished work: Spark deletes shuffle files once a collection of the driver's heap finds them unused."""
+    """Free the disk and memory of finished work.
+
+    Spark deletes shuffle files once a collection of the driver's heap finds them unused.  A
+    full collection in an executor gives the part of its heap that is empty back to the
+    system, which leaves room for the Python workers of the next step; one task per core asks for it.
+    """
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

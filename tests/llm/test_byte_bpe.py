@@ -57,3 +57,14 @@ def test_whole_table(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_a_worker_remembers_a_bounded_number_of_pieces():
+    ranks = {bytes([b]): b for b in range(256)}
+    codec = byte_bpe.Codec(ranks, r" ?\w+|\s+")
+    words = [f"w{i}" for i in range(byte_bpe.STRETCHES + 1000)]
+    for at in range(0, len(words), 50_000):
+        got = codec.encode_all([" ".join(words[at:at + 50_000])])[0]
+        assert codec.decode(got).decode() == " ".join(words[at:at + 50_000])
+    assert len(codec.encode_all.known) <= byte_bpe.STRETCHES + 50_000
+    assert len(codec.packed) <= byte_bpe.PIECES

@@ -87,3 +87,14 @@ def test_stages_against_brute_force(spark):
         enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(f.read()), special_tokens={})
     got = sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).collect())
     assert got == sorted((d, b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(t))) for d, t, _ in rows[4])
+
+
+def test_a_sweep_asks_every_core_to_collect(spark):
+    from meridia.llm.common import sweep
+
+    spark.sparkContext.setJobGroup("swept", "swept")
+    sweep(spark)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup("swept") for k in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(s.numTasks for s in stages) == spark.sparkContext.defaultParallelism
