@@ -106,15 +106,15 @@ def ordered(
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str | None = None, weight: Column | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, NULL values skipped.
+    """Exact linear-interpolated quantiles per key, NULL values skipped.  ``weight`` is the number of rows a row stands for.
 
     Equal values are counted before the shuffle and located by running counts, so
     neither a hot key nor a hot value lands in one task.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__c")
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c")
     )
     placed = ordered(counted, keys, [value], sums={"__cum": F.col("__c")}, totals=True)
     v, hi_rank, lo_rank = F.col(value).cast("double"), F.col("__cum"), F.col("__cum") - F.col("__c")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.columns import clip, ratio
 from meridia.operators.ordered import quantiles
+from meridia.session import durable
 
 
 def overlap_cohort(crosswalk: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -102,17 +103,16 @@ def param_summary(df: DataFrame, columns: list[str], many: int = 10) -> DataFram
     """Column profile: median, min and max of numeric columns with more than ``many`` distinct values,
     value counts of all others."""
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    counts = text.unpivot([], columns, "column", "value").groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    ).where(F.col("value").isNotNull())
+    counts = durable(text.unpivot([], columns, "column", "value").where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n")), "counts")
     numeric = [c for c, t in df.dtypes if c in columns and t in ("double", "float", "int", "bigint")]
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("d"))
-    wide = distinct.where((F.col("d") > many) & F.col("column").isin(numeric)).select("column")
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "column", "x")
-    numbers = numbers.join(wide, "column", "left_semi")
-    spread = quantiles(numbers, ["column"], "x", {"median": 0.5, "min": 0.0, "max": 1.0})
-    listed = counts.join(wide, "column", "left_anti")
-    return spread.unionByName(listed, allowMissingColumns=True)
+    distinct = counts.where(F.col("column").isin(numeric)).groupBy("column").agg(F.count(F.lit(1)).alias("d"))
+    wide = [row["column"] for row in distinct.where(F.col("d") > many).collect()]  # names of columns
+    is_wide = F.col("column").isin(wide) if wide else F.lit(False)
+    # a number's text gives the number again, so the counted values serve the quantiles too
+    numbers = counts.where(is_wide).select("column", F.col("value").cast("double").alias("x"), "n")
+    spread = quantiles(numbers, ["column"], "x", {"median": 0.5, "min": 0.0, "max": 1.0}, weight=F.col("n"))
+    return spread.unionByName(counts.where(~is_wide), allowMissingColumns=True)
 
 
 def risk_tiers(df: DataFrame, value: str) -> DataFrame:

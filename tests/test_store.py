@@ -134,3 +134,16 @@ def test_parts_with_the_same_line_items_tie_and_rank_by_part(spark, tmp_path):
     frame.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.queries["importance_rank"](spark, str(tmp_path)).collect()
     assert {r.analyte: r["rank"] for r in got} == {1: 1, 2: 2}
+
+
+def test_param_summary_counts_each_value_once(spark):
+    """Joining every row on its column's name put a whole column in one task."""
+    values = [float(i % 12) for i in range(240)] + [100.5, -0.5, None]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "x double, s string")
+    got = J.param_summary(df, ["x", "s"])
+    rows = got.collect()
+    assert [(r.median, r.min, r.max) for r in rows if r.column == "x"] == [(5.5, -0.5, 100.5)]
+    assert {(r.value, r.n) for r in rows if r.column == "s"} == {("a", 122), ("b", 121)}
+    assert all(r.n is None for r in rows if r.column == "x")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
