@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,7 @@ from pyspark.sql import types as T
 
 from meridia.functions.special import normal_quantile
 from meridia.operators.ordered import ordered, quantiles
-
-COLUMNS_PER_PASS = 8
+from meridia.session import durable
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,41 +55,96 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 9, tol: float = 1e-4) -> dict[str, float]:
-    """Maximum-likelihood exponents: each round scores a grid for every column in one aggregate
-    (a few columns per aggregate when there are many).
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of every column, stored: column (its place in ``columns``), x, n rows."""
+    parts = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+    return durable(df.select(F.inline(parts)).where(F.col("x").isNotNull()).groupBy("column", "x").agg(
+        F.count(F.lit(1)).alias("n")), "counted")
+
+
+def _shifted(x: np.ndarray, lam: float) -> np.ndarray:
+    """Yeo-Johnson values of numbers, as :func:`yeo_johnson`."""
+    up, rest, size = x >= 0, 2.0 - lam, np.abs(x)
+    with np.errstate(over="ignore", invalid="ignore"):
+        pos = np.log1p(size) if abs(lam) < 1e-12 else (np.power(size + 1, lam) - 1) / lam
+        neg = -np.log1p(size) if abs(rest) < 1e-12 else -(np.power(size + 1, rest) - 1) / rest
+    return np.where(up, pos, neg)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """n, mean and squared deviations of the union of groups given by theirs."""
+    n, mean, m2 = parts[0]
+    for k, other, more in parts[1:]:
+        step, both = other - mean, n + k
+        mean, m2, n = mean + step * k / both, m2 + more + step * step * n * k / both, both
+    return np.array([n, mean, m2])
+
+
+def power_moments(values: DataFrame, grids: dict[int, list[float]]) -> dict[int, list[np.ndarray]]:
+    """n, mean and squared deviations of sign(x) log(1 + |x|), then of x under each exponent of its column's grid.
+
+    One pass over :func:`counted`; a task sends three numbers per column and exponent to the driver.
+    """
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for c, part in pdf.groupby("column", sort=False):
+                x, n = part["x"].to_numpy(float), part["n"].to_numpy(float)
+                for i, lam in enumerate([None, *grids[c]]):
+                    y = np.sign(x) * np.log1p(np.abs(x)) if lam is None else _shifted(x, lam)
+                    d = y - y[0]  # exactly zero where all are equal
+                    shift = np.sum(n * d) / n.sum()
+                    got = np.array([n.sum(), y[0] + shift, np.sum(n * (d - shift) ** 2)])
+                    seen[c, i] = _joined([seen[c, i], got]) if (c, i) in seen else got
+        if seen:
+            yield pd.DataFrame([(c, i, *m) for (c, i), m in seen.items()], columns=["column", "i", "n", "mean", "m2"])
+
+    found: dict[tuple, list] = {}
+    some = values.where(F.col("column").isin(list(grids)))
+    for row in some.mapInPandas(local, "column int, i int, n double, mean double, m2 double").collect():
+        found.setdefault((row["column"], row["i"]), []).append(np.array([row["n"], row["mean"], row["m2"]]))
+    return {c: [_joined(found[c, i]) for i in range(len(g) + 1)] if (c, 0) in found else [] for c, g in grids.items()}
+
+
+def power_lambdas(df: DataFrame, columns: list[str], lo: float = -3.0, hi: float = 5.0, points: int = 9, tol: float = 1e-4,
+                  values: DataFrame | None = None) -> dict[str, float]:
+    """Maximum-likelihood exponents: each round scores a grid for every column in one pass over its distinct values.
 
     A bracket shrinks around its best point; while that lies on the edge it moves and widens
     instead, so the start does not confine the exponent.
     """
+    values = counted(df, columns) if values is None else values
     centre, width = {c: (hi + lo) / 2 for c in columns}, {c: (hi - lo) / 2 for c in columns}
     for _ in range(60):
         open_ = [c for c in columns if width[c] > tol]
         if not open_:
             return centre
-        for at in range(0, len(open_), COLUMNS_PER_PASS):
-            some, aggs = open_[at: at + COLUMNS_PER_PASS], []
-            grids = {c: [float(centre[c] + width[c] * t) for t in np.linspace(-1, 1, points)] for c in some}
-            for c in some:
-                x = F.col(c).cast("double")
-                aggs += [F.count(c), F.sum(F.signum(x) * F.log1p(F.abs(x)))]
-                aggs += [F.var_pop(yeo_johnson(x, lam)) for lam in grids[c]]
-            row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
-            for i, c in enumerate(some):
-                n, j, *v = row[i * (points + 2): (i + 1) * (points + 2)]
-                scores = [-n / 2 * math.log(s) + (lam - 1) * j if s and s > 0 else -math.inf for lam, s in zip(grids[c], v)]
-                best = int(np.argmax(scores))
-                if scores[best] == -math.inf:  # a constant column: any exponent will do
-                    centre[c], width[c] = 1.0, 0.0
-                    continue
-                centre[c] = grids[c][best]
-                width[c] *= 1.5 if best in (0, points - 1) else 2.0 / (points - 1)
+        grids = {c: [float(centre[c] + width[c] * t) for t in np.linspace(-1, 1, points)] for c in open_}
+        got = power_moments(values, {columns.index(c): g for c, g in grids.items()})
+        for c in open_:
+            logs, *spreads = got[columns.index(c)] or [np.zeros(3)] * (points + 1)
+            n, j = logs[0], logs[0] * logs[1]
+            var = [float(m[2] / n) if n else 0.0 for m in spreads]
+            scores = [-n / 2 * math.log(s) + (lam - 1) * j if 0 < s < math.inf else -math.inf for lam, s in zip(grids[c], var)]
+            best = int(np.argmax(scores))
+            if scores[best] == -math.inf:  # a constant column: any exponent will do
+                centre[c], width[c] = 1.0, 0.0
+                continue
+            centre[c] = grids[c][best]
+            width[c] *= 1.5 if best in (0, points - 1) else 2.0 / (points - 1)
     raise RuntimeError(f"no largest likelihood within reach for {[c for c in columns if width[c] > tol]}")
 
 
 def power(df: DataFrame, columns: list[str]) -> DataFrame:
-    lams = power_lambdas(df, columns)
-    return standard(_replace(df, {c: yeo_johnson(F.col(c).cast("double"), lams[c]) for c in columns}), columns)
+    """Yeo-Johnson with maximum-likelihood exponents, then (y - mean) / population sd; a constant column is only centred."""
+    values = counted(df, columns)
+    lams = power_lambdas(df, columns, values=values)
+    spread = power_moments(values, {i: [lams[c]] for i, c in enumerate(columns)})
+    out = {}
+    for i, c in enumerate(columns):
+        n, mean, m2 = spread[i][1] if spread[i] else (1.0, 0.0, 0.0)
+        out[c] = (yeo_johnson(F.col(c).cast("double"), lams[c]) - F.lit(float(mean))) / F.lit(math.sqrt(m2 / n) or 1.0)
+    return _replace(df, out)
 
 
 def reference_quantiles(df: DataFrame, columns: list[str], n_max: int = 1000) -> dict[str, np.ndarray]:

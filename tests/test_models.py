@@ -649,3 +649,20 @@ def test_streams_reuse_the_batch_operators(spark, data):
     assert spark.sql("select * from mins").count() == 5  # the open last minute waits for the watermark
     scored = live_scores(live.select("subject_id", "hr"), C.ScoringModel("m", ["hr"], [1.0, 2.0]), ["subject_id"])
     assert scored.isStreaming
+
+
+def test_power_works_on_distinct_values(spark):
+    """Exponents and the result come from counted values; repeated rows weigh as often as they occur."""
+    v = np.repeat(np.random.default_rng(5).gamma(2.0, 3.0, 300).round(1), np.arange(300) % 4 + 1)
+    df = spark.createDataFrame([(float(x), 1.0) for x in v], "v double, flat double")
+    assert T.counted(df, ["v", "flat"]).count() == len(set(v)) + 1
+    lam = T.power_lambdas(df, ["v"])["v"]
+
+    def ll(m):
+        return -len(v) / 2 * np.log((((v + 1) ** m - 1) / m).var()) + (m - 1) * np.log1p(v).sum()
+
+    assert ll(lam) >= max(ll(lam + 1e-3), ll(lam - 1e-3))
+    want = ((v + 1) ** lam - 1) / lam
+    rows = T.power(df, ["v", "flat"]).collect()
+    np.testing.assert_allclose(np.sort([r.v for r in rows]), np.sort((want - want.mean()) / want.std()), atol=1e-9)
+    assert {r.flat for r in rows} == {0.0}
