@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MERGE_WAYS = 32
+#: Most rows of a batch made dense at once.
+ROWS = 1024
 MAX_DRIVER_DOUBLES = 64_000_000
 
 
@@ -57,9 +59,10 @@ def summed(df: DataFrame, cells: list[str], each: Callable[..., np.ndarray], key
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, part in pdf.groupby(cells, sort=False, dropna=False):
-                z = np.stack(part["z"].to_numpy()).astype(float)
-                got = each(z, key) if keyed else each(z)
-                sums[key] = sums[key] + got if key in sums else got
+                for at in range(0, len(part), ROWS):
+                    z = np.stack(part["z"].to_numpy()[at:at + ROWS]).astype(float, copy=False)
+                    got = each(z, key) if keyed else each(z)
+                    sums[key] = sums[key] + got if key in sums else got
         if sums:
             out = pd.DataFrame(list(sums), columns=cells)
             out["salt"] = TaskContext.get().partitionId() + np.arange(len(out))

@@ -81,7 +81,7 @@ def block_products(cells: DataFrame, stats: DataFrame, block: int = BLOCK) -> Da
         "subject_id", "b", F.col("c.i").alias("i"), F.col("c.d").alias("d"))
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[at:at + G.ROWS] for b in batches for at in range(0, len(b), G.ROWS)):
             z = np.zeros((len(pdf), block))
             if len(pdf):
                 rows = np.repeat(np.arange(len(pdf)), [len(i) for i in pdf["i"]])

@@ -666,3 +666,11 @@ def test_power_works_on_distinct_values(spark):
     rows = T.power(df, ["v", "flat"]).collect()
     np.testing.assert_allclose(np.sort([r.v for r in rows]), np.sort((want - want.mean()) / want.std()), atol=1e-9)
     assert {r.flat for r in rows} == {0.0}
+
+
+def test_rows_are_made_dense_in_bounded_batches(spark):
+    from meridia.operators import gram
+
+    df = spark.range(0, 5000, 1, 1).select(F.lit(1).alias("c"), F.array(F.col("id").cast("double")).alias("z"))
+    parts = gram.summed(df, ["c"], lambda z: np.array([z.sum(), len(z), float(len(z) > 1024)])).collect()
+    assert np.sum([r.v for r in parts], axis=0).tolist() == [5000 * 4999 / 2, 5000.0, 0.0]
