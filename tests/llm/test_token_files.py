@@ -98,3 +98,57 @@ def test_added_tokens_like_the_unmodified_library(spark):
         one = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(one), zlib.crc32(np.array(one, "<u4").tobytes()))
         at += len(one)
+
+
+class Counted:
+    """The library, counting the characters it is given."""
+
+    def __init__(self, lib):
+        self.lib, self.chars = lib, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.lib.encode_batch_fast(texts, **options)
+
+
+def plain(texts):
+    return [np.array(LIBRARY.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_around_line_feeds_are_encoded_once():
+    """Every end of a line meets every begin of the next: the library sees words, not their pairs."""
+    with open(PATH, "rb") as f:
+        made = token_files.Library(f.read())
+    made.lib = Counted(made.lib)
+    ends, begins = [f"end{chr(97 + i)}." for i in range(20)], [f"Begin{chr(97 + i)}" for i in range(20)]
+    texts = [f"x {a}\n{b} y" for a in ends for b in begins]
+    assert made(texts) == plain(texts)
+    assert made.lib.chars < 1000
+
+
+def test_used_words_outlive_the_others(monkeypatch):
+    """When too many words are known, those that return are not encoded again."""
+    monkeypatch.setattr(token_files, "REMEMBERED", 100)
+    with open(PATH, "rb") as f:
+        made = token_files.Library(f.read())
+    made.lib = Counted(made.lib)
+    often = "x " + " ".join(f"common{i}word" for i in range(30))
+    for k in range(40):
+        texts = [often, "x " + " ".join(f"rare{k}of{i}" for i in range(10))]
+        assert made(texts) == plain(texts)
+    once = len(often) + sum(len(f" rare{k}of{i}") for k in range(40) for i in range(10))
+    assert made.lib.chars <= once + 100
+
+
+def test_models_with_another_pattern_are_not_cut():
+    import json
+
+    with open(PATH, "rb") as f:
+        model = json.load(f)
+    texts = ["a word, and more.\nNext  line", "", "don't ,stop"]
+    for pre in ({"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}):
+        changed = json.dumps(model | {"pre_tokenizer": pre})
+        want = Tokenizer.from_str(changed)
+        got = token_files.Library(changed.encode())(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want.encode(t, add_special_tokens=False).ids for t in texts]
